@@ -6,13 +6,27 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it was counted and has at most this many (narrow) rows.
 BROADCAST_ROWS = 50_000
 
 
+#: Stands for a null id where pandas would turn a column with nulls into floats.
+NO_ID = -(1 << 63)
+
+
+def id_in(name: str = "doc_id") -> Column:
+    """The id column as a long without nulls, for tasks in Python."""
+    return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID)).alias(name)
+
+
+def id_out(name: str = "doc_id") -> Column:
+    """The reverse of id_in()."""
+    return F.when(F.col(name) != F.lit(NO_ID), F.col(name)).alias(name)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's spark.checkpoint.dir, or a folder of our own where none is set."""
     context = spark.sparkContext
