@@ -11,7 +11,10 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from types import ModuleType
 
 import ahocorasick
 import pandas as pd
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 from pennant.llm.common import id_in, id_out
 
 _SPACE = "▁"
+_NEVER = float("-inf")
 
 
 class _Memo(dict):
@@ -34,7 +38,7 @@ class _Memo(dict):
         if len(self) >= self.most:
             self.clear()
         value = self.compute(key)
-        if not isinstance(key, str) or len(key) <= 256:
+        if len(key) <= 64:
             self[key] = value
         return value
 
@@ -42,7 +46,7 @@ class _Memo(dict):
 class PieceModel:
     """A merge-type model: encode() gives ids as little-endian unsigned 32-bit integers, decode() the text of such ids."""
 
-    def __init__(self, path: str, memo: int = 200_000):
+    def __init__(self, path: str, memo: int = 700_000):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
@@ -54,6 +58,7 @@ class PieceModel:
         if len(self.byte_id) < 256:
             raise ValueError("the model has no byte fallback")
         self.ids = {model.id_to_piece(i): i for i in range(size) if i not in special and not model.is_byte(i) and not model.is_unused(i)}
+        self.packed = {piece: struct.pack("<I", i) for piece, i in self.ids.items()}
         self.score = {piece: model.get_score(i) for piece, i in self.ids.items()}
         self.chars = {piece for piece in self.ids if len(piece) == 1}
         if any(p[k] != _SPACE and p[k + 1] == _SPACE for p in self.ids for k in range(len(p) - 1)):
@@ -66,59 +71,67 @@ class PieceModel:
         alone = "" if any("\n" in p for p in self.ids if len(p) > 1) else "\n"
         self.parts = re.compile(f"{_SPACE}*[^{_SPACE}{alone}]+|{_SPACE}+" + f"|{alone}" * bool(alone)).findall
         self.scan = ahocorasick.Automaton()
-        for piece in self.ids:
+        for piece in self.ids.keys() - self.chars:
             self.scan.add_word(piece, len(piece))
         self.scan.make_automaton()
-        self.fits = _Memo(lambda pair: self.merged("".join(pair)) == list(pair), memo)
+        self.fits = _Memo(lambda pair: self.merged("".join(pair)) == [p for p in pair if p], memo)
         self.encoded = _Memo(self._part, memo)
 
     def merged(self, text: str) -> list[str]:
         """The plain way, for texts of a piece or two: merge the best-scored neighbours, the leftmost first, to the end."""
-        now = list(text)
-        while len(now) > 1:
-            score, at = max((self.score.get(now[k] + now[k + 1], float("-inf")), -k) for k in range(len(now) - 1))
-            if score == float("-inf"):
-                break
-            now[-at : 2 - at] = [now[-at] + now[1 - at]]
+        now, score = list(text), self.score.get
+        scores = [score(a + b, _NEVER) for a, b in zip(now, now[1:])]
+        while scores and (best := max(scores)) != _NEVER:
+            k = scores.index(best)
+            now[k : k + 2] = [now[k] + now[k + 1]]
+            del scores[k]
+            if k < len(scores):
+                scores[k] = score(now[k] + now[k + 1], _NEVER)
+            if k:
+                scores[k - 1] = score(now[k - 1] + now[k], _NEVER)
         return now
 
     def _run(self, text: str) -> list[str]:
         """Pieces of a text of known characters, by backtracking."""
-        at_place: list[list[int]] = [[] for _ in text]
+        size, fits = len(text), self.fits
+        ends: dict[int, list[int]] = {}
         for last, length in self.scan.iter(text):
-            at_place[last - length + 1].append(length)  # shorter ones end earlier, so they come in order of length
-        failed = bytearray(len(text) // 8 + 1)
-        taken: list[tuple[str, int]] = []  # a piece and its rank among those at its place
-        place, rank = 0, len(at_place[0]) - 1
-        while place < len(text):
-            while rank >= 0:
-                end = place + at_place[place][rank]
-                piece = text[place:end]
-                if not failed[end >> 3] >> (end & 7) & 1 and self.fits[(taken[-1][0], piece) if taken else (piece,)]:
-                    break
+            if (start := last - length + 1) in ends:
+                ends[start].append(last + 1)  # in order of length
+            else:
+                ends[start] = [last + 1]
+        failed = bytearray(size // 8 + 1)
+        taken: list[str] = []
+        ranks: list[int] = []  # of the taken pieces, among those at their places; -1 is the single character
+        before, place, here = "", 0, ends.get(0, ())
+        rank = len(here) - 1
+        while True:
+            while rank >= -1:
+                end = here[rank] if rank >= 0 else place + 1
+                if not failed[end >> 3] >> (end & 7) & 1:
+                    piece = text[place:end]
+                    if fits[before, piece]:
+                        break
                 rank -= 1
-            if rank >= 0:
-                taken.append((piece, rank))
-                place = end
-                rank = len(at_place[place]) - 1 if place < len(text) else -1
+            if rank >= -1:
+                taken.append(piece)
+                ranks.append(rank)
+                if end == size:
+                    return taken
+                before, place, here = piece, end, ends.get(end, ())
+                rank = len(here) - 1
             else:
                 failed[place >> 3] |= 1 << (place & 7)
-                piece, rank = taken.pop()
-                place -= len(piece)
-                rank -= 1
-        return [piece for piece, _ in taken]
+                place -= len(taken.pop())
+                before, here, rank = taken[-1] if taken else "", ends.get(place, ()), ranks.pop() - 1
 
     def _part(self, text: str) -> bytes:
-        ids: list[int] = []
-        start = 0
-        for k in range(len(text) + 1):
-            if k == len(text) or text[k] not in self.chars:
-                if start < k:
-                    ids += [self.ids[p] for p in self._run(text[start:k])]
-                if k < len(text):
-                    ids += [self.byte_id[b] for b in text[k].encode()]
-                start = k + 1
-        return struct.pack(f"<{len(ids)}I", *ids)
+        if self.chars.issuperset(text):
+            return b"".join(map(self.packed.__getitem__, self._run(text)))
+        ids = b""
+        for known, run in groupby(text, self.chars.__contains__):
+            ids += self._part("".join(run)) if known else b"".join(struct.pack("<I", self.byte_id[b]) for b in "".join(run).encode())
+        return ids
 
     def encode(self, text: str) -> bytes:
         """Ids of the text between the begin and end ids."""
@@ -131,6 +144,14 @@ class PieceModel:
         return text[1:] if text.startswith(" ") else text
 
 
+def _model_of_worker(path: str) -> PieceModel:
+    """The model, kept with what it has memorised while Spark reuses the worker for further tasks."""
+    kept = sys.modules.setdefault("pennant_worker_models", ModuleType("pennant_worker_models")).__dict__
+    if path not in kept:
+        kept[path] = PieceModel(path)
+    return kept[path]
+
+
 def encode_pieces(docs: DataFrame, model: str, chunk_chars: int = 4_000_000) -> DataFrame:
     """Encode the texts of docs (doc_id, text) with the model file and decode the ids again.
 
@@ -140,7 +161,7 @@ def encode_pieces(docs: DataFrame, model: str, chunk_chars: int = 4_000_000) ->
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = PieceModel(model)
+        pieces = _model_of_worker(model)
         for batch in batches:
             rows, held = [], 0
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
