@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pennant.llm import packing, pieces, sharding
+from pennant.llm import licenses, packing, pieces, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by their own measures and their hosts' verdicts."""
+    judged = quality.host_rules(_table(spark, sf_dir, "documents"), host="source")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded with a merge-type model and decoded again, as digests."""
     done = pieces.encode_pieces(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
@@ -48,5 +54,19 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op6_pieces": op6_pieces, "op7_sharding": op7_sharding, "op8_packing": op8_packing}
-ORACLE_SQL: dict[str, str] = {}
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases in all documents."""
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES = {
+    "op2_quality": op2_quality,
+    "op6_pieces": op6_pieces,
+    "op7_sharding": op7_sharding,
+    "op8_packing": op8_packing,
+    "op9_licenses": op9_licenses,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality": quality.ORACLE,
+    "op9_licenses": licenses.oracle(),
+}
