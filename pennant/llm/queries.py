@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pennant.llm import language, licenses, packing, pieces, quality, sharding
+from pennant.llm import language, licenses, minhash, packing, pieces, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by their groups of near duplicates."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of all documents."""
     return language.identify(_table(spark, sf_dir, "documents"))
@@ -66,6 +71,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality": op2_quality,
+    "op3_minhash": op3_minhash,
     "op5_language": op5_language,
     "op6_pieces": op6_pieces,
     "op7_sharding": op7_sharding,
