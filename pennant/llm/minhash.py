@@ -106,7 +106,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _signed(chunk_shingles: int = 200_000):
+def _signed(chunk_shingles: int = 100_000):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
         for batch in batches:

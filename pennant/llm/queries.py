@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pennant.llm import language, licenses, minhash, packing, pieces, quality, sharding
+from pennant.llm import forest, language, licenses, minhash, packing, pages, pieces, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors by their groups of near duplicates."""
+    return forest.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents by their own measures and their hosts' verdicts."""
     judged = quality.host_rules(_table(spark, sf_dir, "documents"), host="source")
@@ -69,7 +74,14 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    found = pages.extract(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "path")
+
+
 QUERIES = {
+    "op1_forest": op1_forest,
     "op2_quality": op2_quality,
     "op3_minhash": op3_minhash,
     "op5_language": op5_language,
@@ -77,6 +89,7 @@ QUERIES = {
     "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,
     "op9_licenses": op9_licenses,
+    "op10_pages": op10_pages,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_quality": quality.ORACLE,
