@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pennant.llm import forest, language, licenses, minhash, packing, pages, pieces, quality, sharding
+from pennant.llm import forest, language, licenses, lines, minhash, packing, pages, pieces, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that resemble earlier ones."""
+    return lines.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of all documents."""
     return language.identify(_table(spark, sf_dir, "documents"))
@@ -84,6 +89,7 @@ QUERIES = {
     "op1_forest": op1_forest,
     "op2_quality": op2_quality,
     "op3_minhash": op3_minhash,
+    "op4_lines": op4_lines,
     "op5_language": op5_language,
     "op6_pieces": op6_pieces,
     "op7_sharding": op7_sharding,
@@ -93,5 +99,6 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_quality": quality.ORACLE,
+    "op4_lines": lines.ORACLE,
     "op9_licenses": licenses.oracle(),
 }
