@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pennant.llm.common import id_in, id_out, small, written
+from pennant.llm.common import id_in, small, written
 
 #: A line's word; the blanks are named singly, which the matcher finds in one table.
 WORD = r"[^ \t\n\x0B\f\r]+"
@@ -22,17 +22,18 @@ WORD = r"[^ \t\n\x0B\f\r]+"
 BUCKETS, PIVOTS = 1 << 16, 8
 
 
-def _lines(docs: DataFrame, keep: Column | None = None) -> DataFrame:
-    """doc_id, h (the text's hash), pos and tokens of each line, null for less than five words; `keep` chooses positions.
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, h (the text's hash), pos and line of each line."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(id_in(), F.xxhash64(text).alias("h"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+
+
+def _tokens(each: DataFrame, names: list[str]) -> DataFrame:
+    """The columns named and the tokens of `line`, null for less than five words.
 
     A filter on what is computed here would make Spark compute it twice, so there is none.
     """
-    text = F.coalesce("text", F.lit(""))
-    split = F.split(text, "\n", -1)
-    each = docs.select(id_in(), F.xxhash64(text).alias("h"), F.posexplode(split).alias("pos", "line"), *([keep.alias("keep")] if keep is not None else []))
-    if keep is not None:
-        each = each.where(F.array_contains("keep", F.col("pos"))).drop("keep")
-    names, n = ["doc_id", "h", "pos"], F.size("w")
+    n = F.size("w")
     pair = lambda a, b: F.xxhash64(a, b)
     part = lambda name, first, size: F.slice(name, F.lit(first), size)
     words = each.select(*names, F.transform(F.regexp_extract_all("line", F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)).alias("w"))
@@ -74,7 +75,7 @@ def later_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, h, pos) of the lines that are similar to an earlier one, in the order of (doc_id, h, pos)."""
     place = ["doc_id", "h", "pos"]
     n = F.size("tokens")
-    tokens = _lines(docs).select(*place, F.sort_array("tokens").alias("tokens"))
+    tokens = _tokens(_lines(docs), place).select(*place, F.sort_array("tokens").alias("tokens"))
     kept = [F.when(n > 0, F.xxhash64("tokens")).alias("c"), F.slice("tokens", F.lit(1), _prefix_size(n, percent)).alias("prefix")]
     placed = written(tokens.select(*place, *kept), "lines").where("c is not null")
     first = F.min(F.struct(*place)).alias("f")
@@ -85,12 +86,12 @@ def later_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
     alive = written(posted.join(small(shared, 500_000), "token", "left_semi").select("c").distinct(), "alive")
     known = written(firsts.join(alive, "c").select("c", "f"), "known")
 
-    # their full sets, from the texts again
-    asked = known.groupBy("f.doc_id", "f.h").agg(F.collect_list("f.pos").alias("asked"))
-    marked = docs.select("doc_id", "text").withColumn("id", id_in()).withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    chosen = marked.join(small(asked.withColumnRenamed("doc_id", "id"), 200_000), ["id", "h"])
-    full = _lines(chosen.select("doc_id", "text", "asked"), F.col("asked"))
-    sets = written(full.join(known.select("f.*", "c"), place).dropDuplicates(["c"]).select("c", "tokens"), "sets")
+    # their full sets, from the texts again; a repeated row only repeats its sets
+    asked = known.groupBy("f.doc_id", "f.h").agg(F.collect_list(F.struct("f.pos", "c")).alias("asked"))
+    marked = docs.select(id_in(), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    chosen = marked.join(small(asked, 200_000), ["doc_id", "h"]).select(F.split("text", "\n", -1).alias("split"), "asked")
+    each = chosen.select("split", F.explode("asked").alias("x")).select("x.c", F.get("split", F.col("x.pos")).alias("line"))
+    sets = written(_tokens(each, ["c"]), "sets")
 
     # postings in the order of rarity
     tiers = _rarity(sets)
@@ -120,28 +121,30 @@ def later_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
     return judged.where((F.struct(*place) != F.col("f")) | F.col("gone")).select(*place).distinct()
 
 
+def rewrite_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """docs with all their columns, the text without the lines of later_lines(), and _removed, the numbers of those lines."""
+    removed = written(later_lines(docs.select("doc_id", "text"), percent), "removed").groupBy("doc_id", "h").agg(F.sort_array(F.collect_list("pos")).alias("_removed"))
+    removed = removed.withColumnsRenamed({"doc_id": "_doc_id", "h": "_h"})
+    text = F.coalesce("text", F.lit(""))
+    read = docs.withColumns({"_doc_id": id_in(), "_h": F.xxhash64(text)})
+    joined = read.join(small(written(removed, "removed"), 200_000), ["_doc_id", "_h"], "left")
+    rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, k: ~F.array_contains("_removed", k)), "\n")
+    names = [F.when(F.col("_removed").isNotNull(), rest).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    return joined.select(*names, F.coalesce("_removed", F.array().cast("array<int>")).alias("_removed"))
+
+
 def dedup_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
     """Remove from docs (doc_id, text) the lines whose token sets have at least `percent` of the union with an earlier line.
 
     Earlier means before it in the order of (doc_id, text hash, line number). Lines with fewer than five words are never
-    removed. Returns doc_id, text (the other lines, joined by line ends again; null stays null), n_lines, n_removed and
-    removed (their numbers from 0, ascending). Rows with equal doc_id and text count as one document and come out
-    alike; a null doc_id stays null and counts as the first; an empty table gives no rows; other columns are ignored.
-    Tokens are told apart by 64-bit hashes.
+    removed. Returns doc_id, text (the other lines, joined by line ends again; null stays null), n_lines (of the text as
+    it was), n_removed and removed (their numbers from 0, ascending). Rows with equal doc_id and text count as one
+    document and come out alike; a null doc_id stays null and counts as the first; an empty table gives no rows; other
+    columns are ignored. Tokens are told apart by 64-bit hashes.
     """
-    removed = written(later_lines(docs, percent), "removed").groupBy("doc_id", "h").agg(F.sort_array(F.collect_list("pos")).alias("removed"))
-    text = F.coalesce("text", F.lit(""))
-    read = docs.select(id_in(), "text", F.xxhash64(text).alias("h"))
-    joined = read.join(small(written(removed, "removed"), 200_000), ["doc_id", "h"], "left")
-    joined = joined.withColumn("removed", F.coalesce("removed", F.array().cast("array<int>"))).withColumn("_lines", F.split(text, "\n", -1))
-    rest = F.filter("_lines", lambda line, k: ~F.array_contains("removed", k))
-    return joined.select(
-        id_out(),
-        F.when(F.size("removed") > 0, F.array_join(rest, "\n")).otherwise(F.col("text")).alias("text"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.size("removed").cast("long").alias("n_removed"),
-        "removed",
-    )
+    read = docs.select("doc_id", "text", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
+    done = rewrite_lines(read, percent)
+    return done.select("doc_id", "text", "n_lines", F.size("_removed").cast("long").alias("n_removed"), F.col("_removed").alias("removed"))
 
 
 #: DuckDB SQL with dedup_lines()' columns: every pair of lines that share a token is compared.
