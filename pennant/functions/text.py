@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 # Weights of the blended score and bounds of the confidence buckets.
 SEQUENCE_WEIGHT, SORTED_WEIGHT, OVERLAP_WEIGHT = 0.55, 0.35, 0.10
@@ -24,7 +25,7 @@ def team_key(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(trimmed(name)), r"\s+", " "), r"(?U)[^\w\s&-]", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def without_accents(names: pd.Series) -> pd.Series:
     """Compatibility forms without combining marks, case-folded."""
     fold = lambda s: "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).casefold()
@@ -49,7 +50,7 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when(empty, 0.0).otherwise(F.try_divide(F.size(F.array_intersect(words(a), words(b))).cast("double"), larger.cast("double")))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def matched_share(a: pd.Series, b: pd.Series) -> pd.Series:
     """The share of matching blocks of two strings (longest common blocks first)."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
