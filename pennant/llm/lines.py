@@ -104,12 +104,15 @@ def later_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
     postings = written(posted.join(shared, "token").join(known, "c").select("token", "c", "f", "n", "i"), "postings")
 
     similar_length = (F.col("dn") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("dn") * percent)
-    reachable = 1 + F.least(F.col("n") - F.col("i"), F.col("dn") - F.col("di")) - 1 >= _needed(F.col("n"), F.col("dn"), percent)
+    reachable = F.least(F.col("n") - F.col("i"), F.col("dn") - F.col("di")) >= _needed(F.col("n"), F.col("dn"), percent)
 
     def pairs(later: DataFrame, earlier: DataFrame) -> DataFrame:
         named = earlier.select("token", F.col("c").alias("d"), F.col("f").alias("df"), F.col("n").alias("dn"), F.col("i").alias("di"))
         met = later.join(named, "token").where((F.col("df") < F.col("f")) & similar_length & reachable)
-        return met.select("c", "d").distinct()
+        # beyond the last token that both prefixes have, all that is left could be common
+        told = met.groupBy("c", "d").agg(F.count("*").alias("common"), F.max("i").alias("i"), F.max("di").alias("di"), F.max("n").alias("n"), F.max("dn").alias("dn"))
+        most = F.col("common") + F.least(F.col("n") - F.col("i"), F.col("dn") - F.col("di")) - 1
+        return told.where(most >= _needed(F.col("n"), F.col("dn"), percent)).select("c", "d")
 
     earliest = postings.withColumn("k", F.row_number().over(Window.partitionBy("token").orderBy("f"))).where(F.col("k") <= PIVOTS).drop("k")
     early = written(_verified(pairs(postings, earliest), sets, percent).select("c").distinct(), "settled")
