@@ -20,6 +20,8 @@ from pennant.llm.common import id_in, small, written
 WORD = r"[^ \t\n\x0B\f\r]+"
 #: Buckets of the rarity table, and the earliest classes of a token that the others are held against first.
 BUCKETS, PIVOTS = 1 << 16, 8
+#: Pairs of ids that are broadcast at most (16 bytes each); more are shuffled.
+PAIR_ROWS = 500_000
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -65,8 +67,10 @@ def _needed(n: Column, m: Column, percent: int) -> Column:
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those (c, d) of pairs whose full sets are similar enough."""
-    with_c = pairs.join(sets.select("c", F.col("tokens").alias("ct")), "c")
-    both = with_c.join(sets.select(F.col("c").alias("d"), F.col("tokens").alias("dt")), "d")
+    pairs = written(pairs, "pairs")
+    with_c = sets.select("c", F.col("tokens").alias("ct")).join(small(pairs, PAIR_ROWS), "c")
+    asked = sets.withColumnsRenamed({"c": "d", "tokens": "dt"}).join(small(pairs.select("d").distinct(), PAIR_ROWS), "d", "left_semi")
+    both = with_c.join(asked, "d")
     common = F.size(F.array_intersect("ct", "dt"))
     return both.where(100 * common >= percent * (F.size("ct") + F.size("dt") - common)).select("c", "d")
 
