@@ -1,9 +1,9 @@
 """Line deduplication by an exact set-similarity join, in DataFrame functions only.
 
 A line's tokens are its distinct five-word shingles, and lines with equal token sets are one class. Two lines with a
-Jaccard similarity of 0.75 share a token among the first quarter of their tokens in any one order. In the order of the
-hashes this is asked of all lines first, which leaves out those that resemble no other. The tokens of the others are
-ordered by rarity (the count of the token's bucket in a table of bounded size, then the hash); tokens in the prefixes of
+Jaccard similarity of 0.75 share COMMON tokens among the first quarter of their tokens and COMMON - 1
+more, in any one order. In the order of the hashes this is asked of all lines first, which leaves out those that
+resemble no other. The tokens of the others are ordered by rarity (the count of the token's bucket in a table of bounded size, then the hash); tokens in the prefixes of
 two classes propose pairs, the length and position filters drop those that cannot be similar enough, and full sets
 verify the rest. A class is first held against the earliest classes of its tokens; only classes that these do not settle
 are held against all earlier ones.
@@ -20,6 +20,8 @@ from pennant.llm.common import id_in, small, written
 WORD = r"[^ \t\n\x0B\f\r]+"
 #: Buckets of the rarity table, and the earliest classes of a token that the others are held against first.
 BUCKETS, PIVOTS = 1 << 16, 8
+#: Tokens that the prefixes of two similar sets have in common at least, or all that must be common if that is less.
+COMMON = 3
 #: Pairs of ids that are broadcast at most (16 bytes each); more are shuffled.
 PAIR_ROWS = 500_000
 
@@ -56,8 +58,14 @@ def _rarity(lines: DataFrame) -> Column:
     return F.split(F.lit(",".join(str(tiers.get(b, 0)) for b in range(BUCKETS))), ",").cast("array<bigint>")
 
 
+def _in_prefix(n: Column, percent: int) -> Column:
+    """The least number of tokens in the prefix of a set of n that are also in the prefix of one similar to it."""
+    return F.least(F.ceil(n * percent / 100).cast("int"), F.lit(COMMON))
+
+
 def _prefix_size(n: Column, percent: int) -> Column:
-    return n - F.ceil(n * percent / 100).cast("int") + 1
+    """Before the last of the first k common tokens lie at most as many others as may be missing in the other set."""
+    return n - F.ceil(n * percent / 100).cast("int") + _in_prefix(n, percent)
 
 
 def _needed(n: Column, m: Column, percent: int) -> Column:
@@ -81,14 +89,16 @@ def later_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
     n = F.size("tokens")
     tokens = _tokens(_lines(docs), place).select(*place, F.sort_array("tokens").alias("tokens"))
     kept = [F.when(n > 0, F.xxhash64("tokens")).alias("c"), F.slice("tokens", F.lit(1), _prefix_size(n, percent)).alias("prefix")]
+    kept.append(_in_prefix(n, percent).alias("k"))
     placed = written(tokens.select(*place, *kept), "lines").where("c is not null")
     first = F.min(F.struct(*place)).alias("f")
-    firsts = written(placed.groupBy("c").agg(first), "classes")
-    # lines with a token in their prefixes that another class has there too
-    posted = placed.select("c", F.explode("prefix").alias("token"))
+    firsts = written(placed.groupBy("c").agg(first, F.count("*").alias("times")), "classes")
+    # classes with k tokens in their prefixes that other classes have there too
+    posted = placed.select("c", "k", F.explode("prefix").alias("token"))
     shared = written(posted.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token"), "shared")
-    alive = written(posted.join(small(shared, 500_000), "token", "left_semi").select("c").distinct(), "alive")
-    known = written(firsts.join(alive, "c").select("c", "f"), "known")
+    met = posted.join(small(shared, 500_000), "token", "left_semi").groupBy("c", "k").agg(F.count("*").alias("n"))
+    alive = written(met.where("n >= k"), "alive")
+    known = written(firsts.join(alive, "c").where("n >= k * times").select("c", "f"), "known")
 
     # their full sets, from the texts again; a repeated row only repeats its sets
     asked = known.groupBy("f.doc_id", "f.h").agg(F.collect_list(F.struct("f.pos", "c")).alias("asked"))
@@ -108,7 +118,8 @@ def later_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
     postings = written(posted.join(shared, "token").join(known, "c").select("token", "c", "f", "n", "i"), "postings")
 
     similar_length = (F.col("dn") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("dn") * percent)
-    reachable = F.least(F.col("n") - F.col("i"), F.col("dn") - F.col("di")) >= _needed(F.col("n"), F.col("dn"), percent)
+    # from a pair's first common tokens on, all but the COMMON - 1 before may be left
+    reachable = F.least(F.col("n") - F.col("i"), F.col("dn") - F.col("di")) >= _needed(F.col("n"), F.col("dn"), percent) - (COMMON - 1)
 
     def pairs(later: DataFrame, earlier: DataFrame) -> DataFrame:
         named = earlier.select("token", F.col("c").alias("d"), F.col("f").alias("df"), F.col("n").alias("dn"), F.col("i").alias("di"))
@@ -116,14 +127,15 @@ def later_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
         # beyond the last token that both prefixes have, all that is left could be common
         told = met.groupBy("c", "d").agg(F.count("*").alias("common"), F.max("i").alias("i"), F.max("di").alias("di"), F.max("n").alias("n"), F.max("dn").alias("dn"))
         most = F.col("common") + F.least(F.col("n") - F.col("i"), F.col("dn") - F.col("di")) - 1
-        return told.where(most >= _needed(F.col("n"), F.col("dn"), percent)).select("c", "d")
+        enough = F.col("common") >= F.least(_in_prefix(F.col("n"), percent), _in_prefix(F.col("dn"), percent))
+        return told.where(enough & (most >= _needed(F.col("n"), F.col("dn"), percent))).select("c", "d")
 
     earliest = postings.withColumn("k", F.row_number().over(Window.partitionBy("token").orderBy("f"))).where(F.col("k") <= PIVOTS).drop("k")
     early = written(_verified(pairs(postings, earliest), sets, percent).select("c").distinct(), "settled")
     open_ = written(postings.join(early, "c", "left_anti"), "open")
     late = _verified(pairs(open_, postings), sets, percent).select("c").distinct()
     settled = written(early.unionByName(late), "settled")
-    gone = firsts.join(settled.withColumn("gone", F.lit(True)), "c", "left")
+    gone = firsts.select("c", "f").join(settled.withColumn("gone", F.lit(True)), "c", "left")
     judged = placed.select(*place, "c").join(gone, "c")
     return judged.where((F.struct(*place) != F.col("f")) | F.col("gone")).select(*place).distinct()
 
