@@ -92,12 +92,11 @@ def later_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
     kept.append(_in_prefix(n, percent).alias("k"))
     placed = written(tokens.select(*place, *kept), "lines").where("c is not null")
     first = F.min(F.struct(*place)).alias("f")
-    firsts = written(placed.groupBy("c").agg(first, F.count("*").alias("times")), "classes")
+    firsts = written(placed.groupBy("c").agg(first, F.count("*").alias("times"), F.first("k").alias("k")), "classes")
     # classes with k tokens in their prefixes that other classes have there too
-    posted = placed.select("c", "k", F.explode("prefix").alias("token"))
+    posted = placed.select("c", F.explode("prefix").alias("token"))
     shared = written(posted.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token"), "shared")
-    met = posted.join(small(shared, 500_000), "token", "left_semi").groupBy("c", "k").agg(F.count("*").alias("n"))
-    alive = written(met.where("n >= k"), "alive")
+    alive = written(posted.join(shared, "token", "left_semi").groupBy("c").agg(F.count("*").alias("n")), "alive")
     known = written(firsts.join(alive, "c").where("n >= k * times").select("c", "f"), "known")
 
     # their full sets, from the texts again; a repeated row only repeats its sets
