@@ -71,6 +71,15 @@ def drop(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Free what finished steps have shuffled, which Spark does when the driver's JVM collects its garbage.
+
+    A driver with little work of its own seldom does, and the executors' disks fill meanwhile. Only files that no plan
+    refers to go.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df with a broadcast hint if a count proves it has at most `rows` rows, else df itself (then Spark shuffles)."""
     rows = BROADCAST_ROWS if rows is None else rows

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pennant.llm.common import id_in, small, written
+from pennant.llm.common import id_in, release, small, written
 
 #: A line's word; the blanks are named singly, which the matcher finds in one table.
 WORD = r"[^ \t\n\x0B\f\r]+"
@@ -96,7 +96,9 @@ def later_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
     # classes with k tokens in their prefixes that other classes have there too
     posted = placed.select("c", F.explode("prefix").alias("token"))
     shared = written(posted.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token"), "shared")
+    release(docs.sparkSession)
     alive = written(posted.join(shared, "token", "left_semi").groupBy("c").agg(F.count("*").alias("n")), "alive")
+    release(docs.sparkSession)
     known = written(firsts.join(alive, "c").where("n >= k * times").select("c", "f"), "known")
 
     # their full sets, from the texts again; a repeated row only repeats its sets
@@ -130,6 +132,7 @@ def later_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
         return told.where(enough & (most >= _needed(F.col("n"), F.col("dn"), percent))).select("c", "d")
 
     earliest = postings.withColumn("k", F.row_number().over(Window.partitionBy("token").orderBy("f"))).where(F.col("k") <= PIVOTS).drop("k")
+    release(docs.sparkSession)
     early = written(_verified(pairs(postings, earliest), sets, percent).select("c").distinct(), "settled")
     open_ = written(postings.join(early, "c", "left_anti"), "open")
     late = _verified(pairs(open_, postings), sets, percent).select("c").distinct()
