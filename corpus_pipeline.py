@@ -33,8 +33,8 @@ def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the host-level rules."""
-    return _without(docs, quality.host_rules(docs, host="source"))
+    """Documents that pass the host-level rules, their hosts held against the corpus."""
+    return _without(docs, quality.host_rules(docs, host="source", fitted=True))
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

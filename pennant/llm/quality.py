@@ -15,6 +15,8 @@ from pennant.llm.common import small, written
 #: [^\x20\x09-\x0D]+ with every blank named, which the matcher then finds in one table.
 WORD = r"[^ \t\n\x0B\f\r]+"
 SYMBOL = r"[#*$%&|<>]"
+#: Deviations by which a host's shrunk rate must lie above the mean of the prior to fail a rule.
+APART = 2.0
 
 
 def measure(docs: DataFrame, extra: list[str]) -> DataFrame:
@@ -60,7 +62,34 @@ def _rules() -> dict[str, Column]:
     }
 
 
-def host_rules(docs: DataFrame, host: str = "source", worst_rate: float = 0.5) -> DataFrame:
+def _shrunk(hosts: DataFrame, counts: list[str]) -> DataFrame:
+    """_host, n and, for each column of counts, rate_ (shrunk), mean_ (the prior's) and spread_ (the deviation of rate_).
+
+    The prior: with the mean rate m and the variance v of the rates between hosts (by documents, less what chance
+    explains), beta(m k, (1 - m) k) with k = m (1 - m) / v - 1, held to 1 .. 10000.
+    """
+    mean = hosts.agg(F.sum("n").alias("all_n"), F.count("*").alias("n_hosts"), *[(F.sum(f) / F.sum("n")).alias(f"m_{f}") for f in counts])
+    m = {f: F.col(f"m_{f}") for f in counts}
+    apart = [(F.sum(F.col("n") * F.pow(F.col(f) / F.col("n") - m[f], 2)) / F.first("all_n")).alias(f"v_{f}") for f in counts]
+    spread = hosts.crossJoin(F.broadcast(mean)).groupBy("all_n", "n_hosts", *m.values()).agg(*apart)
+
+    def strength(f: str) -> Column:
+        chance = m[f] * (1 - m[f]) * F.col("n_hosts") / F.col("all_n")
+        between = F.greatest(F.col(f"v_{f}") - chance, F.lit(1e-12))
+        return F.least(F.greatest(m[f] * (1 - m[f]) / between - 1, F.lit(1.0)), F.lit(1e4))
+
+    prior = spread.select(*m.values(), *[strength(f).alias(f"k_{f}") for f in counts])  # one row
+    k = {f: F.col(f"k_{f}") for f in counts}
+    rate = {f: (F.col(f) + m[f] * k[f]) / (F.col("n") + k[f]) for f in counts}
+    return hosts.crossJoin(F.broadcast(prior)).select(
+        "_host",
+        *[rate[f].alias(f"rate_{f}") for f in counts],
+        *[m[f].alias(f"mean_{f}") for f in counts],
+        *[F.sqrt(rate[f] * (1 - rate[f]) / (F.col("n") + k[f] + 1)).alias(f"spread_{f}") for f in counts],
+    )
+
+
+def host_rules(docs: DataFrame, host: str = "source", worst_rate: float = 0.5, fitted: bool = False) -> DataFrame:
     """Judge docs (doc_id, text, host column) by their own failures and their hosts' shrunk failure rates.
 
     Returns the host column, doc_id, the counts of measure(), base_failed (fewer than 50 words, or over half of them in
@@ -69,31 +98,32 @@ def host_rules(docs: DataFrame, host: str = "source", worst_rate: float = 0.5) -
     with host_rate > worst_rate. Null texts have no words and fail; null hosts form one host; repeated rows are judged
     each; an empty table gives no rows; other columns are ignored.
 
-    The prior: with the mean rate m and the variance v of the rates between hosts (by documents, less what chance
-    explains), beta(m k, (1 - m) k) with k = m (1 - m) / v - 1, held to 1 .. 10000.
+    With `fitted`, hosts are also held against the corpus: for each rule a prior of its own is fitted, and a host whose
+    shrunk rate lies more than APART of its deviations above the prior's mean fails that rule. Documents that break a
+    rule their host fails go too, and failed_rules (the host's, sorted) is returned. See _shrunk() for the prior.
     """
     measured = measure(docs.select("doc_id", "text", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), F.col(host).alias("_named")), ["_host", "_named"])
+    rules = _rules()
     broken = F.lit(False)
-    for rule in _rules().values():
+    for rule in rules.values():
         broken = broken | rule
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = written(measured.withColumn("base_failed", base).withColumn("broken", broken), "measured")
-    hosts = judged.groupBy("_host").agg(F.count("*").alias("n"), F.count_if(F.col("base_failed") | F.col("broken")).alias("f"))
-    hosts = written(hosts, "hosts")
-    mean = hosts.agg(F.sum("n").alias("all_n"), (F.sum("f") / F.sum("n")).alias("m"), F.count("*").alias("n_hosts"))
-    spread = hosts.crossJoin(F.broadcast(mean)).groupBy("all_n", "m", "n_hosts").agg((F.sum(F.col("n") * F.pow(F.col("f") / F.col("n") - F.col("m"), 2)) / F.first("all_n")).alias("v"))
-    chance = F.col("m") * (1 - F.col("m")) * F.col("n_hosts") / F.col("all_n")
-    between = F.greatest(F.col("v") - chance, F.lit(1e-12))
-    k = F.least(F.greatest(F.col("m") * (1 - F.col("m")) / between - 1, F.lit(1.0)), F.lit(1e4))
-    prior = spread.select("m", k.alias("k"))  # one row
-    rate = (F.col("f") + F.col("m") * F.col("k")) / (F.col("n") + F.col("k"))
-    rates = hosts.crossJoin(F.broadcast(prior)).select("_host", rate.alias("host_rate"))
-    back = judged.join(small(rates), "_host", "left")
+    each = rules if fitted else {}
+    hosts = judged.groupBy("_host").agg(F.count("*").alias("n"), F.count_if(F.col("base_failed") | F.col("broken")).alias("f"), *[F.count_if(rule).alias(name) for name, rule in each.items()])
+    rates = _shrunk(written(hosts, "hosts"), ["f", *each])
+    fails = {name: F.col(f"rate_{name}") - APART * F.col(f"spread_{name}") > F.col(f"mean_{name}") for name in each}
+    verdicts = rates.select("_host", F.col("rate_f").alias("host_rate"), *[failed.alias(f"_fails_{name}") for name, failed in fails.items()])
+    back = judged.join(small(verdicts), "_host", "left")
     failed = F.col("host_rate") > worst_rate
+    host_failed, gone = failed, F.col("broken") & failed
+    for name, rule in each.items():
+        host_failed, gone = host_failed | F.col(f"_fails_{name}"), gone | rule & F.col(f"_fails_{name}")
+    named = F.filter(F.array(*[F.when(F.col(f"_fails_{name}"), name) for name in sorted(each)]), lambda x: x.isNotNull())
     return back.select(
         F.col("_named").alias(host), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words",
-        "base_failed", "broken", "host_rate", failed.alias("host_failed"),
-        (~F.col("base_failed") & ~(F.col("broken") & failed)).alias("kept"),
+        "base_failed", "broken", "host_rate", host_failed.alias("host_failed"), *([named.alias("failed_rules")] if fitted else []),
+        (~F.col("base_failed") & ~gone).alias("kept"),
     )
 
 

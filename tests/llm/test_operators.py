@@ -170,6 +170,20 @@ def test_hosts_fail_together(spark):
     assert not found[1].kept and found[10].kept and found[1000].kept and found[1001].kept and found[1].host_failed
 
 
+def test_hosts_against_the_corpus(spark):
+    clean, broken = " ".join(f"word{k}" for k in range(60)), " ".join(f"word{k}#" for k in range(60))
+    lines_ = "\n".join([" ".join(f"line{k}" for k in range(60))] + ["same", "same"])
+    share = {"bad": 25, "h0": 3, "h1": 4, "h2": 2, "h3": 3, "h4": 5}  # none of them in a hundred is near a half
+    rows = [(1000 * h + k, broken if k < n else lines_ if k == 99 else clean, name) for h, (name, n) in enumerate(share.items()) for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r.doc_id: r for r in quality.host_rules(docs, fitted=True).collect()}
+    assert {k for k, r in found.items() if not r.kept} == set(range(25))
+    assert all(r.failed_rules == (["symbols"] if r.source == "bad" else []) for r in found.values())
+    assert found[99].kept and found[99].broken  # of a rule its host does not fail
+    made = docs.withColumns({"lang": F.lit("en"), "n_chars": F.lit(1)})
+    assert {r.doc_id for r in corpus_pipeline.keep_quality(spark, made, SF).collect()} == {k for k, *_ in rows} - set(range(25))
+
+
 def test_repeat_words(spark):
     text = "a b c d a b c x y z"
     row = quality.host_rules(docs_of(spark, [(1, text)])).first()
