@@ -48,12 +48,12 @@ _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\
 
 
 class Block:
-    """A run of text, the path and number of its container, whether it may be article text, and its characters in links."""
+    """A run of text, its containers, whether it may be article text, its characters in links, and whether it is an h1."""
 
-    __slots__ = ("text", "containers", "good", "linked")
+    __slots__ = ("text", "containers", "good", "linked", "title")
 
-    def __init__(self, text: str, containers: tuple[int, ...], good: bool, linked: int):
-        self.text, self.containers, self.good, self.linked = text, containers, good, linked
+    def __init__(self, text: str, containers: tuple[int, ...], good: bool, linked: int, title: bool):
+        self.text, self.containers, self.good, self.linked, self.title = text, containers, good, linked, title
 
 
 def _marks(tag: str, attributes: str, in_article: bool) -> tuple[bool, str]:
@@ -82,7 +82,7 @@ def read_page(html: str) -> tuple[list[Block], list[str]]:
         nonlocal linked
         whole = " ".join(unescape("".join(text)).split())
         if whole:
-            blocks.append(Block(whole, containers, not bad, min(linked, len(whole))))
+            blocks.append(Block(whole, containers, not bad, min(linked, len(whole)), any(t == "h1" for t, *_ in stack)))
         text.clear()
         linked = 0
 
@@ -140,30 +140,44 @@ def read_page(html: str) -> tuple[list[Block], list[str]]:
     return blocks, paths
 
 
-def best_container(blocks: list[Block], paths: list[str], most: float = 0.7) -> tuple[int, float]:
-    """(container, score): the innermost one with most of the page's running text, an article element counting double."""
-    score = [0.0] * len(paths)
+def best_path(blocks: list[Block], paths: list[str], most: float = 0.95) -> tuple[str, float]:
+    """(path, score): the path of the page's article, and the running text in containers with it.
+
+    Every share is one of the whole page's running text, and containers with the same path count together. The article
+    or main elements that are in no other are taken whole if they hold more than half. Without such, the path goes down
+    while containers hold `most` and what they leave out has neither text of the outer container's own nor an h1.
+    """
+    total, score = 0, dict.fromkeys(paths, 0)
     for block in blocks:
         if block.good:
             worth = max(0, len(block.text) - 2 * block.linked)
-            for container in block.containers:
-                score[container] += worth
-    here = 0
-    for container in range(1, len(paths)):
-        inside = paths[container].rsplit(">", 1)[-1].split(".")[0] in _ARTICLE
-        if score[container] > 0 and score[container] * (2 if inside else 1) >= most * score[here] and (here == 0 or paths[container].startswith(paths[here] + ">")):
-            here = container
+            total += worth
+            for path in {paths[c] for c in block.containers}:
+                score[path] += worth
+    tags = [[step.split(".")[0] for step in path.split(">")] for path in score]
+    outermost = [path for path, tag in zip(score, tags, strict=True) if tag[-1] in _ARTICLE and _ARTICLE.isdisjoint(tag[:-1])]
+    for path in outermost:
+        if 2 * score[path] > total:
+            return path, score[path]
+    here = ""
+    for path in score:
+        if not path or here and not path.startswith(here + ">") or score[path] <= 0 or score[path] < most * total:
+            continue
+        left = [b for b in blocks if b.good and path not in {paths[c] for c in b.containers} and any(paths[c] == here for c in b.containers)]
+        if not any(b.title or paths[b.containers[-1]] == here and len(b.text) > 2 * b.linked for b in left):
+            here = path
     return here, score[here]
 
 
 def text_of(blocks: list[Block], paths: list[str], path: str | None) -> str:
-    """The good blocks inside containers with the path, or inside the page's own best container if they have none."""
-    chosen = {k for k, p in enumerate(paths) if p == path} if path is not None else set()
-    found = [b.text for b in blocks if b.good and not chosen.isdisjoint(b.containers)]
-    if not found:
-        own, _ = best_container(blocks, paths)
-        found = [b.text for b in blocks if b.good and own in b.containers]
-    return "\n\n".join(found)
+    """The good blocks inside containers with the path, or with the page's own best path if they have none."""
+
+    def inside(path: str) -> list[str]:
+        chosen = {k for k, p in enumerate(paths) if p == path}
+        return [b.text for b in blocks if b.good and not chosen.isdisjoint(b.containers)]
+
+    found = inside(path) if path is not None else []
+    return "\n\n".join(found or inside(best_path(blocks, paths)[0]))
 
 
 def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,9 +185,9 @@ def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for host, html in zip(batch["host"], batch["html"], strict=True):
             blocks, paths = read_page(html)
-            container, score = best_container(blocks, paths)
+            path, score = best_path(blocks, paths)
             if score > 0:
-                rows.append((host, paths[container]))
+                rows.append((host, path))
         yield pd.DataFrame(rows, columns=["host", "path"])
 
 

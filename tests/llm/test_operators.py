@@ -86,6 +86,22 @@ def test_host_consensus(spark):
     assert found[9] == "short"
 
 
+@pytest.mark.parametrize(("body", "path"), [
+    ("<article><h1>Title</h1><p>A lead.</p><div class=entry-content><p>{long}</p></div></article>", "body>article"),
+    ("<article><div class=one><p>{long}</p></div><div class=two><p>Section two.</p></div></article>", "body>article"),
+    ("<main><h1>Title</h1><article><div class=x><p>{long}</p></div><p>The end.</p></article></main>", "body>main"),
+    ("<div class=a><div class=b><div class=c><p>{long}</p></div><p>{some}</p></div><p>{some}</p></div>", "body>div.a"),
+    ("<div class=post><div class=top><h1>Title</h1></div><div class=body><p>{long}</p></div></div>", "body>div.post"),
+    ("<div class=a><div class=s><p>{long}</p></div><div class=s><p>{long}</p></div></div>", "body>div.a>div.s"),
+])
+def test_nothing_of_the_article_goes(spark, body, path):
+    parts = {"long": "long text of an article " * 9, "some": "a part of the article at its end " * 2}
+    html = "<body><nav>Home</nav>" + body.format(**parts) + "<div class=ad>Buy</div></body>"
+    row = pages.extract(spark.createDataFrame([(1, "http://a.org/1", html)], "page_id long, url string, html string")).first()
+    everything = [b.text for b in pages.read_page(html)[0] if b.good]
+    assert row.text == "\n\n".join(everything) and row.path == path and len(everything) > 1
+
+
 def test_forest(spark):
     random_ = np.random.default_rng(3)
     base = random_.standard_normal((60, 16))
