@@ -1,7 +1,7 @@
 """A pipeline for a training corpus: quality, language, lines, near duplicates, packing.
 
-Every stage takes (spark, docs, sf_dir); all but the last return the columns of documents. Verdicts are by doc_id: a
-doc_id goes if all its rows are rejected.
+Every stage takes (spark, docs, sf_dir); all but the last return the columns of documents. Verdicts are by doc_id (a
+doc_id goes if all its rows are rejected), those on near duplicates by doc_id and text.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pennant.llm import language, lines, minhash, packing, quality
-from pennant.llm.common import small, written
+from pennant.llm.common import id_in, small, written
 
 #: A language is trusted from this calibrated probability on; with four languages a mere guess has 0.25.
 LEAST_SCORE = 0.34
@@ -51,13 +51,20 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest doc_id."""
-    rest = _without(docs, minhash.near_duplicates(docs))
-    repeated = written(rest.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    """One document of each group of near duplicates, the one with the smallest doc_id.
+
+    Here the verdict is by doc_id and text, so that different texts stay if they have no doc_id or share one.
+    """
+    row = ["_doc_id", "_h"]
+    judged = written(minhash.first_rows(docs).toDF(*row, "kept"), "judged")
+    marked = docs.withColumns({"_doc_id": id_in(), "_h": minhash.text_hash()})
+    rest = marked.join(small(judged.where("not kept").select(*row).distinct(), ID_ROWS), row, "left_anti")
+    repeated = written(judged.where("kept").groupBy(*row).agg(F.count("*").alias("n")).where("n > 1").select(*row), "repeated")
     if repeated.isEmpty():
-        return rest
-    one = _matched(rest, repeated, "left_semi").dropDuplicates(["doc_id"])
-    return _matched(rest, repeated, "left_anti").unionByName(one)
+        return rest.select(docs.columns)
+    few = small(repeated, ID_ROWS)
+    one = rest.join(few, row, "left_semi").dropDuplicates(row)
+    return rest.join(few, row, "left_anti").unionByName(one).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pennant.llm.common import components, id_in, id_out, small, written
@@ -118,7 +118,7 @@ def _signed(chunk_shingles: int = 100_000):
                 if held >= chunk_shingles or k == len(ids) - 1:
                     keys = band_keys(signatures(sets, BANDS * ROWS))
                     yield pd.DataFrame({
-                        "doc_id": ids[start : k + 1], "n_shingles": [len(s) for s in sets],
+                        "doc_id": ids[start : k + 1], "h": batch["h"].to_numpy()[start : k + 1], "n_shingles": [len(s) for s in sets],
                         "f1": [int(mixed(s).sum(dtype=np.uint64).view(np.int64)) for s in sets],
                         "f2": [int(mixed(s ^ _ODD).sum(dtype=np.uint64).view(np.int64)) for s in sets],
                         "bands": list(keys),
@@ -192,19 +192,40 @@ def _compare(percent: int):
     return run
 
 
+def text_hash() -> Column:
+    """Tells texts of rows with the same doc_id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """Groups of docs (doc_id, text) whose sets of five-word shingles have at least `percent` of their union in common.
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id that links reach) and kept (doc_id = component_id).
     Links hold on full sets, none is below `percent`; one at 0.75 goes unseen with probability 2.4e-5, closer ones less.
-    Null texts and texts without words have an empty set and link with nothing; rows with the same doc_id are one node;
-    a null doc_id stays null and comes before all others; an empty table gives no rows; other columns are ignored.
+    Null texts and texts without words have an empty set and link with nothing; rows are one node if their sets are
+    equal, whatever their doc_id; a null doc_id stays null and comes before all others; an empty table gives no rows;
+    other columns are ignored.
+    """
+    out = _grouped(docs, percent)
+    return out.select(id_out(), "n_shingles", id_out("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def first_rows(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """doc_id (see id_in()), h (the text_hash()) and kept of each row of docs, as in near_duplicates().
+
+    kept holds for the rows of one (doc_id, h) in each group, the smallest, and for all with an empty set.
     """
-    read = docs.select(id_in(), "text")
-    signed = written(read.mapInPandas(_signed(), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"), "signatures")
+    return _grouped(docs, percent).select("doc_id", "h", ((F.col("doc_id") == F.col("component_id")) & (F.col("h") == F.col("first_h"))).alias("kept"))
+
+
+def _grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, h and n_shingles of each row, and component_id and first_h, the smallest (doc_id, h) of its group."""
+    read = docs.select(id_in(), "text", text_hash().alias("h"))
+    signed = written(read.mapInPandas(_signed(), "doc_id long, h long, n_shingles long, f1 long, f2 long, bands array<long>"), "signatures")
     full = signed.where("n_shingles > 0")
     same_set = ["n_shingles", "f1", "f2"]
-    classes = written(full.groupBy(same_set).agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "classes")
+    # a class is named by its set, as several may share a doc_id
+    classes = written(full.groupBy(same_set).agg(F.xxhash64(*same_set).alias("id"), F.min(F.struct("doc_id", "h")).alias("row"), F.first("bands").alias("bands")), "classes")
 
     # clusters of candidates: each class with the first one of its band's bucket
     placed = classes.select("id", F.explode("bands").alias("band"))
@@ -212,10 +233,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     clusters = components(placed.join(first, "band").where("a <> id").select("a", F.col("id").alias("b")).distinct())
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    members = written(clusters.join(small(sizes), "component").select("id", "component", blocks.alias("blocks")), "members")
+    members = clusters.join(small(sizes), "component").join(classes.select("id", "row.*"), "id")
+    members = written(members.select("doc_id", "h", "id", "component", blocks.alias("blocks")), "members")
 
     # their sets, from the whole texts again
-    texts = read.join(small(members.withColumnRenamed("id", "doc_id")), "doc_id").withColumnRenamed("doc_id", "id")
+    texts = read.join(small(members), ["doc_id", "h"]).select("id", "component", "blocks", "text")
     sets = written(texts.mapInPandas(_sets, "id long, component long, blocks int, shingles binary"), "sets")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     plain = sets.select("component", block.alias("block"), F.lit(0).alias("other"), F.lit(0).alias("side"), "id", "shingles")
@@ -244,9 +266,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
             every = wide.join(small(have), "component").select("component", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"), F.lit(0).alias("side"), "id", "shingles")
             more = asked.unionByName(every).groupBy(key).applyInPandas(_compare(percent), links)
             reached = components(written(found.unionByName(more), "links"))
-    named = classes.join(reached, "id", "left").select(*same_set, F.coalesce("component", "id").alias("component_id"))
-    out = signed.join(named, same_set, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.select(id_out(), "n_shingles", id_out("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    known = classes.join(reached, "id", "left").select(*same_set, "row", F.coalesce("component", "id").alias("component"))
+    firsts = known.groupBy("component").agg(F.min("row").alias("first"))
+    named = known.drop("row").join(firsts, "component").select(*same_set, "first")
+    return signed.join(named, same_set, "left").select("doc_id", "h", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"), F.coalesce("first.h", "h").alias("first_h"))
 
 
 def _share_of(pivots: int):

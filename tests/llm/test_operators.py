@@ -161,6 +161,26 @@ def test_minhash(spark):
     assert [found[k].component_id for k in range(len(texts))] == [find(k) for k in range(len(texts))]
 
 
+def rows_that_share_ids():
+    """Forty different texts, half without an id and half with one id, and a near copy of each with an id of its own."""
+    texts = [[f"t{n}w{k}" for k in range(80)] for n in range(40)]
+    return [(None if n % 2 else 5, " ".join(t)) for n, t in enumerate(texts)] + [(100 + n, " ".join([*t[:-1], "other"])) for n, t in enumerate(texts)]
+
+
+def test_minhash_where_texts_share_an_id(spark):
+    found = minhash.near_duplicates(docs_of(spark, rows_that_share_ids())).collect()
+    assert len(found) == 80
+    copies = {r.doc_id: (r.component_id, r.kept) for r in found if r.doc_id is not None and r.doc_id >= 100}
+    assert copies == {100 + n: (None if n % 2 else 5, False) for n in range(40)}
+
+
+def test_pipeline_keeps_texts_that_share_an_id(spark):
+    rows = rows_that_share_ids()
+    docs = docs_of(spark, [*rows, rows[1], (5, rows[1][1])]).select("doc_id", "text", "lang", "source", "n_chars")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    assert len(kept) == 40 and set(kept) == set(rows[:40])
+
+
 def test_superminhash_estimates_similarity():
     shared, own = np.arange(1, 601, dtype=np.uint64), np.arange(1000, 1200, dtype=np.uint64)
     a, b = minhash.mixed(shared), minhash.mixed(np.concatenate([shared, own]))
