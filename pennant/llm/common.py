@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: With this setting Spark deletes what a query has shuffled when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A side of a join is broadcast only if it was counted and has at most this many (narrow) rows.
 BROADCAST_ROWS = 50_000
 
@@ -28,10 +30,15 @@ def id_out(name: str = "doc_id") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir, or a folder of our own where none is set."""
+    """The folder all executors share: the session's spark.checkpoint.dir.
+
+    Where none is set, a folder of our own if all runs on this machine, else an error.
+    """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if context.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="pennant-")
         context.setCheckpointDir(named)
     return named.rstrip("/")
@@ -53,31 +60,30 @@ def _delete_quietly(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it back.
 
-    The table outlives lost executors. It goes when the interpreter ends, or earlier by drop().
+    The table outlives lost executors. It goes when the interpreter ends, or earlier by drop(). What the write has
+    shuffled goes when it ends, as its plan is not run again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pennant/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        # hashes and texts seldom repeat within a page, so dictionaries cost more than they save
+        df.write.options(compression="zstd", **{"parquet.enable.dictionary": "false"}).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     atexit.register(_delete_quietly, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._pennant_path = path
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a table made by written() that nothing will read again."""
-    path = getattr(df, "_pennant_path", None)
-    if path:
-        _delete(df.sparkSession, path)
-
-
-def release(spark: SparkSession) -> None:
-    """Free what finished steps have shuffled, which Spark does when the driver's JVM collects its garbage.
-
-    A driver with little work of its own seldom does, and the executors' disks fill meanwhile. Only files that no plan
-    refers to go.
-    """
-    spark.sparkContext._jvm.System.gc()
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by written() that nothing will read again."""
+    for df in tables:
+        path = getattr(df, "_pennant_path", None)
+        if path:
+            _delete(df.sparkSession, path)
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -86,19 +92,20 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph of (a long, b long) rows, as (id, component), component the smallest id.
 
     Every round takes the smallest label among neighbours (a partial aggregation, so hubs are combined before the
-    shuffle), then follows labels of labels, so that long chains halve. Labels stay in Spark; only the count of
-    changes reaches the driver. Self-links and repeated links are harmless; no rows give no rows.
+    shuffle), then follows labels of labels, so that long chains halve. Labels only fall, so the rounds end. They stay
+    in Spark; only whether one changed reaches the driver. Self-links and repeated links are harmless; no rows give no
+    rows.
     """
     both = written(
         edges.where("a <> b").selectExpr("inline(array(struct(a as id, b as other), struct(b as id, a as other)))").distinct(),
         "links",
     )
     labels = written(both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("component")), "labels")
-    for _ in range(max_rounds):
+    while True:
         label_of = labels.select(F.col("id").alias("other"), F.col("component").alias("near"))
         heard = both.join(label_of, "other").groupBy("id").agg(F.min("near").alias("near"))
         met = labels.join(heard, "id").select("id", F.least("component", "near").alias("component"), F.col("component").alias("was"))
@@ -112,4 +119,3 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         if not changed:
             drop(both)
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -1,12 +1,13 @@
 """Line deduplication by an exact set-similarity join, in DataFrame functions only.
 
-A line's tokens are its distinct five-word shingles, and lines with equal token sets are one class. Two lines with a
-Jaccard similarity of 0.75 share COMMON tokens among the first quarter of their tokens and COMMON - 1
-more, in any one order. In the order of the hashes this is asked of all lines first, which leaves out those that
-resemble no other. The tokens of the others are ordered by rarity (the count of the token's bucket in a table of bounded size, then the hash); tokens in the prefixes of
-two classes propose pairs, the length and position filters drop those that cannot be similar enough, and full sets
-verify the rest. A class is first held against the earliest classes of its tokens; only classes that these do not settle
-are held against all earlier ones.
+A line's tokens are its distinct five-word shingles, or its whole word sequence if it has fewer words; lines with equal
+token sets are one class. Two lines with a Jaccard similarity of 0.75 share COMMON tokens among the first quarter of
+their tokens and COMMON - 1 more, in any one order. In the order of the hashes this is asked of all lines first, which
+leaves out those that resemble no other. The tokens of the others are ordered by rarity (the count of the token's bucket
+in a table of bounded size, then the hash); tokens in the prefixes of two classes propose pairs, the length and position
+filters drop those that cannot be similar enough, and full sets verify the rest. A class is first held against the few
+classes that come before it among those with its token; only a class that these do not settle, and that has a token with
+more classes before it, is held against all earlier ones.
 """
 
 from __future__ import annotations
@@ -14,48 +15,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pennant.llm.common import id_in, release, small, written
+from pennant.llm.common import drop, id_in, small, written
 
-#: A line's word; the blanks are named singly, which the matcher finds in one table.
-WORD = r"[^ \t\n\x0B\f\r]+"
-#: Buckets of the rarity table, and the earliest classes of a token that the others are held against first.
-BUCKETS, PIVOTS = 1 << 16, 8
+#: Matches a line with a word.
+WORD = r"[^ \t\n\x0B\f\r]"
+#: Blanks that part words beside the space.
+BLANKS = ["\t", "\x0b", "\f", "\r"]
+#: Buckets of the rarity table, and the classes before it that a class is held against first for each of its tokens.
+BUCKETS, BEFORE = 1 << 16, 8
 #: Tokens that the prefixes of two similar sets have in common at least, or all that must be common if that is less.
 COMMON = 3
-#: Pairs of ids that are broadcast at most (16 bytes each); more are shuffled.
-PAIR_ROWS = 500_000
+#: Rows of a few numbers (40 bytes at most) that are broadcast at most; more are shuffled.
+NARROW_ROWS = 500_000
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, h (the text's hash), pos and line of each line."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(id_in(), F.xxhash64(text).alias("h"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+    """doc_id, h (the text's hash), pos and line of each line, in lower case and with spaces for all blanks."""
+    read = docs.select(id_in(), F.coalesce("text", F.lit("")).alias("text"))
+    read = read.select("doc_id", F.xxhash64("text").alias("h"), F.lower("text").alias("text"))
+    other = F.lit(False)
+    for blank in BLANKS:
+        other = other | F.contains("text", F.lit(blank))
+    plain = F.when(other, F.regexp_replace("text", r"[\t\x0B\f\r]", " ")).otherwise(F.col("text"))
+    return read.select("doc_id", "h", F.posexplode(F.split(plain, "\n", -1)).alias("pos", "line"))
 
 
 def _tokens(each: DataFrame, names: list[str]) -> DataFrame:
-    """The columns named and the tokens of `line`, null for less than five words.
+    """The columns named and the tokens of `line`, null without a word.
 
     A filter on what is computed here would make Spark compute it twice, so there is none.
     """
     n = F.size("w")
-    pair = lambda a, b: F.xxhash64(a, b)
-    part = lambda name, first, size: F.slice(name, F.lit(first), size)
-    words = each.select(*names, F.transform(F.regexp_extract_all("line", F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)).alias("w"))
-    twos = words.select(*names, "w", F.when(n >= 5, F.zip_with(part("w", 1, n - 1), part("w", 2, n - 1), pair)).alias("w2"))
-    fours = twos.select(*names, "w", F.when(n >= 5, F.zip_with(part("w2", 1, n - 3), part("w2", 3, n - 3), pair)).alias("w4"))
-    fives = F.zip_with(part("w4", 1, n - 4), part("w", 5, n - 4), pair)
-    return fours.select(*names, F.when(n >= 5, F.array_distinct(fives)).alias("tokens"))
+    words = each.select(*names, F.array_remove(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))).alias("w"))
+    next_ = lambda k, by: F.get("w", k + by)
+    shingles = F.transform(F.slice("w", F.lit(1), n - 4), lambda w, k: F.xxhash64(w, next_(k, 1), next_(k, 2), next_(k, 3), next_(k, 4)))
+    return words.select(*names, F.when(n >= 5, F.array_distinct(shingles)).when(n > 0, F.array(F.xxhash64("w"))).alias("tokens"))
 
 
 def _bucket(token: Column) -> Column:
     return token.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def _rarity(lines: DataFrame) -> Column:
-    """An array of BUCKETS numbers, as a literal: the binary logarithm of how many lines' tokens fall into each bucket."""
-    counts = lines.select(F.explode("tokens").alias("token")).groupBy(_bucket(F.col("token")).alias("bucket")).agg(F.floor(F.log2(F.count("*"))).alias("tier"))
-    tiers = {r["bucket"]: r["tier"] for r in counts.collect()}  # one row a bucket
-    return F.split(F.lit(",".join(str(tiers.get(b, 0)) for b in range(BUCKETS))), ",").cast("array<bigint>")
+def _rarity(sets: DataFrame) -> DataFrame:
+    """One row with `tiers`, BUCKETS numbers: the binary logarithm of how many sets' tokens fall into each bucket."""
+    counts = sets.select(F.explode("tokens").alias("token")).groupBy(_bucket(F.col("token")).alias("bucket")).agg(F.floor(F.log2(F.count("*"))).cast("byte").alias("tier"))
+    every = counts.unionByName(sets.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("byte").alias("tier")))
+    table = every.groupBy("bucket").agg(F.max("tier").alias("tier"))
+    return written(table.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "tier"))), lambda x: x["tier"]).alias("tiers")), "rarity")
 
 
 def _in_prefix(n: Column, percent: int) -> Column:
@@ -73,82 +79,107 @@ def _needed(n: Column, m: Column, percent: int) -> Column:
     return F.ceil((n + m) * percent / (100 + percent)).cast("int")
 
 
+def _possible(n: Column, i: Column, m: Column, k: Column, percent: int) -> Column:
+    """The length filter, and the position filter for a common token at i of n and k of m.
+
+    From a pair's first common tokens on, all but the COMMON - 1 before may be left.
+    """
+    similar_length = (m * 100 >= n * percent) & (n * 100 >= m * percent)
+    return similar_length & (F.least(n - i, m - k) >= _needed(n, m, percent) - (COMMON - 1))
+
+
+def _proposed(met: DataFrame, percent: int) -> DataFrame:
+    """(c, d) of met (c, d, n, i, dn, di: one row a common token) that share enough tokens and could be similar."""
+    told = met.groupBy("c", "d").agg(F.count("*").alias("common"), F.max("i").alias("i"), F.max("di").alias("di"), F.max("n").alias("n"), F.max("dn").alias("dn"))
+    # beyond the last token that both prefixes have, all that is left could be common
+    most = F.col("common") + F.least(F.col("n") - F.col("i"), F.col("dn") - F.col("di")) - 1
+    enough = F.col("common") >= F.least(_in_prefix(F.col("n"), percent), _in_prefix(F.col("dn"), percent))
+    return told.where(enough & (most >= _needed(F.col("n"), F.col("dn"), percent))).select("c", "d")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those (c, d) of pairs whose full sets are similar enough."""
+    """The c of those (c, d) of pairs whose full sets are similar enough, as a table."""
     pairs = written(pairs, "pairs")
-    with_c = sets.select("c", F.col("tokens").alias("ct")).join(small(pairs, PAIR_ROWS), "c")
-    asked = sets.withColumnsRenamed({"c": "d", "tokens": "dt"}).join(small(pairs.select("d").distinct(), PAIR_ROWS), "d", "left_semi")
-    both = with_c.join(asked, "d")
+    with_c = sets.select("c", F.col("tokens").alias("ct")).join(small(pairs, NARROW_ROWS), "c")
+    both = with_c.join(sets.select(F.col("c").alias("d"), F.col("tokens").alias("dt")), "d")
     common = F.size(F.array_intersect("ct", "dt"))
-    return both.where(100 * common >= percent * (F.size("ct") + F.size("dt") - common)).select("c", "d")
+    done = written(both.where(100 * common >= percent * (F.size("ct") + F.size("dt") - common)).select("c").distinct(), "settled")
+    drop(pairs)
+    return done
+
+
+def _settled(known: DataFrame, docs: DataFrame, percent: int) -> list[DataFrame]:
+    """Tables of the c of known (c, f: the first place) that are similar to an earlier one."""
+    # their full sets, from the texts again; a repeated row gives the same set again
+    asked = known.select("c", "f", F.col("f.doc_id").alias("doc_id"), F.col("f.h").alias("h"), F.col("f.pos").alias("pos"))
+    chosen = _lines(docs).join(small(asked, NARROW_ROWS), ["doc_id", "h", "pos"]).select("c", "f", "line")
+    sets = written(_tokens(chosen, ["c", "f"]).dropDuplicates(["c"]), "sets")
+    tiers = _rarity(sets)
+
+    # postings in the order of rarity, each with the classes before it
+    mask = (1 << 57) - 1
+    key = lambda s: F.shiftleft(F.get("tiers", _bucket(s)).cast("long"), 57).bitwiseOR(s.bitwiseAND(F.lit(mask)))
+    n = F.size("t")
+    ordered = sets.join(F.broadcast(tiers)).select("c", "f", F.sort_array(F.transform("tokens", key)).alias("t"))  # one row, of bounded size
+    posted = ordered.select("c", "f", n.alias("n"), F.posexplode(F.slice("t", F.lit(1), _prefix_size(n, percent))).alias("i", "token"))
+    of_token = Window.partitionBy("token").orderBy("f")
+    before = F.collect_list(F.struct(F.col("c").alias("d"), F.col("n").alias("dn"), F.col("i").alias("di"))).over(of_token.rowsBetween(-BEFORE, -1))
+    ranked = posted.select("*", F.row_number().over(of_token).alias("rank"), F.lead("c").over(of_token).alias("next"), before.alias("near"))
+    possible = lambda x: _possible(F.col("n"), F.col("i"), x["dn"], x["di"], percent)
+    shared = ranked.where("rank > 1 or next is not null").select("token", "c", "f", "n", "i", "rank", F.filter("near", possible).alias("near"))
+    postings = written(shared, "postings")
+    met = postings.where(F.size("near") > 0).select("c", "n", "i", F.explode("near").alias("x")).select("c", "n", "i", "x.*")
+    early = _verified(_proposed(met, percent), sets, percent)
+
+    # classes with more before them than these, and not settled
+    deep = postings.where(F.col("rank") > BEFORE + 1).select("c").distinct()
+    open_ = written(deep.join(early, "c", "left_anti"), "open")
+    found = [early]
+    if not open_.isEmpty():
+        later = postings.select("token", "c", "f", "n", "i").join(small(open_, NARROW_ROWS), "c")
+        earlier = postings.select("token", F.col("c").alias("d"), F.col("f").alias("df"), F.col("n").alias("dn"), F.col("i").alias("di"))
+        both = later.join(earlier, "token").where((F.col("df") < F.col("f")) & _possible(F.col("n"), F.col("i"), F.col("dn"), F.col("di"), percent))
+        found.append(_verified(_proposed(both, percent), sets, percent))
+    drop(sets, tiers, postings, open_)
+    return found
 
 
 def later_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """(doc_id, h, pos) of the lines that are similar to an earlier one, in the order of (doc_id, h, pos)."""
+    """(doc_id, h, pos) of the lines that are similar to an earlier one, in the order of (doc_id, h, pos), as a table."""
     place = ["doc_id", "h", "pos"]
     n = F.size("tokens")
     tokens = _tokens(_lines(docs), place).select(*place, F.sort_array("tokens").alias("tokens"))
-    kept = [F.when(n > 0, F.xxhash64("tokens")).alias("c"), F.slice("tokens", F.lit(1), _prefix_size(n, percent)).alias("prefix")]
-    kept.append(_in_prefix(n, percent).alias("k"))
-    placed = written(tokens.select(*place, *kept), "lines").where("c is not null")
-    first = F.min(F.struct(*place)).alias("f")
-    firsts = written(placed.groupBy("c").agg(first, F.count("*").alias("times"), F.first("k").alias("k")), "classes")
-    # classes with k tokens in their prefixes that other classes have there too
-    posted = placed.select("c", F.explode("prefix").alias("token"))
+    # sets of one or two are similar to their equals only
+    prefix = F.when(n > 2, F.slice("tokens", F.lit(1), _prefix_size(n, percent)))
+    placed = written(tokens.select(*place, F.when(n > 0, F.xxhash64("tokens")).alias("c"), n.alias("n"), prefix.alias("prefix")), "lines")
+    worded = placed.where("c is not null")
+    firsts = written(worded.groupBy("c").agg(F.min(F.struct(*place)).alias("f"), F.count("*").alias("times"), F.max("n").alias("n")), "classes")
+
+    # classes with enough tokens in their prefixes that other classes have there too
+    posted = worded.where("prefix is not null").select("c", F.explode("prefix").alias("token"))
     shared = written(posted.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token"), "shared")
-    release(docs.sparkSession)
-    alive = written(posted.join(shared, "token", "left_semi").groupBy("c").agg(F.count("*").alias("n")), "alive")
-    release(docs.sparkSession)
-    known = written(firsts.join(alive, "c").where("n >= k * times").select("c", "f"), "known")
-
-    # their full sets, from the texts again; a repeated row only repeats its sets
-    asked = known.groupBy("f.doc_id", "f.h").agg(F.collect_list(F.struct("f.pos", "c")).alias("asked"))
-    marked = docs.select(id_in(), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
-    chosen = marked.join(small(asked, 200_000), ["doc_id", "h"]).select(F.split("text", "\n", -1).alias("split"), "asked")
-    each = chosen.select("split", F.explode("asked").alias("x")).select("x.c", F.get("split", F.col("x.pos")).alias("line"))
-    sets = written(_tokens(each, ["c"]), "sets")
-
-    # postings in the order of rarity
-    tiers = _rarity(sets)
-    mask = (1 << 57) - 1
-    key = lambda s: F.shiftleft(F.get(tiers, _bucket(s)), 57).bitwiseOR(s.bitwiseAND(F.lit(mask)))
-    n = F.size("t")
-    ordered = sets.select("c", F.sort_array(F.transform("tokens", key)).alias("t")).select("c", n.alias("n"), F.slice("t", F.lit(1), _prefix_size(n, percent)).alias("prefix"))
-    posted = ordered.select("c", "n", F.posexplode("prefix").alias("i", "token"))
-    shared = posted.groupBy("token").agg(F.count("*").alias("times")).where("times > 1").select("token")
-    postings = written(posted.join(shared, "token").join(known, "c").select("token", "c", "f", "n", "i"), "postings")
-
-    similar_length = (F.col("dn") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("dn") * percent)
-    # from a pair's first common tokens on, all but the COMMON - 1 before may be left
-    reachable = F.least(F.col("n") - F.col("i"), F.col("dn") - F.col("di")) >= _needed(F.col("n"), F.col("dn"), percent) - (COMMON - 1)
-
-    def pairs(later: DataFrame, earlier: DataFrame) -> DataFrame:
-        named = earlier.select("token", F.col("c").alias("d"), F.col("f").alias("df"), F.col("n").alias("dn"), F.col("i").alias("di"))
-        met = later.join(named, "token").where((F.col("df") < F.col("f")) & similar_length & reachable)
-        # beyond the last token that both prefixes have, all that is left could be common
-        told = met.groupBy("c", "d").agg(F.count("*").alias("common"), F.max("i").alias("i"), F.max("di").alias("di"), F.max("n").alias("n"), F.max("dn").alias("dn"))
-        most = F.col("common") + F.least(F.col("n") - F.col("i"), F.col("dn") - F.col("di")) - 1
-        enough = F.col("common") >= F.least(_in_prefix(F.col("n"), percent), _in_prefix(F.col("dn"), percent))
-        return told.where(enough & (most >= _needed(F.col("n"), F.col("dn"), percent))).select("c", "d")
-
-    earliest = postings.withColumn("k", F.row_number().over(Window.partitionBy("token").orderBy("f"))).where(F.col("k") <= PIVOTS).drop("k")
-    release(docs.sparkSession)
-    early = written(_verified(pairs(postings, earliest), sets, percent).select("c").distinct(), "settled")
-    open_ = written(postings.join(early, "c", "left_anti"), "open")
-    late = _verified(pairs(open_, postings), sets, percent).select("c").distinct()
-    settled = written(early.unionByName(late), "settled")
-    gone = firsts.select("c", "f").join(settled.withColumn("gone", F.lit(True)), "c", "left")
-    judged = placed.select(*place, "c").join(gone, "c")
-    return judged.where((F.struct(*place) != F.col("f")) | F.col("gone")).select(*place).distinct()
+    alive = written(posted.join(shared.hint("shuffle_hash"), "token", "left_semi").groupBy("c").agg(F.count("*").alias("hits")), "alive")
+    drop(shared)
+    known = written(firsts.join(alive, "c").where(F.col("hits") >= _in_prefix(F.col("n"), percent) * F.col("times")).select("c", "f"), "known")
+    drop(alive)
+    found = _settled(known, docs, percent)
+    settled = found[0]
+    for more in found[1:]:
+        settled = settled.unionByName(more)
+    gone = firsts.join(settled.withColumn("gone", F.lit(True)), "c", "left").where("gone or times > 1").select("c", "f", "gone")
+    judged = worded.select(*place, "c").join(small(written(gone, "gone"), NARROW_ROWS), "c")
+    removed = written(judged.where((F.struct(*place) != F.col("f")) | F.col("gone")).select(*place).distinct(), "removed")
+    drop(placed, firsts, known, *found)
+    return removed
 
 
 def rewrite_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
     """docs with all their columns, the text without the lines of later_lines(), and _removed, the numbers of those lines."""
-    removed = written(later_lines(docs.select("doc_id", "text"), percent), "removed").groupBy("doc_id", "h").agg(F.sort_array(F.collect_list("pos")).alias("_removed"))
-    removed = removed.withColumnsRenamed({"doc_id": "_doc_id", "h": "_h"})
-    text = F.coalesce("text", F.lit(""))
-    read = docs.withColumns({"_doc_id": id_in(), "_h": F.xxhash64(text)})
-    joined = read.join(small(written(removed, "removed"), 200_000), ["_doc_id", "_h"], "left")
+    places = later_lines(docs.select("doc_id", "text"), percent)
+    removed = places.groupBy(F.col("doc_id").alias("_doc_id"), F.col("h").alias("_h")).agg(F.sort_array(F.collect_list("pos")).alias("_removed"))
+    few = places.limit(NARROW_ROWS + 1).count() <= NARROW_ROWS  # which bounds the arrays too
+    read = docs.withColumns({"_doc_id": id_in(), "_h": F.xxhash64(F.coalesce("text", F.lit("")))})
+    joined = read.join(F.broadcast(removed) if few else removed, ["_doc_id", "_h"], "left")
     rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, k: ~F.array_contains("_removed", k)), "\n")
     names = [F.when(F.col("_removed").isNotNull(), rest).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns]
     return joined.select(*names, F.coalesce("_removed", F.array().cast("array<int>")).alias("_removed"))
@@ -157,11 +188,12 @@ def rewrite_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
 def dedup_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
     """Remove from docs (doc_id, text) the lines whose token sets have at least `percent` of the union with an earlier line.
 
-    Earlier means before it in the order of (doc_id, text hash, line number). Lines with fewer than five words are never
-    removed. Returns doc_id, text (the other lines, joined by line ends again; null stays null), n_lines (of the text as
-    it was), n_removed and removed (their numbers from 0, ascending). Rows with equal doc_id and text count as one
-    document and come out alike; a null doc_id stays null and counts as the first; an empty table gives no rows; other
-    columns are ignored. Tokens are told apart by 64-bit hashes.
+    Earlier means before it in the order of (doc_id, text hash, line number); case does not count. Lines with one to four
+    words are one token, so they go if an earlier line has the same words; lines without a word stay. Returns doc_id,
+    text (the other lines, joined by line ends again; null stays null), n_lines (of the text as it was), n_removed and
+    removed (their numbers from 0, ascending). Rows with equal doc_id and text count as one document and come out alike;
+    a null doc_id stays null and counts as the first; an empty table gives no rows; texts and lines may be of any length
+    that a row can hold; other columns are ignored. Tokens are told apart by 64-bit hashes.
     """
     read = docs.select("doc_id", "text", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
     done = rewrite_lines(read, percent)
@@ -171,9 +203,10 @@ def dedup_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
 #: DuckDB SQL with dedup_lines()' columns: every pair of lines that share a token is compared.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, text FROM documents),
-l AS (SELECT doc_id, unnest(range(0, len(string_split(t, chr(10))))) AS pos, string_split(t, chr(10)) AS ls FROM d),
+l AS (SELECT doc_id, unnest(range(0, len(string_split(t, chr(10))))) AS pos, string_split(lower(t), chr(10)) AS ls FROM d),
 w AS (SELECT doc_id, pos, regexp_extract_all(ls[pos + 1], '[^ \t\n\x0B\f\r]+') AS ws FROM l),
-s AS (SELECT DISTINCT doc_id, pos, array_to_string(ws[k : k + 4], ' ') AS token FROM (SELECT doc_id, pos, ws, unnest(range(1, len(ws) - 3)) AS k FROM w WHERE len(ws) >= 5)),
+s AS (SELECT DISTINCT doc_id, pos, array_to_string(ws[k : k + 4], ' ') AS token
+      FROM (SELECT doc_id, pos, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS k FROM w WHERE len(ws) > 0)),
 c AS (SELECT doc_id, pos, count(*) AS n FROM s GROUP BY doc_id, pos),
 p AS (SELECT a.doc_id, a.pos, b.doc_id AS bd, b.pos AS bp, count(*) AS common FROM s a JOIN s b ON a.token = b.token AND (b.doc_id, b.pos) < (a.doc_id, a.pos) GROUP BY ALL),
 r AS (SELECT DISTINCT p.doc_id, p.pos FROM p JOIN c x ON x.doc_id = p.doc_id AND x.pos = p.pos JOIN c y ON y.doc_id = bd AND y.pos = bp

@@ -229,9 +229,10 @@ def test_repeat_words(spark):
 def test_lines(spark):
     first = "the quick brown fox jumps over the lazy dog and runs far away into the deep dark wood"
     near = first.replace("wood", "forest")
-    rows = [(2, f"{near}\nshort one\n{first}"), (1, f"head\n{first}"), (3, f"short one\nthe quick brown fox sleeps all day long here")]
-    found = {r.doc_id: (r.text, r.n_removed) for r in lines.dedup_lines(docs_of(spark, rows)).collect()}
-    assert found == {1: (f"head\n{first}", 0), 2: ("short one", 2), 3: (rows[2][1], 0)}
+    other = "the quick brown fox sleeps all day long here"
+    rows = [(2, f"{near}\nshort one\n{first}"), (1, f"head\n{first}"), (3, f" Short\tone \n{other}\n\n"), (4, f"{other.upper()}\n\nhead\nshort\n")]
+    found = {r.doc_id: (r.text, r.removed) for r in lines.dedup_lines(docs_of(spark, rows)).collect()}
+    assert found == {1: (f"head\n{first}", []), 2: ("short one", [0, 2]), 3: (f"{other}\n\n", [0]), 4: ("\nshort\n", [0, 2])}
 
 
 def test_language_held_out(spark):
