@@ -1,9 +1,10 @@
 """Near-duplicate documents by SuperMinHash: signatures, banding, exact verification, connected groups.
 
 Documents with equal shingle sets are one class from the start, so copies cost one comparison with their class. Classes
-that share a band of their signatures form clusters of candidates; within a cluster all pairs are verified on full
-sets by counting common shingles, in blocks of bounded size. A large cluster is first compared block by block, each
-together with a few pivots; only what its main group has not yet taken in is then compared with every block.
+that share a band of their signatures lie in one bucket. Each is first verified on full sets against the first of its
+buckets, and the links found are closed. Only classes that are then still apart from the first of a bucket are held
+against the bucket's other members: pair by pair in a small bucket, in blocks of bounded size in a large one. So nothing
+is closed over that was not verified, and a large group costs a few comparisons a member.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pennant.llm.common import components, id_in, id_out, small, written
+from pennant.llm.common import components, drop, id_in, id_out, small, written
 
 #: BANDS bands of ROWS values: a pair of similarity 0.75 shares a band but for one case in 40,000.
 BANDS, ROWS = 28, 4
-#: Documents of a cluster that are compared at once, and pivots that join each block of a larger cluster.
-BLOCK, PIVOTS = 512, 32
+#: Members of a bucket that are compared pair by pair at most, and at once in a larger one.
+FEW, BLOCK = 32, 512
+#: Rows of a few numbers (40 bytes at most) that are broadcast at most; more are shuffled.
+NARROW_ROWS = 500_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
@@ -68,32 +71,35 @@ class Shingler:
         return np.unique(joined)
 
 
-def signatures(sets: list[np.ndarray], slots: int) -> np.ndarray:
+def signatures(sets: list[np.ndarray], slots: int, at_once: int = 100_000) -> np.ndarray:
     """SuperMinHash of each set: a row of `slots` values, equal in a share of places that estimates the similarity.
 
     Every element deals out a random permutation of the slots, one more of its ranks in each step; a slot keeps the
     least rank plus fraction. A set is done when no slot could still get a lower rank, which for large sets is soon.
+    Slots keep minima, so large sets are taken `at_once` elements at a time.
     """
     result = np.full((len(sets), slots), np.inf)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    seed = np.concatenate([*sets, np.zeros(0, np.uint64)])
-    order = np.tile(np.arange(slots, dtype=np.uint8 if slots < 256 else np.uint16), (len(seed), 1))
     flat = result.ravel()
-    for step in range(slots):
-        if not len(seed):
-            break
-        draw = mixed(seed + np.uint64((step + 1) * int(_ODD) % (1 << 64)))
-        fraction = (draw >> np.uint64(32)).astype(np.float64) / 2.0**32
-        other = step + ((draw & np.uint64(0xFFFFFFFF)) * np.uint64(slots - step) >> np.uint64(32)).astype(np.int64)
-        row = np.arange(len(seed))
-        slot = order[row, other].astype(np.int64)
-        order[row, other] = order[:, step]
-        at = owner * slots + slot
-        better = flat[at] > step
-        np.minimum.at(flat, at[better], step + fraction[better])
-        going = (result.max(1) > step + 1)[owner]
-        if not going.all():
-            owner, seed, order = owner[going], seed[going], order[going]
+    owners = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    seeds = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    for first in range(0, len(seeds), at_once):
+        owner, seed = owners[first : first + at_once], seeds[first : first + at_once]
+        order = np.tile(np.arange(slots, dtype=np.uint8 if slots < 256 else np.uint16), (len(seed), 1))
+        for step in range(slots):
+            going = (result.max(1) > step)[owner]
+            if not going.all():
+                owner, seed, order = owner[going], seed[going], order[going]
+            if not len(seed):
+                break
+            draw = mixed(seed + np.uint64((step + 1) * int(_ODD) % (1 << 64)))
+            fraction = (draw >> np.uint64(32)).astype(np.float64) / 2.0**32
+            other = step + ((draw & np.uint64(0xFFFFFFFF)) * np.uint64(slots - step) >> np.uint64(32)).astype(np.int64)
+            row = np.arange(len(seed))
+            slot = order[row, other].astype(np.int64)
+            order[row, other] = order[:, step]
+            at = owner * slots + slot
+            better = flat[at] > step
+            np.minimum.at(flat, at[better], step + fraction[better])
     return result
 
 
@@ -131,7 +137,7 @@ def _signed(chunk_shingles: int = 100_000):
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     shingler = Shingler()
     for batch in batches:
-        yield batch.drop(columns="text").assign(shingles=[shingler.hashes(text).tobytes() for text in batch["text"]])
+        yield batch.drop(columns="text").assign(shingles=[shingler.hashes(text).view(np.int64) for text in batch["text"]])
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray], chunk: int = 8192) -> np.ndarray:
@@ -177,21 +183,57 @@ def _spanning(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
 
 
 def _compare(percent: int):
-    """Links within a block (its rows may be there twice, as pivots), or between two sides of a block."""
+    """Links between the two sides of a block, members of a bucket and those of them that are still apart."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates(["id", "side"]).sort_values("id", ignore_index=True)
-        sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
-        side = group["side"].to_numpy()
-        left, right = np.flatnonzero(side <= 0), np.flatnonzero(side != 0)
-        if not len(right):
-            right = left
+        group = group.sort_values("id", ignore_index=True)
+        sets = [x.view(np.uint64) for x in group["shingles"]]
+        left, right = np.flatnonzero(group["apart"] == 0), np.flatnonzero(group["apart"] == 1)
         a, b = _similar([sets[k] for k in left], [sets[k] for k in right], percent)
         return _spanning(group["id"].to_numpy(), left[a], right[b])
 
     return run
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those (a, b) of pairs whose full sets are similar enough."""
+    pairs = written(pairs, "pairs")
+    one = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")).join(small(pairs, NARROW_ROWS), "b")
+    both = one.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+    common = F.size(F.array_intersect("sa", "sb"))
+    done = written(both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "links")
+    drop(pairs)
+    return done
+
+
+def _apart(buckets: DataFrame, reached: DataFrame) -> DataFrame:
+    """buckets (band, id, a, n) with each member's root and whether it is in another group than the first, as a table."""
+    root = reached.select(F.col("id").alias("a"), F.col("component").alias("root_a"))
+    rooted = buckets.join(reached, "id", "left").join(root, "a", "left")
+    rooted = rooted.select("band", "id", "a", "n", F.coalesce("component", "id").alias("root"), F.coalesce("root_a", "a").alias("root_a"))
+    return written(rooted.withColumn("apart", F.col("root") != F.col("root_a")), "rooted")
+
+
+def _in_small(rooted: DataFrame) -> DataFrame:
+    """(a, b) to compare in buckets of FEW members at most."""
+    one = rooted.where(F.col("apart") & F.col("n").between(3, FEW)).select("band", "id", "root")
+    all_ = rooted.where("a <> id").select("band", F.col("id").alias("other"), F.col("root").alias("root_o"))
+    met = one.join(all_, "band").where("root <> root_o")
+    return met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
+def _in_large(rooted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links in larger buckets, by blocks of members and of those that are apart."""
+    counts = rooted.where(F.col("n") > FEW).groupBy("band").agg(F.ceil(F.max("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if("apart") / BLOCK).cast("int").alias("others"))
+    counts = written(counts.where("others > 0"), "counts")
+    dealt = rooted.select("band", "id", "apart").join(small(counts), "band").join(sets, "id")
+    place = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    members = dealt.select("band", place("blocks").alias("block"), every("others").alias("other"), F.lit(0).alias("apart"), "id", "shingles")
+    others = dealt.where("apart").select("band", every("blocks").alias("block"), place("others").alias("other"), F.lit(1).alias("apart"), "id", "shingles")
+    return members.unionByName(others).groupBy("band", "block", "other").applyInPandas(_compare(percent), "a long, b long")
+
+
 def text_hash() -> Column:
     """Tells texts of rows with the same doc_id apart."""
     return F.xxhash64(F.coalesce("text", F.lit("")))
@@ -204,7 +246,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     Links hold on full sets, none is below `percent`; one at 0.75 goes unseen with probability 2.4e-5, closer ones less.
     Null texts and texts without words have an empty set and link with nothing; rows are one node if their sets are
     equal, whatever their doc_id; a null doc_id stays null and comes before all others; an empty table gives no rows;
-    other columns are ignored.
+    a very long text takes about 40 times its bytes in its task; other columns are ignored.
     """
     out = _grouped(docs, percent)
     return out.select(id_out(), "n_shingles", id_out("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
@@ -227,51 +269,24 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     # a class is named by its set, as several may share a doc_id
     classes = written(full.groupBy(same_set).agg(F.xxhash64(*same_set).alias("id"), F.min(F.struct("doc_id", "h")).alias("row"), F.first("bands").alias("bands")), "classes")
 
-    # clusters of candidates: each class with the first one of its band's bucket
+    # buckets, each with its first class
     placed = classes.select("id", F.explode("bands").alias("band"))
-    first = placed.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
-    clusters = components(placed.join(first, "band").where("a <> id").select("a", F.col("id").alias("b")).distinct())
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    members = clusters.join(small(sizes), "component").join(classes.select("id", "row.*"), "id")
-    members = written(members.select("doc_id", "h", "id", "component", blocks.alias("blocks")), "members")
+    first = placed.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
+    buckets = written(placed.join(first, "band"), "buckets")
+    members = written(buckets.select("id").distinct().join(classes.select("id", "row.*"), "id"), "members")
 
     # their sets, from the whole texts again
-    texts = read.join(small(members), ["doc_id", "h"]).select("id", "component", "blocks", "text")
-    sets = written(texts.mapInPandas(_sets, "id long, component long, blocks int, shingles binary"), "sets")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    plain = sets.select("component", block.alias("block"), F.lit(0).alias("other"), F.lit(0).alias("side"), "id", "shingles")
-    wide = sets.where("blocks > 1")
-    links = "a long, b long"
-    key = ["component", "block", "other"]
-    if wide.isEmpty():
-        found = written(plain.groupBy(key).applyInPandas(_compare(percent), links), "links")
-        reached = components(found)
-    else:
-        ranked = wide.groupBy("component").agg(F.slice(F.sort_array(F.collect_set(F.when(_share_of(PIVOTS), F.struct(F.xxhash64("id", F.lit(1)).alias("h"), "id")))), 1, PIVOTS).alias("p"))
-        pivots = wide.join(small(ranked.select(F.explode("p.id").alias("id")), BLOCK * PIVOTS), "id")
-        dealt = pivots.select("component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("other"), F.lit(0).alias("side"), "id", "shingles")
-        found = written(plain.unionByName(dealt).groupBy(key).applyInPandas(_compare(percent), links), "links")
-        reached = components(found)
-        # of the clusters of several blocks: what is outside the main group against every block
-        groups = written(wide.select("id", "component", "blocks").join(reached.withColumnRenamed("component", "root"), "id", "left").withColumn("root", F.coalesce("root", "id")), "groups")
-        counts = groups.groupBy("component", "root").agg(F.count("*").alias("n"))
-        main = counts.groupBy("component").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-        rest = groups.join(small(main), "component").where("root <> main").select("id", "component", "blocks")
-        rest = written(rest.join(small(rest.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("others"))), "component"), "rest")
-        if not rest.isEmpty():
-            other = F.pmod(F.xxhash64("id"), F.col("others")).cast("int")
-            have = rest.select("component", "others").distinct()
-            asked = wide.join(rest.select("id", "others"), "id").select("component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), other.alias("other"), F.lit(1).alias("side"), "id", "shingles")
-            every = wide.join(small(have), "component").select("component", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"), F.lit(0).alias("side"), "id", "shingles")
-            more = asked.unionByName(every).groupBy(key).applyInPandas(_compare(percent), links)
-            reached = components(written(found.unionByName(more), "links"))
+    texts = read.join(small(members, NARROW_ROWS), ["doc_id", "h"]).select("id", "text")
+    sets = written(texts.mapInPandas(_sets, "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
+    links = _verified(buckets.where("a <> id").select("a", F.col("id").alias("b")).distinct(), sets, percent)
+    reached = components(links)
+    rooted = _apart(buckets, reached)
+    if not rooted.where("apart and n > 2").isEmpty():
+        few = _verified(_in_small(rooted), sets, percent)
+        links = written(links.unionByName(few).unionByName(_in_large(rooted, sets, percent)), "links")
+        reached = components(links)
+    drop(buckets, members, sets, rooted)
     known = classes.join(reached, "id", "left").select(*same_set, "row", F.coalesce("component", "id").alias("component"))
     firsts = known.groupBy("component").agg(F.min("row").alias("first"))
     named = known.drop("row").join(firsts, "component").select(*same_set, "first")
     return signed.join(named, same_set, "left").select("doc_id", "h", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"), F.coalesce("first.h", "h").alias("first_h"))
-
-
-def _share_of(pivots: int):
-    """A condition that holds for a few times `pivots` of a cluster's members, whatever its number of blocks."""
-    return F.pmod(F.xxhash64("id", F.lit(2)), F.greatest(F.lit(1), (F.col("blocks") * BLOCK / (8 * pivots)).cast("int"))) == 0
