@@ -5,9 +5,9 @@ token sets are one class. Two lines with a Jaccard similarity of 0.75 share COMM
 their tokens and COMMON - 1 more, in any one order. In the order of the hashes this is asked of all lines first, which
 leaves out those that resemble no other. The tokens of the others are ordered by rarity (the count of the token's bucket
 in a table of bounded size, then the hash); tokens in the prefixes of two classes propose pairs, the length and position
-filters drop those that cannot be similar enough, and full sets verify the rest. A class is first held against the few
-classes that come before it among those with its token; only a class that these do not settle, and that has a token with
-more classes before it, is held against all earlier ones.
+filters drop those that cannot be similar enough, and full sets verify the rest. A class is first held against the
+earliest classes of its tokens; only a class that these do not settle, and that has a token with more classes before it,
+is held against all earlier ones.
 """
 
 from __future__ import annotations
@@ -21,12 +21,12 @@ from pennant.llm.common import drop, id_in, small, written
 WORD = r"[^ \t\n\x0B\f\r]"
 #: Blanks that part words beside the space.
 BLANKS = ["\t", "\x0b", "\f", "\r"]
-#: Buckets of the rarity table, and the classes before it that a class is held against first for each of its tokens.
-BUCKETS, BEFORE = 1 << 16, 8
+#: Buckets of the rarity table, and the earliest classes of each of its tokens that a class is held against first.
+BUCKETS, FIRST = 1 << 16, 8
 #: Tokens that the prefixes of two similar sets have in common at least, or all that must be common if that is less.
 COMMON = 3
 #: Rows of a few numbers (40 bytes at most) that are broadcast at most; more are shuffled.
-NARROW_ROWS = 500_000
+NARROW_ROWS = 1_000_000
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -112,27 +112,34 @@ def _settled(known: DataFrame, docs: DataFrame, percent: int) -> list[DataFrame]
     """Tables of the c of known (c, f: the first place) that are similar to an earlier one."""
     # their full sets, from the texts again; a repeated row gives the same set again
     asked = known.select("c", "f", F.col("f.doc_id").alias("doc_id"), F.col("f.h").alias("h"), F.col("f.pos").alias("pos"))
-    chosen = _lines(docs).join(small(asked, NARROW_ROWS), ["doc_id", "h", "pos"]).select("c", "f", "line")
-    sets = written(_tokens(chosen, ["c", "f"]).dropDuplicates(["c"]), "sets")
+    held = docs.withColumns({"_doc_id": id_in(), "_h": F.xxhash64(F.coalesce("text", F.lit("")))})
+    held = held.join(small(asked.select(F.col("doc_id").alias("_doc_id"), F.col("h").alias("_h")).distinct(), NARROW_ROWS), ["_doc_id", "_h"], "left_semi")
+    chosen = _lines(held.select("doc_id", "text")).join(small(asked, NARROW_ROWS), ["doc_id", "h", "pos"]).select("c", "f", "line")
+    sets = written(_tokens(chosen, ["c", "f"]), "sets")
+    if sets.count() > known.count():
+        repeated, sets = sets, written(sets.dropDuplicates(["c"]), "sets")
+        drop(repeated)
     tiers = _rarity(sets)
 
-    # postings in the order of rarity, each with the classes before it
+    # postings in the order of rarity, each with the token's first classes
     mask = (1 << 57) - 1
     key = lambda s: F.shiftleft(F.get("tiers", _bucket(s)).cast("long"), 57).bitwiseOR(s.bitwiseAND(F.lit(mask)))
     n = F.size("t")
     ordered = sets.join(F.broadcast(tiers)).select("c", "f", F.sort_array(F.transform("tokens", key)).alias("t"))  # one row, of bounded size
     posted = ordered.select("c", "f", n.alias("n"), F.posexplode(F.slice("t", F.lit(1), _prefix_size(n, percent))).alias("i", "token"))
     of_token = Window.partitionBy("token").orderBy("f")
-    before = F.collect_list(F.struct(F.col("c").alias("d"), F.col("n").alias("dn"), F.col("i").alias("di"))).over(of_token.rowsBetween(-BEFORE, -1))
-    ranked = posted.select("*", F.row_number().over(of_token).alias("rank"), F.lead("c").over(of_token).alias("next"), before.alias("near"))
-    possible = lambda x: _possible(F.col("n"), F.col("i"), x["dn"], x["di"], percent)
+    so_far = of_token.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    one = F.struct(F.col("c").alias("d"), F.col("n").alias("dn"), F.col("i").alias("di"))
+    first = F.array(*[F.nth_value(one, k).over(so_far) for k in range(1, FIRST + 1)])
+    ranked = posted.select("*", F.row_number().over(of_token).alias("rank"), F.lead("c").over(of_token).alias("next"), first.alias("near"))
+    possible = lambda x: x.isNotNull() & (x["d"] != F.col("c")) & _possible(F.col("n"), F.col("i"), x["dn"], x["di"], percent)
     shared = ranked.where("rank > 1 or next is not null").select("token", "c", "f", "n", "i", "rank", F.filter("near", possible).alias("near"))
     postings = written(shared, "postings")
     met = postings.where(F.size("near") > 0).select("c", "n", "i", F.explode("near").alias("x")).select("c", "n", "i", "x.*")
     early = _verified(_proposed(met, percent), sets, percent)
 
-    # classes with more before them than these, and not settled
-    deep = postings.where(F.col("rank") > BEFORE + 1).select("c").distinct()
+    # classes with more before them than these, which are not settled
+    deep = postings.where(F.col("rank") > FIRST + 1).select("c").distinct()
     open_ = written(deep.join(early, "c", "left_anti"), "open")
     found = [early]
     if not open_.isEmpty():
