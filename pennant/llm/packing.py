@@ -9,6 +9,7 @@ placing with whole windows as the items, so that no task ever takes more than a
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
@@ -27,8 +28,9 @@ PIECES = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_
 def byte_bpe(vocabulary: str, ranks: str, pattern: str) -> Callable[[str], np.ndarray]:
     """An encoder for a byte-level BPE whose vocabulary file also exists as base64 tokens and ranks.
 
-    Both libraries give the same ids; the one that reads ranks is several times faster, but its pattern matcher gives
-    up on runs of about a million blanks, which then go to the other. Strings of special tokens are ordinary text.
+    The ids are those of the library that reads the vocabulary file, with its default settings. The one that reads ranks
+    gives the same ids several times faster on texts that hold no added token's string and no long run of blanks (on
+    which its pattern matcher gives up); the other texts go to the first.
     """
     import tiktoken
     from tokenizers import Tokenizer
@@ -36,23 +38,29 @@ def byte_bpe(vocabulary: str, ranks: str, pattern: str) -> Callable[[str], np.nd
     with open(ranks, "rb") as lines:
         known = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=known, special_tokens={})
-    sure: list[Tokenizer] = []
+    sure = Tokenizer.from_file(vocabulary)
+    added = [token.content for token in sure.get_added_tokens_decoder().values()]
+    long_run = re.compile(r"\s{100000}")
 
     def encode(text: str) -> np.ndarray:
-        try:
+        if any(token in text for token in added) or len(text) >= 100_000 and long_run.search(text):
+            ids = sure.encode(text, add_special_tokens=False).ids
+        else:
             ids = fast.encode_ordinary(text)
-        except BaseException as gave_up:
-            if type(gave_up).__name__ != "PanicException":
-                raise
-            if not sure:
-                sure.append(Tokenizer.from_file(vocabulary))
-                sure[0].encode_special_tokens = True
-            ids = sure[0].encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4")
 
     return encode
 
 
+#: A sequence id: the merging round above, then the partition, then a number within it.
+_PARTITION_BITS, _NUMBER_BITS = 31, 27
+
+
+def first_sequence(epoch: int, partition: int) -> int:
+    """The first sequence id of a partition (below 2 ** 31, as Spark numbers them) in a merging round (below 32)."""
+    return (epoch << _PARTITION_BITS | partition) << _NUMBER_BITS
+
+
 class OpenWindows:
     """A bounded set of partly filled windows, by room left; place() is best-fit and may emit the fullest."""
 
@@ -60,6 +68,13 @@ class OpenWindows:
         self.capacity, self.most, self.next_id = capacity, most, first_id
         self.rooms: list[tuple[int, int]] = []  # (room, window), sorted
 
+    def take(self) -> int:
+        """The next window's id."""
+        taken, self.next_id = self.next_id, self.next_id + 1
+        if not self.next_id % (1 << _NUMBER_BITS):
+            raise OverflowError("a partition fills 2 ** 27 windows, so its documents must be dealt over more partitions")
+        return taken
+
     def place(self, length: int) -> tuple[int, int, int | None]:
         """(window, offset in it, window emitted to make room or None)."""
         emitted = None
@@ -69,8 +84,7 @@ class OpenWindows:
         else:
             if len(self.rooms) >= self.most:
                 emitted = self.rooms.pop(0)[1]
-            room, window = self.capacity, self.next_id
-            self.next_id += 1
+            room, window = self.capacity, self.take()
         insort(self.rooms, (room - length, window))
         return window, self.capacity - room, emitted
 
@@ -81,8 +95,7 @@ def _first_windows(encoder: Callable[[], Callable[[str], np.ndarray]], end_id: i
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder()
         tail = np.array([] if end_id is None else [end_id], "<u4")
-        first = TaskContext.get().partitionId() << 40
-        windows = OpenWindows(window, most, first)
+        windows = OpenWindows(window, most, first_sequence(0, TaskContext.get().partitionId()))
         still_open: dict[int, list[tuple]] = {}
         for batch in batches:
             rows: list[tuple] = []
@@ -94,8 +107,7 @@ def _first_windows(encoder: Callable[[], Callable[[str], np.ndarray]], end_id: i
                     length = len(piece) // 4
                     kept = piece if keep_ids else None
                     if length == window:
-                        rows.append((doc_id, start, length, kept, zlib.crc32(piece), n, windows.next_id, 0, False))
-                        windows.next_id += 1
+                        rows.append((doc_id, start, length, kept, zlib.crc32(piece), n, windows.take(), 0, False))
                         continue
                     to, offset, emitted = windows.place(length)
                     still_open.setdefault(to, []).append((doc_id, start, length, kept, zlib.crc32(piece), n, to, offset, True))
@@ -117,8 +129,7 @@ def _merged(window: int, most: int, last: bool, epoch: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = pd.concat([pd.DataFrame({"sequence_id": [], "used": []}, dtype="int64"), *batches])
         held = held.sort_values(["used", "sequence_id"], ascending=[False, True])
-        first = (epoch << 56) + (TaskContext.get().partitionId() << 40)
-        windows = OpenWindows(window, len(held) + 1 if last else most, first)
+        windows = OpenWindows(window, len(held) + 1 if last else most, first_sequence(epoch, TaskContext.get().partitionId()))
         placed = [(w, *windows.place(int(used))[:2]) for w, used in zip(held["sequence_id"], held["used"], strict=True)]
         open_now = set() if last else {w for room, w in windows.rooms if room > 0}
         yield pd.DataFrame([(w, to, by, to in open_now) for w, to, by in placed], columns=["sequence_id", "to", "by", "open"])
@@ -141,8 +152,8 @@ def pack(
     (None: nothing does). Returns PIECES: a row for each run of ids that lies in one sequence, `start` ids after its
     document's first one and at `offset` in the sequence, with the ids as little-endian unsigned 32-bit integers
     (null unless keep_ids) and their CRC-32. Sequence ids are unique, not gapless. A null text counts as empty; an empty
-    document without end_id has no piece; a null doc_id stays null; repeated rows are packed each; an empty table gives no rows; other columns are
-    ignored. At most `open_windows` windows are open in a task, and at most `merge_windows` of them meet in a merging
+    document without end_id has no piece; a null doc_id stays null; repeated rows are packed each; an empty table gives
+    no rows; a very long text fills windows of its own, and its ids are in memory at once; other columns are ignored. At most `open_windows` windows are open in a task, and at most `merge_windows` of them meet in a merging
     task (the last round pads what is left).
     """
     read = docs.select(id_in(), F.coalesce("text", F.lit("")).alias("text"))

@@ -274,7 +274,6 @@ def test_packing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(5)
     found = packing.pack(docs, queries._byte_bpe, open_windows=4, merge_windows=8).toPandas()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     for row in docs.collect():
         ids = np.array([*tokenizer.encode(row.text, add_special_tokens=False).ids, 0], "<u4")
         mine = found[found["doc_id"] == row.doc_id].sort_values("start")
@@ -290,9 +289,18 @@ def test_packing(spark):
 def test_encoder_on_blanks_and_special_strings():
     encode = queries._byte_bpe()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    for text in ("a<|endoftext|>b", " " * 1_200_000, "\n\n x\xa0 y"):
+    for text in ("a<|endoftext|>b", "<|endoftext|>", "a<|endoftext |> b", " " * 1_200_000, " \n\t" * 400_000, "x" + "\u00a0" * 30_000 + "y", "\n\n x\xa0 y"):
         assert encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert encode("a<|endoftext|>b").tolist() == [64, 50256, 65]
+
+
+def test_sequence_ids_do_not_meet():
+    spans = [(packing.first_sequence(epoch, part), packing.first_sequence(epoch, part) + (1 << 27)) for epoch in range(4) for part in (0, 1, 65_535, 65_536, 65_537, 1 << 20, (1 << 31) - 1)]
+    assert all(a[1] <= b[0] for a, b in zip(sorted(spans), sorted(spans)[1:], strict=False)) and max(b for _, b in spans) < 1 << 63
+    windows = packing.OpenWindows(8, 2, packing.first_sequence(0, 5) + (1 << 27) - 2)
+    windows.take()
+    with pytest.raises(OverflowError):
+        windows.take()
 
 
 def test_licenses(spark):
