@@ -128,10 +128,11 @@ class PieceModel:
     def _part(self, text: str) -> bytes:
         if self.chars.issuperset(text):
             return b"".join(map(self.packed.__getitem__, self._run(text)))
-        ids = b""
+        ids = []
         for known, run in groupby(text, self.chars.__contains__):
-            ids += self._part("".join(run)) if known else b"".join(struct.pack("<I", self.byte_id[b]) for b in "".join(run).encode())
-        return ids
+            part = "".join(run)
+            ids.append(self._part(part) if known else b"".join([struct.pack("<I", self.byte_id[b]) for b in part.encode()]))
+        return b"".join(ids)
 
     def encode(self, text: str) -> bytes:
         """Ids of the text between the begin and end ids."""
