@@ -8,6 +8,7 @@ without such a container keep their own best one.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -35,25 +36,91 @@ BOILERPLATE = (
     "newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus reply "
     "replies pagination pager toolbar widget copyright legal disclaimer"
 ).split()
+# Words beside "header" that make it the article's own.
+OWN_HEADER = "article entry post story content".split()
 ROLES = "navigation banner contentinfo complementary search form dialog alert menu menubar".split()
 
-_RAW, _DROPPED, _VOID, _INLINE, _PARAGRAPH, _ARTICLE, _BOILERPLATE, _ROLES = (frozenset(x) for x in (RAW, DROPPED, VOID, INLINE, PARAGRAPH, ARTICLE, BOILERPLATE, ROLES))
+_RAW, _DROPPED, _VOID, _INLINE, _PARAGRAPH, _ARTICLE, _BOILERPLATE, _OWN_HEADER, _ROLES = (
+    frozenset(x) for x in (RAW, DROPPED, VOID, INLINE, PARAGRAPH, ARTICLE, BOILERPLATE, OWN_HEADER, ROLES)
+)
 #: An open paragraph ends where one of these begins.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Comments and declarations, tags (the second form without quotes that never close), text. A tag ends before the next <.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>|<[^<a-zA-Z!?/][^<]*|<\Z|<(?=<)|[^<]+|<",
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</(?![a-zA-Z])[^<>]*>"""
+    r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>|[^<]+|<""",
     re.S,
 )
+_END_OF = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 
 class Block:
-    """A run of text, its containers, whether it may be article text, its characters in links, and whether it is an h1."""
+    """A run of text, its innermost container, whether it may be article text, its characters in links, whether in an h1."""
+
+    __slots__ = ("text", "container", "good", "linked", "title")
+
+    def __init__(self, text: str, container: int, good: bool, linked: int, title: bool):
+        self.text, self.container, self.good, self.linked, self.title = text, container, good, linked, title
+
 
-    __slots__ = ("text", "containers", "good", "linked", "title")
+class Page:
+    """Blocks in page order, containers by number, and the paths of containers, each a step below another path.
 
-    def __init__(self, text: str, containers: tuple[int, ...], good: bool, linked: int, title: bool):
-        self.text, self.containers, self.good, self.linked, self.title = text, containers, good, linked, title
+    Container 0 and path 0 are the page itself; a container or path comes after the one it lies in. So every sum over
+    containers is one walk from the last to the first, however deep they lie.
+    """
+
+    def __init__(self):
+        self.blocks: list[Block] = []
+        self.outer, self.path_of = [0], [0]  # of each container
+        self.above, self.step, self.in_article = [0], [""], [False]  # of each path
+        self.below: dict[tuple[int, str], int] = {}
+
+    def add(self, container: int, step: str) -> int:
+        """A container inside another; returns its number."""
+        above = self.path_of[container]
+        path = self.below.get((above, step))
+        if path is None:
+            path = self.below[above, step] = len(self.step)
+            self.above.append(above)
+            self.step.append(step)
+            self.in_article.append(self.in_article[above] or _tag(self.step[above]) in _ARTICLE)
+        self.outer.append(container)
+        self.path_of.append(path)
+        return len(self.outer) - 1
+
+    def named(self, path: int) -> str:
+        steps = []
+        while path:
+            steps.append(self.step[path])
+            path = self.above[path]
+        return ">".join(reversed(steps))
+
+    def find(self, name: str) -> int | None:
+        """The path with this name."""
+        path = 0
+        for step in name.split(">") if name else []:
+            path = self.below.get((path, step))
+            if path is None:
+                return None
+        return path
+
+    def sums(self, values: list[int]) -> list[int]:
+        """For each path, the sum of the blocks' values in containers with it."""
+        total = [0] * len(self.outer)
+        for block, value in zip(self.blocks, values, strict=True):
+            total[block.container] += value
+        of_path = [0] * len(self.step)
+        for container in range(len(total) - 1, -1, -1):
+            of_path[self.path_of[container]] += total[container]
+            if container:
+                total[self.outer[container]] += total[container]
+        return of_path
+
+
+def _tag(step: str) -> str:
+    return step.split(".", 1)[0]
 
 
 def _marks(tag: str, attributes: str, in_article: bool) -> tuple[bool, str]:
@@ -61,53 +128,63 @@ def _marks(tag: str, attributes: str, in_article: bool) -> tuple[bool, str]:
     if not attributes:
         return tag in _DROPPED or tag == "header" and not in_article, tag
     found = {name.lower(): (value or "").strip("\"'") for name, value in _ATTRIBUTE.findall(attributes)}
-    names = re.split(r"[^a-z]+", f"{found.get('class', '')} {found.get('id', '')}".lower())
+    names = set(re.split(r"[^a-z]+", f"{found.get('class', '')} {found.get('id', '')}".lower()))
+    if in_article or not _OWN_HEADER.isdisjoint(names):
+        names.discard("header")
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
     bad = tag in _DROPPED or tag == "header" and not in_article or hidden or not _BOILERPLATE.isdisjoint(names) or found.get("role", "").lower() in _ROLES
-    classes = sorted({re.sub(r"\d+", "#", c) for c in found.get("class", "").split()})
+    classes = sorted({re.sub(r"[\d>]+", "#", c) for c in found.get("class", "").split()})
     return bad, ".".join([tag, *classes])
 
 
-def read_page(html: str) -> tuple[list[Block], list[str]]:
-    """Blocks in page order, and the generalised path of each container (0 is the page itself)."""
-    blocks: list[Block] = []
-    paths = [""]
-    stack: list[tuple[str, int | None, bool]] = []  # tag, container or None, bad
-    containers: tuple[int, ...] = (0,)
+def read_page(html: str) -> Page:
+    """The page's blocks and containers, in time that grows with its length only."""
+    page = Page()
+    stack: list[tuple[str, bool, bool]] = []  # tag, whether a container, bad
+    open_tags: Counter[str] = Counter()
+    unclosed: set[str] = set()
     text: list[str] = []
-    links = linked = bad = articles = 0
-    skip = None
+    here = links = linked = bad = articles = 0
 
     def close_block() -> None:
         nonlocal linked
         whole = " ".join(unescape("".join(text)).split())
         if whole:
-            blocks.append(Block(whole, containers, not bad, min(linked, len(whole)), any(t == "h1" for t, *_ in stack)))
+            page.blocks.append(Block(whole, here, not bad, min(linked, len(whole)), open_tags["h1"] > 0))
         text.clear()
         linked = 0
 
     def pop() -> None:
-        nonlocal containers, bad, articles
+        nonlocal here, bad, articles
         tag, container, was_bad = stack.pop()
-        if container is not None:
-            containers = containers[:-1]
+        open_tags[tag] -= 1
+        if container:
+            here = page.outer[here]
         bad -= was_bad
         articles -= tag in _ARTICLE
 
-    for token in _TOKEN.finditer(html):
-        tag = token[2]
+    place = 0
+    while place < len(html):
+        token = _TOKEN.match(html, place)
+        place = token.end()
+        tag = token[2] or token[5]
         if tag is None:
-            if skip is None and (token[0][0] != "<" or not token[0].startswith(("<!", "<?"))):
+            if token[0][0] != "<" or len(token[0]) == 1:
                 text.append(token[0])
                 linked += len(token[0]) * (links > 0)
             continue
-        tag, ending = tag.lower(), token[1] == "/"
-        if skip is not None:
-            if ending and tag == skip:
-                skip = None
-            continue
+        tag, ending, attributes = tag.lower(), (token[1] or token[4]) == "/", token[3] or token[6] or ""
+        closed = attributes.endswith("/")
         if tag in _RAW:
-            skip = None if ending or token[4] else tag
+            # what it holds is no markup, so its own end is looked for
+            if not ending and not closed and tag not in unclosed:
+                end = _END_OF[tag].search(html, place)
+                if end:
+                    place = end.end()
+                else:
+                    unclosed.add(tag)
+                    if tag in ("script", "style"):
+                        place = len(html)
             continue
         if tag in _INLINE:
             if tag == "a":
@@ -118,82 +195,81 @@ def read_page(html: str) -> tuple[list[Block], list[str]]:
         close_block()
         links = 0
         if ending:
-            if any(t == tag for t, *_ in stack):
+            if open_tags[tag]:
                 while stack[-1][0] != tag:
                     pop()
                 pop()
             continue
-        if tag in _VOID or token[4] and tag not in _PARAGRAPH:
+        if tag in _VOID or closed and tag not in _PARAGRAPH:
             continue
         while stack and (stack[-1][0] == "p" or stack[-1][0] in _ENDS.get(tag, ()) or stack[-1][0][0] == "h" and stack[-1][0][1:].isdigit()):
             pop()
-        is_bad, name = _marks(tag, token[3], articles > 0)
-        container = None
-        if tag not in _PARAGRAPH:
-            container = len(paths)
-            paths.append(f"{paths[containers[-1]]}>{name}" if containers[-1] else name)
-            containers = (*containers, container)
+        is_bad, step = _marks(tag, attributes, articles > 0)
+        container = tag not in _PARAGRAPH
+        if container:
+            here = page.add(here, step)
         bad += is_bad
         articles += tag in _ARTICLE
         stack.append((tag, container, is_bad))
+        open_tags[tag] += 1
     close_block()
-    return blocks, paths
+    return page
 
 
-def best_path(blocks: list[Block], paths: list[str], most: float = 0.95) -> tuple[str, float]:
+def best_path(page: Page, most: float = 0.95) -> tuple[int, int]:
     """(path, score): the path of the page's article, and the running text in containers with it.
 
     Every share is one of the whole page's running text, and containers with the same path count together. The article
     or main elements that are in no other are taken whole if they hold more than half. Without such, the path goes down
     while containers hold `most` and what they leave out has neither text of the outer container's own nor an h1.
     """
-    total, score = 0, dict.fromkeys(paths, 0)
-    for block in blocks:
-        if block.good:
-            worth = max(0, len(block.text) - 2 * block.linked)
-            total += worth
-            for path in {paths[c] for c in block.containers}:
-                score[path] += worth
-    tags = [[step.split(".")[0] for step in path.split(">")] for path in score]
-    outermost = [path for path, tag in zip(score, tags, strict=True) if tag[-1] in _ARTICLE and _ARTICLE.isdisjoint(tag[:-1])]
-    for path in outermost:
-        if 2 * score[path] > total:
+    worth = [max(0, len(b.text) - 2 * b.linked) * b.good for b in page.blocks]
+    score = page.sums(worth)
+    for path, step in enumerate(page.step):
+        if not page.in_article[path] and _tag(step) in _ARTICLE and 2 * score[path] > score[0]:
             return path, score[path]
-    here = ""
-    for path in score:
-        if not path or here and not path.startswith(here + ">") or score[path] <= 0 or score[path] < most * total:
-            continue
-        left = [b for b in blocks if b.good and path not in {paths[c] for c in b.containers} and any(paths[c] == here for c in b.containers)]
-        if not any(b.title or paths[b.containers[-1]] == here and len(b.text) > 2 * b.linked for b in left):
+    titles = page.sums([int(b.good and b.title) for b in page.blocks])
+    own = [0] * len(page.step)
+    for block, value in zip(page.blocks, worth, strict=True):
+        own[page.path_of[block.container]] += value
+    here = 0
+    for path in range(1, len(page.step)):
+        if page.above[path] == here and score[path] > 0 and score[path] >= most * score[0]:
+            if own[here] or titles[here] > titles[path]:
+                break
             here = path
     return here, score[here]
 
 
-def text_of(blocks: list[Block], paths: list[str], path: str | None) -> str:
+def text_of(page: Page, path: str | None) -> str:
     """The good blocks inside containers with the path, or with the page's own best path if they have none."""
 
-    def inside(path: str) -> list[str]:
-        chosen = {k for k, p in enumerate(paths) if p == path}
-        return [b.text for b in blocks if b.good and not chosen.isdisjoint(b.containers)]
+    def inside(path: int | None) -> list[str]:
+        if path is None:
+            return []
+        chosen = [of == path for of in page.path_of]
+        for container in range(1, len(chosen)):
+            chosen[container] |= chosen[page.outer[container]]
+        return [b.text for b in page.blocks if b.good and chosen[b.container]]
 
-    found = inside(path) if path is not None else []
-    return "\n\n".join(found or inside(best_path(blocks, paths)[0]))
+    found = inside(page.find(path)) if path is not None else []
+    return "\n\n".join(found or inside(best_path(page)[0]))
 
 
 def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for host, html in zip(batch["host"], batch["html"], strict=True):
-            blocks, paths = read_page(html)
-            path, score = best_path(blocks, paths)
+            page = read_page(html)
+            path, score = best_path(page)
             if score > 0:
-                rows.append((host, path))
+                rows.append((host, page.named(path)))
         yield pd.DataFrame(rows, columns=["host", "path"])
 
 
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        texts = [text_of(*read_page(html), path) for html, path in zip(batch["html"], batch["path"], strict=True)]
+        texts = [text_of(read_page(html), path) for html, path in zip(batch["html"], batch["path"], strict=True)]
         yield batch[["page_id", "url", "path"]].assign(text=texts)
 
 
@@ -203,7 +279,8 @@ def extract(pages: DataFrame) -> DataFrame:
     Returns page_id, url, path (the host's winning path, or null if no page of the host has running text) and text:
     blocks in page order, white space within one as a blank, joined by two line ends. Null or empty html has an empty
     text; a null url belongs to a host of its own; a null page_id stays null; repeated rows come out each and vote
-    each; an empty table gives no rows; other columns are ignored.
+    each; an empty table gives no rows; pages may be of any length and depth, read in time that grows with their length;
+    other columns are ignored.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     read = pages.select(id_in("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+import time
 import zlib
 
 import duckdb
@@ -98,10 +99,73 @@ def test_nothing_of_the_article_goes(spark, body, path):
     parts = {"long": "long text of an article " * 9, "some": "a part of the article at its end " * 2}
     html = "<body><nav>Home</nav>" + body.format(**parts) + "<div class=ad>Buy</div></body>"
     row = pages.extract(spark.createDataFrame([(1, "http://a.org/1", html)], "page_id long, url string, html string")).first()
-    everything = [b.text for b in pages.read_page(html)[0] if b.good]
+    everything = [b.text for b in pages.read_page(html).blocks if b.good]
     assert row.text == "\n\n".join(everything) and row.path == path and len(everything) > 1
 
 
+SCRIPTS = ["if(a<b){x()}", "for(i=0;i<n;i++)s+='</p>'", 'var t="<div class=\\"x\\">";', "a<!--b", "/* it's */ x<y"]
+
+
+def page_of(generator):
+    """A page and its article's blocks, known before any markup is put around them."""
+    word = lambda: "".join(generator.choice("abcdefgh<&\u00e9") for _ in range(generator.randint(1, 8)))
+    escaped = lambda t: t.replace("&", generator.choice(["&amp;", "&#38;"])).replace("<", generator.choice(["&lt;", "&#x3c;"]))
+    junk = lambda: generator.choice([
+        f"<script>{generator.choice(SCRIPTS)}</script>", f"<style>p>a{{}}</style><script type='x'>{generator.choice(SCRIPTS)}</SCRIPT >", "<!-- <p>no</p> -->", "<nav><a href='/a>b'>Home</a></nav>",
+        "<aside><p>Side</p></aside>", "<form>Name <input value='<p>'></form>", "<div class='cookie-notice'><p>Agree</p></div>", "<div id=comments><div><p>I say</p></div></div>", "",
+    ])
+    blocks, parts = [], []
+    for _ in range(generator.randint(1, 12)):
+        words = [word() for _ in range(generator.randint(6, 30))]
+        blocks.append(" ".join(words))
+        tag = generator.choice(["p", "p title='a>b'", "h2", "li", "blockquote", "div class=part"])
+        inner = generator.choice([" ", "\n", "\t "]).join(f"<b>{escaped(w)}</b>" if generator.random() < 0.1 else escaped(w) for w in words)
+        parts.append(f"<{tag}>{inner}</{tag.split()[0]}>{junk()}")
+    wrap = generator.choice(["<article>{}</article>", "<div class=wrap><article>{}</article></div>", "<main><div>{}</div></main>"])
+    return f"<!DOCTYPE html><html><head><title>T < U</title>{junk()}</head><body>{junk()}<header><p>Site</p></header>{wrap.format(''.join(parts))}{junk()}<footer>End</footer></body></html>", blocks
+
+
+def test_pages_of_known_text(spark):
+    made = [page_of(random.Random(k)) for k in range(300)]
+    rows = [(k, f"http://h{k}.org/", html) for k, (html, _) in enumerate(made)]
+    found = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k, (html, blocks) in enumerate(made):
+        assert found[k] == "\n\n".join(blocks), html
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    ("<script>if(a<b){x()}</script><p>Text one</p>", "Text one"),
+    ("<script>for(i=0;i<n;i++){}</script><p>Text one</p><script src=a></script><p>two", "Text one\n\ntwo"),
+    ("<svg><p>Text</p>", "Text"),
+    ("<p>Text<script>x", "Text"),
+    ("<div class=post><div class='entry-header'><h1>Title</h1></div><p>Text</p></div>", "Title\n\nText"),
+    ("<article><div class='header'><h1>Title</h1></div><p>Text</p></article>", "Title\n\nText"),
+    ("<div class='site-header'>Site</div><p>Text</p>", "Text"),
+    ("<p title='a>b\">Text</p><p>'", "b\">Text\n\n'"),  # a tag whose quotes reach past all its ends stops at the first
+    ("<p title=5\" x>Text</p>", "Text"),
+    ("<p>1 < 2 and <3</p></ p>", "1 < 2 and <3"),
+])
+def test_page_markup(html, text):
+    assert pages.text_of(pages.read_page(html), None) == text
+
+
+@pytest.mark.parametrize("html", [
+    "<a " * 350_000 + "<p>end", "<div>" * 100_000 + "<p>end", "<div>" * 100_000 + "</x>" * 100_000 + "<p>end", "<svg>" * 100_000 + "<p>end", "<p>" * 100_000 + "end",
+    "".join(f"<div class=c{k % 7}x>" for k in range(100_000)) + "<p>end", "<a '" * 200_001 + "'><p>end", "<" * 500_000 + "<p>end", "<script>" + "</scrip" * 100_000 + "</script><p>end",
+])
+def test_long_and_deep_pages(html):
+    start = time.perf_counter()
+    page = pages.read_page(html)
+    path, _ = pages.best_path(page)
+    assert pages.text_of(page, page.named(path)).endswith("end") and time.perf_counter() - start < 30
+
+
+def test_pages_with_clashing_columns(spark):
+    rows = [(1, "http://a.org/1", "<p>one", "x", "y", 5), (None, None, None, None, None, None)]
+    found = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host string, path string, n long")).collect()
+    assert {(r.page_id, r.text) for r in found} == {(1, "one"), (None, "")}
+
+
 def test_forest(spark):
     random_ = np.random.default_rng(3)
     base = random_.standard_normal((60, 16))
