@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words in notes, classes and spellings of flags.
-LOWER_DIVISION_NOTES = ["fcs", "division ii", "division iii", "naia", "exhibition"]
-PLAYOFF_NOTES = ["playoff", "cfp", "semifinal", "national championship"]
+LOWER_DIVISION_NOTES = ["fcs", "championship subdivision", "division ii", "division iii"]
+PLAYOFF_NOTES = ["semifinal", "national championship", "college football playoff", "cfp"]
 TRUE_WORDS, FALSE_WORDS = ["1", "true", "t", "yes", "y"], ["0", "false", "f", "no", "n"]
 
 
@@ -42,16 +42,33 @@ def is_top_division(home_class: Column, away_class: Column, notes: Column) -> Co
     return F.when((home != "") | (away != ""), (home == "fbs") & (away == "fbs")).otherwise(~_mentions(notes, LOWER_DIVISION_NOTES))
 
 
-def game_type(flagged: Column, notes: Column, both_in_top_four: Column, postseason: Column) -> Column:
-    """playoff by the flag, by the notes, or by two top-four teams meeting in the postseason; else regular."""
-    return F.when(flagged | _mentions(notes, PLAYOFF_NOTES) | (postseason & both_in_top_four), "playoff").otherwise("regular")
+def season_part(value: Column) -> Column:
+    """regular, postseason or another part of the season, regular where none is given."""
+    text = F.lower(F.trim(F.coalesce(value, F.lit(""))))
+    return F.when(text == "", "regular").otherwise(text)
+
+
+def game_type(part: Column, flagged: Column, notes: Column, both_in_top_four: Column) -> Column:
+    """playoff for a postseason game that is flagged, has such notes, or is between two top-four teams; else regular."""
+    named = F.coalesce(flagged, F.lit(False)) | _mentions(notes, PLAYOFF_NOTES) | F.coalesce(both_in_top_four, F.lit(False))
+    return F.when((part == "postseason") & named, "playoff").otherwise("regular")
 
 
-def game_phase(season_type: Column, kind: Column) -> Column:
+def game_phase(part: Column, kind: Column) -> Column:
     """regular, cfp or bowl."""
-    return F.when(F.lower(season_type) != "postseason", "regular").when(kind == "playoff", "cfp").otherwise("bowl")
+    return F.when(part == "regular", "regular").when(kind == "playoff", "cfp").otherwise("bowl")
+
+
+def week_number(value: Column) -> Column:
+    """A whole number, 0 where blank; null for anything else."""
+    text = F.trim(F.coalesce(value.cast("string"), F.lit("")))
+    return F.when(text == "", 0).otherwise(text.try_cast("int"))
 
 
-def row_fault(kind: Column, phase: Column, home_flag: Column) -> Column:
-    """What is wrong with a row, null if nothing: rows with a fault are set aside."""
-    return F.when(~kind.isin("regular", "playoff"), "game_type").when(~phase.isin("regular", "bowl", "cfp"), "game_phase").when(home_flag.isNull(), "flag")
+def row_fault(kind: Column, phase: Column, *flags: Column) -> Column:
+    """What is wrong with a row, null if nothing: an unknown or missing type or phase, or a flag that could not be read."""
+    fault = F.when(~F.coalesce(kind.isin("regular", "playoff"), F.lit(False)), "game_type")
+    fault = fault.when(~F.coalesce(phase.isin("regular", "bowl", "cfp"), F.lit(False)), "game_phase")
+    for flag in flags:
+        fault = fault.when(flag.isNull(), "flag")
+    return fault

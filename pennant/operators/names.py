@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pennant.functions.text import confidence, loose_key, similarity, trimmed
+from pennant.functions.text import HIGH, OVERLAP_WEIGHT, SEQUENCE_WEIGHT, SORTED_WEIGHT, confidence, loose_key, similarity, trimmed
+
+# Fixed value: the score a name of up to four characters needs.
+SHORT_SCORE = 0.95
+#: Teams (a few hundred bytes each) that are broadcast at most.
+BROADCAST_TEAMS = 100_000
 
 
 def resolve(names: DataFrame, teams: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -36,15 +41,59 @@ def unknown(names: DataFrame, teams: DataFrame, aliases: DataFrame) -> DataFrame
     return names.select(trimmed(F.col("name")).alias("name")).where("name <> ''").distinct().join(known, "name", "left_anti")
 
 
-def suggest(names: DataFrame, teams: DataFrame, threshold: float = 0.86, short: int = 4, short_score: float = 0.97) -> DataFrame:
-    """The best team for each unknown name (alias, team_name, score, confidence); weak and short matches go.
+def suggest(
+    names: DataFrame, teams: DataFrame, aliases: DataFrame | None = None, manual: dict[str, str] | None = None, threshold: float = 0.86
+) -> tuple[DataFrame, DataFrame]:
+    """(matches, skipped) for unknown names (name).
+
+    matches: alias, team_name, score, confidence, reason, order by in_order(). A manual entry wins, under its own or its
+    loose key; else it is the best team, the first by team_id where equal, unless weak. skipped: alias, reason.
 
-    Every name is scored against every team by definition; the teams are the small side, and names are few.
+    A team can only be suggested if the names' letters allow it: the matched share of two strings is at most twice the
+    letters they have in common over all letters. Teams that cannot reach the threshold by that bound are not compared;
+    each pair left is scored once. The teams are the smaller side and are broadcast if a count finds them few.
     """
     keyed = names.select(F.col("name").alias("alias"), loose_key(F.col("name")).alias("a"))
-    others = teams.select("team_id", "team_name", loose_key(F.col("team_name")).alias("b"))
-    scored = keyed.crossJoin(others).withColumn("score", similarity(F.col("a"), F.col("b")))
-    best = Window.partitionBy("alias").orderBy(F.desc("score"), "team_id")
-    top = scored.withColumn("k", F.row_number().over(best)).where("k = 1")
-    enough = F.col("score") >= F.when(F.length("a") <= short, short_score).otherwise(threshold)
-    return top.where(enough).select("alias", "team_name", "score", confidence(F.col("score")).alias("confidence"))
+    if aliases is None:
+        aliases = names.select(F.col("name").alias("alias")).limit(0)
+    known = keyed.join(aliases.select("alias").distinct(), "alias", "left_semi")
+    rest = keyed.join(aliases.select("alias").distinct(), "alias", "left_anti")
+    exact, loose = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for alias, team in (manual or {}).items():
+        exact = F.when(F.col("alias") == alias, team).otherwise(exact)
+        loose = F.when(F.col("a") == loose_key(F.lit(alias)), team).otherwise(loose)
+    rest = rest.withColumns({"exact": exact, "loose": loose})
+    given = rest.where("exact is not null or loose is not null").select(
+        "alias", F.coalesce("exact", "loose").alias("team_name"), F.lit(1.0).alias("score"), F.lit("HIGH").alias("confidence"),
+        F.when(F.col("exact").isNotNull(), "manual override (exact key)").otherwise("manual override (normalized key)").alias("reason"),
+    )
+    rest = rest.where("exact is null and loose is null").select("alias", "a", _letters(F.col("a")).alias("la"))
+    others = teams.select("team_id", "team_name", loose_key(F.col("team_name")).alias("b")).withColumn("lb", _letters(F.col("b")))
+    if others.limit(BROADCAST_TEAMS + 1).count() <= BROADCAST_TEAMS:
+        others = F.broadcast(others)
+    common = F.aggregate(F.zip_with("la", "lb", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
+    most = (SEQUENCE_WEIGHT + SORTED_WEIGHT) * 2 * common / (F.length("a") + F.length("b")) + OVERLAP_WEIGHT
+    near = rest.join(others, (F.col("a") != "") & (F.col("b") != "") & (most >= threshold - 1e-9))
+    scored = near.withColumn("score", similarity(F.col("a"), F.col("b")))
+    best = scored.groupBy("alias", "a").agg(F.max_by(F.struct("team_name", "b", "score"), F.struct("score", -F.col("team_id"))).alias("t")).select("alias", "a", "t.*")
+    words = lambda c: F.split(c, " ")
+    missing = F.exists(words("a"), lambda w: (F.length(w) >= 4) & ~F.array_contains(words("b"), w))
+    weak = (
+        F.when(F.col("score").isNull() | (F.col("score") < threshold), "score below the threshold")
+        .when((F.length("a") <= 4) & (F.col("score") < SHORT_SCORE), "alias too short for non-exact match")
+        .when(missing & (F.col("score") < HIGH), "missing token")
+    )
+    judged = rest.select("alias").join(best, "alias", "left").withColumn("weak", weak)
+    found = judged.where("weak is null").select("alias", "team_name", "score", confidence(F.col("score")).alias("confidence"), F.lit("fuzzy match").alias("reason"))
+    skipped = known.select("alias", F.lit("already in team_aliases").alias("reason")).unionByName(judged.where("weak is not null").select("alias", F.col("weak").alias("reason")))
+    return given.unionByName(found), skipped
+
+
+def _letters(key: Column) -> Column:
+    """How often each of the characters a loose key can have stands in it."""
+    return F.array(*[F.length(key) - F.length(F.replace(key, F.lit(c), F.lit(""))) for c in "abcdefghijklmnopqrstuvwxyz0123456789 "])
+
+
+def in_order(matches: DataFrame) -> DataFrame:
+    """Matches as they are listed: HIGH ones first, then by falling score and name."""
+    return matches.orderBy(F.col("confidence") != "HIGH", F.desc("score"), "alias")

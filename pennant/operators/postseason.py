@@ -135,7 +135,7 @@ def slot_bracket(bracket: DataFrame) -> DataFrame:
 
 
 def tiers(conference_seasons: DataFrame, independents: str) -> DataFrame:
-    """The ten best conferences of a season by points per game, independents left out."""
+    """The ten best conferences of a season by points per game, independents left out; see at_least() for the check."""
     rows = conference_seasons.where(F.col("conference") != independents)
     return ranked(rows, "tier", F.desc("points_per_game"), "conference").where("tier <= 10").select("season_year", "conference", "tier")
 
@@ -156,3 +156,26 @@ def select_field(tiered: DataFrame, members: DataFrame, standings: DataFrame, te
     out = ["season_year", "conference", "team_id", "tier", "slot", "pot", "bid_type"]
     field = chosen.withColumn("bid_type", bid).select(out).unionByName(alone.withColumns({"tier": F.lit(None).cast("int"), "pot": F.col("slot"), "bid_type": F.lit("at_large")}).select(out))
     return field.withColumn("field_size", F.count("*").over(Window.partitionBy("season_year")))
+
+
+def at_least(rows: DataFrame, n: int, what: str) -> DataFrame:
+    """rows, if every season has at least n of them; else an error that names the seasons."""
+    return _all_seasons(rows, F.count("*") >= n, f"fewer than {n} {what}")
+
+
+def sized(field: DataFrame, n: int = 24) -> DataFrame:
+    """The field, if every season has n teams; else an error."""
+    return _all_seasons(field, F.count("*") == n, f"not {n} teams")
+
+
+def complete(potted: DataFrame, n: int = 24, byes: int = 8) -> DataFrame:
+    """A field with pots, if every season has n teams, the byes and two pots of equal size; else an error."""
+    of = lambda p: F.count_if(F.col("pot") == p)
+    return _all_seasons(potted, (F.count("*") == n) & (of(0) == byes) & (of(1) == (n - byes) // 2) & (of(2) == (n - byes) // 2), f"not {n} teams with {byes} byes and two equal pots")
+
+
+def _all_seasons(rows: DataFrame, holds: Column, fault: str) -> DataFrame:
+    bad = [r["season_year"] for r in rows.groupBy("season_year").agg(holds.alias("holds")).where("not holds").orderBy("season_year").collect()]  # one row a season
+    if bad:
+        raise ValueError(f"{fault} in {', '.join(map(str, bad))}")
+    return rows

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -57,9 +57,51 @@ def field_counts(field: DataFrame) -> DataFrame:
     return rows.groupBy("season_year").agg(F.sum("is_bye").alias("byes"), F.sum("is_champion").alias("champions"), F.count("*").alias("teams"))
 
 
+def season_report(year: int, teams: DataFrame, standings: DataFrame, team_seasons: DataFrame, conference_seasons: DataFrame, field: DataFrame, best: int = 25) -> dict[str, DataFrame]:
+    """The four tables of a season in their order: standings, the best teams, conferences, the playoff field."""
+    of = lambda rows: between_seasons(rows, year=year)
+    named = lambda rows: of(rows).drop("team_name").join(teams.select("team_id", "team_name"), "team_id")
+    counts = [c for c in ("overall_wins", "overall_losses", "conf_wins", "conf_losses") if c in standings.columns]
+    seen = [c for c in ("conference", "pot", "seed", "slot", "rank", "is_champion") if c in field.columns]
+    return {
+        "standings": named(standings).select("conference", "conf_rank", "team_name", *counts).orderBy("conference", "conf_rank", "team_name"),
+        "teams": top(named(team_seasons), best, F.desc("points_per_game"), F.desc("total_points"), "team_name").select("team_name", "total_points", "games_counted", "points_per_game"),
+        "conferences": of(conference_seasons).select("conference", "total_points", "points_per_game").orderBy(F.desc("points_per_game"), F.desc("total_points"), "conference"),
+        "field": named(field).select("team_name", *seen).orderBy(*[c for c in ("seed", "pot", "conference") if c in seen], "team_name"),
+    }
+
+
+# Tables in the order they are looked for, and parts of the names of others like them.
+TEAM_TABLES, CONFERENCE_TABLES = ["team_coefficient_by_year"], [
+    "conference_coefficient_by_year", "conference_coefficient_rolling_5yr", "conference_coefficient_by_year_rolling_5yr", "conference_coefficient", "conference_ratings_by_year",
+]
+
+
+def find_table(tables: list[str], wanted: list[str], *parts: list[str]) -> str | None:
+    """The first wanted name among the tables, else the first table that has one of each list of parts in its name."""
+    exact = next((w for w in wanted if w in tables), None)
+    return exact or (next((t for t in tables if all(any(x in t for x in some) for some in parts)), None) if parts else None)
+
+
+def coefficient_tables(spark: SparkSession) -> tuple[str, str | None]:
+    """The catalog's tables of team and conference coefficients; none for teams is an error."""
+    tables = sorted(t.name for t in spark.catalog.listTables())
+    team = find_table(tables, TEAM_TABLES, ["team_coefficient"])
+    if team is None:
+        raise ValueError("no table of team coefficients")
+    return team, find_table(tables, CONFERENCE_TABLES, ["conference", "league"], ["coefficient", "coe", "rating"])
+
+
+def table_columns(spark: SparkSession, table: str) -> list[str]:
+    """The columns of a table of the catalog, none if there is no such table."""
+    return spark.table(table).columns if spark.catalog.tableExists(table) else []
+
+
 def console(rows: DataFrame, most: int = 200) -> str:
-    """A small result as a fixed-width table: null as nothing, floats without trailing zeros."""
+    """The first rows as a fixed-width table: null as nothing, floats without trailing zeros; a last line tells of more."""
     text = lambda v: "" if v is None else f"{v:.6f}".rstrip("0").rstrip(".") if isinstance(v, float) else str(v)
-    table = [list(rows.columns), *[[text(v) for v in row] for row in rows.limit(most).collect()]]
+    read = [[text(v) for v in row] for row in rows.limit(most + 1).collect()]
+    table = [list(rows.columns), *read[:most]]
     widths = [max(len(r[k]) for r in table) for k in range(len(rows.columns))]
-    return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, widths, strict=True)).rstrip() for r in table)
+    lines = ["  ".join(v.ljust(w) for v, w in zip(r, widths, strict=True)).rstrip() for r in table]
+    return "\n".join([*lines, f"... more than {most} rows"] if len(read) > most else lines)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,3 +48,19 @@ def alias_script(matches: DataFrame) -> DataFrame:
     """SQL text (value) that adds the matched aliases."""
     values = F.concat(F.lit("INSERT OR IGNORE INTO team_aliases (alias, team_name) VALUES ("), sql_quoted(F.col("alias")), F.lit(", "), sql_quoted(F.col("team_name")), F.lit(");"))
     return matches.select(values.alias("value"))
+
+
+def rounded(rows: DataFrame, digits: int = 6) -> DataFrame:
+    """rows with all fractional columns rounded, as the files of ratings have them."""
+    return rows.select(*[F.round(c, digits).alias(c) if kind in ("double", "float") else F.col(c) for c, kind in rows.dtypes])
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """rows computed once and kept in the folder of spark.checkpoint.dir, for plans that use them several times."""
+    context = rows.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and context.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="pennant-"))
+    return rows.checkpoint()

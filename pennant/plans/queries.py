@@ -52,7 +52,7 @@ _TABLES = {
     "pots1": lambda x: postseason.pots(x.qualified1, x.team_rolling, x.teams, postseason.YEAR1_POTS),
     "pots2": lambda x: postseason.pots(x.qualified2, x.team_rolling, x.teams),
     "balanced": lambda x: postseason.balance(x.pots2),
-    "bracket": lambda x: postseason.draw(x.balanced),
+    "bracket": lambda x: store.settled(postseason.draw(x.balanced)),
     "pairs": lambda x: postseason.round_of_24(x.bracket),
     "ratings": lambda x: ratings.iterative_ratings(x.games).withColumn("rating", F.round("rating", 6)),
     "rated": lambda x: x.ratings.join(x.members, ["season_year", "team_id"], "left"),
@@ -113,8 +113,8 @@ _plain("wn4_conference_rank", "conf_ranks", "SELECT * EXCLUDE s FROM crank")
 _plain("ag9_records", "records", "SELECT * FROM rec")
 _plain("wn6_standings", "standings", "SELECT * FROM stand")
 query("jn3_rp10_validation", "SELECT rec.*, conf_rank AS imported_rank FROM rec LEFT JOIN (SELECT * FROM stand WHERE conf_rank <= 3) USING (season_year, conference, team_id)")(lambda x: records.validate(x.records, x.standings.where("conf_rank <= 3")))
-query("jn12_known_conferences", "SELECT * FROM rec WHERE conference IN (SELECT conference FROM crank WHERE conf_coe_rank <= 10 AND season_year = 2000)")(
-    lambda x: x.records.join(x.conf_ranks.where("conf_coe_rank <= 10 and season_year = 2000"), "conference", "left_semi").select(x.records.columns)
+query("jn12_known_conferences", "SELECT * FROM rec WHERE (season_year, conference) IN (SELECT (season_year, conference) FROM crank WHERE conf_coe_rank <= 10)")(
+    lambda x: x.records.join(x.conf_ranks.where("conf_coe_rank <= 10"), ["season_year", "conference"], "left_semi").select(x.records.columns)
 )
 # bids and qualifiers
 _plain("al2_al4_bids_year1", "bids1", "SELECT * FROM bids_year1")
@@ -175,6 +175,7 @@ FROM rated JOIN (SELECT season_year AS end_year FROM season WHERE season_year -
 query("ag13_conference_champions", "SELECT season_year, conference, team_id, rating FROM champ12")(lambda x: ratings.champions(x.rated).select("season_year", "conference", "team_id", "rating"))
 _plain("al15_field_of_twelve", "twelve", "SELECT * FROM field12")
 query("al16_first_round", "SELECT h.season_year, h.seed AS high_seed, h.team_id AS high_team, l.seed AS low_seed, l.team_id AS low_team FROM field12 h JOIN field12 l ON l.season_year = h.season_year AND h.seed + l.seed = 17 WHERE h.seed BETWEEN 5 AND 8")(lambda x: ratings.first_round_of_twelve(x.twelve))
+query("sk6_rounded_ratings", "SELECT season_year, team_id, round(points_per_game, 6) AS points_per_game FROM tyear")(lambda x: store.rounded(x.team_seasons.select("season_year", "team_id", "points_per_game")))
 # reports
 query("rp1_team_report", "SELECT season_year, total_points, games_counted, points_per_game FROM tyear WHERE team_id = 7 AND season_year BETWEEN 1996 AND 2000")(lambda x: reports.between_seasons(x.team_seasons.where("team_id = 7"), start=1996, end=2000).select("season_year", "total_points", "games_counted", "points_per_game"))
 query("rp2_conference_report", "SELECT * FROM cyear WHERE conference = 'NATION_5'")(lambda x: x.conf_seasons.where("conference = 'NATION_5'"))
@@ -189,11 +190,18 @@ query("rp8_wn7_jn4_seed_list", "SELECT season_year, CAST(row_number() OVER (PART
     lambda x: reports.seed_list(x.qualified2, x.team_rolling, x.teams)
 )
 query("rp6_st5_selectors", "SELECT DISTINCT season_year, formula_version FROM tyear")(lambda x: x.team_seasons.select("season_year", "formula_version").distinct())
-query("st1_mixed_order", "SELECT conference, team_id, conf_rank FROM stand WHERE season_year = 1998 ORDER BY conference, conf_rank DESC LIMIT 40")(lambda x: x.standings.where("season_year = 1998").orderBy("conference", F.desc("conf_rank")).limit(40).select("conference", "team_id", "conf_rank"))
+query("st1_mixed_order", "SELECT season_year, conference, team_id, conf_rank, CAST(row_number() OVER (PARTITION BY season_year ORDER BY conference, conf_rank DESC, team_id) AS INTEGER) AS place FROM stand")(
+    lambda x: coefficients.ranked(x.standings, "place", "conference", F.desc("conf_rank"), "team_id").select("season_year", "conference", "team_id", "conf_rank", "place")
+)
 query("pf30_like", "SELECT team_name FROM team WHERE team_name ILIKE '%mer#00000001%' ORDER BY team_name LIMIT 8")(lambda x: reports.like_names(x.teams, "team_name", "MER#00000001"))
 query("ag16_counts", "SELECT season_year, count(*) AS games, count(home_score) AS scored, count(*) FILTER (home_conference IS NULL OR away_conference IS NULL) AS outside FROM enriched GROUP BY season_year")(
     lambda x: x.enriched.groupBy("season_year").agg(F.count("*").alias("games"), F.count("home_score").alias("scored"), F.count_if(F.col("home_conference").isNull() | F.col("away_conference").isNull()).alias("outside"))
 )
+_SEASON = lambda x: reports.season_report(1999, x.teams, x.standings.join(x.records.select("season_year", "team_id", "overall_wins", "overall_losses", "conf_wins", "conf_losses"), ["season_year", "team_id"]) if "overall_wins" not in x.standings.columns else x.standings, x.team_seasons, x.conf_seasons, x.balanced)
+query("rp4_standings", "SELECT s.conference, s.conf_rank, team.team_name, r.overall_wins, r.overall_losses, r.conf_wins, r.conf_losses FROM stand s JOIN rec r USING (season_year, team_id) JOIN team USING (team_id) WHERE season_year = 1999")(lambda x: _SEASON(x)["standings"])
+query("rp4_teams", "SELECT team_name, total_points, games_counted, points_per_game FROM tyear JOIN team USING (team_id) WHERE season_year = 1999 ORDER BY points_per_game DESC, total_points DESC, team_name LIMIT 25")(lambda x: _SEASON(x)["teams"])
+query("rp4_conferences", "SELECT conference, total_points, points_per_game FROM cyear WHERE season_year = 1999")(lambda x: _SEASON(x)["conferences"])
+query("rp4_field", "SELECT team_name, conference, pot FROM pots_year2 WHERE season_year = 1999")(lambda x: _SEASON(x)["field"].select("team_name", "conference", "pot"))
 # names
 query("jn8_resolve", "SELECT name, coalesce(t.team_id, b.team_id) AS team_id FROM raw LEFT JOIN team t ON t.team_name = trim(name) LEFT JOIN al ON al.alias = trim(name) LEFT JOIN team b ON b.team_name = al.team_name", raw=CONF_NAMES, al=ALIASES)(lambda x: names.resolve(x.raw_names, x.teams, x.aliases))
 query("jn9_canonical", "SELECT name, coalesce(al.team_name, trim(name)) AS team_name FROM raw LEFT JOIN al ON al.alias = trim(name)", raw=CONF_NAMES, al=ALIASES)(lambda x: names.canonical(x.raw_names, x.aliases))
@@ -208,10 +216,15 @@ SELECT season_year, team_id, arg_max(conference_name, (effective_year_start, con
     ali="SELECT c_custkey AS team_id, 'CONF_' || (c_custkey % 8) AS conference_name, CAST(1996 + c_custkey % 3 AS INTEGER) AS effective_year_start FROM customer UNION ALL SELECT c_custkey, 'NEW', 2000 FROM customer WHERE c_custkey % 4 = 0")(
     lambda x: names.conference_map(x.members, x.teams.select("team_id", F.concat(F.lit("CONF_"), (F.col("team_id") % 8).cast("string")).alias("conference_name"), (1996 + F.col("team_id") % 3).cast("int").alias("effective_year_start")).unionByName(x.teams.where("team_id % 4 = 0").select("team_id", F.lit("NEW").alias("conference_name"), F.lit(2000).alias("effective_year_start"))), x.seasons)
 )
-query("jn14_al17_al18_pf26_suggestions")(lambda x: names.suggest(x.teams.where("team_id < 20").select(F.concat(F.lit("Cústomer "), F.substring("team_name", 10, 9)).alias("name")), x.teams.where("team_id < 150")))
+query("jn14_al17_al18_pf26_suggestions")(lambda x: names.suggest(names.unknown(x.raw_names, x.teams, x.aliases), x.teams, x.aliases, {"Customer#000000007 B": "Customer#000000008"})[0])
 # stores
-query("sk1_append_keep_first", "SELECT game_id, home_team_id FROM game WHERE game_id < 900 UNION ALL SELECT game_id, home_team_id FROM game g WHERE game_id BETWEEN 900 AND 1100")(
-    lambda x: store.append_keep_first(x.games.where("game_id < 900").select("game_id", "home_team_id"), x.games.where("game_id between 500 and 1100").select("game_id", "home_team_id"), ["game_id"], "home_team_id")
+query("sk1_append_keep_first", """SELECT game_id, home_team_id AS v FROM game WHERE game_id % 3 <> 0 UNION ALL SELECT game_id, least(home_team_id, away_team_id) FROM game WHERE game_id % 3 = 0
+UNION ALL SELECT NULL, away_team_id FROM game WHERE game_id % 11 = 0""")(
+    lambda x: store.append_keep_first(
+        x.games.where("game_id % 3 <> 0").select("game_id", F.col("home_team_id").alias("v")),
+        x.games.select("game_id", F.explode(F.array("away_team_id", "home_team_id")).alias("v")).unionByName(x.games.where("game_id % 11 = 0").select(F.lit(None).cast("long").alias("game_id"), F.col("away_team_id").alias("v"))),
+        ["game_id"], "v",
+    )
 )
 query("sk2_upsert", "SELECT season_year, slot, team_id FROM old WHERE (season_year, slot) NOT IN (SELECT season_year, slot FROM fresh) AND (season_year, team_id) NOT IN (SELECT season_year, team_id FROM fresh) UNION ALL SELECT * FROM fresh",
     old="SELECT season_year, slot, team_id FROM bracket", fresh="SELECT season_year, slot, team_id + 1 AS team_id FROM bracket WHERE slot <= 3")(
@@ -220,24 +233,86 @@ query("sk2_upsert", "SELECT season_year, slot, team_id FROM old WHERE (season_ye
 query("sk7_alias_script", "SELECT 'INSERT OR IGNORE INTO team_aliases (alias, team_name) VALUES (''' || replace(alias, '''', '''''') || ''', ''' || replace(team_name, '''', '''''') || ''');' AS value FROM al", al="SELECT 'O''' || c_name AS alias, c_name AS team_name FROM customer")(
     lambda x: store.alias_script(x.teams.select(F.concat(F.lit("O'"), "team_name").alias("alias"), "team_name"))
 )
-query("al19_membership_backfill", "SELECT DISTINCT season_year, team_id, 'HISTORICAL' AS conference FROM side WHERE season_year < 1998")(lambda x: x.sides.where("season_year < 1998").select("season_year", "team_id", F.lit("HISTORICAL").alias("conference")).distinct())
+query("al19_membership_backfill", "SELECT DISTINCT season_year, team_id, 'HISTORICAL' AS conference FROM side WHERE conference IS NULL")(lambda x: x.sides.where("conference is null").select("season_year", "team_id", F.lit("HISTORICAL").alias("conference")).distinct())
 # sources and parsing
-query("sc2_clean_ratings", "SELECT CAST(season_year AS INTEGER) AS season_year, team_name, CAST(max(rating) AS DOUBLE) AS rating FROM (SELECT season_year, team_name, conf_coe_rank + 0e0 AS rating FROM crank JOIN team ON team_id % 25 = conf_coe_rank - 1) WHERE season_year < 2000 GROUP BY ALL")(
-    lambda x: files.clean_ratings(x.conf_ranks.join(x.teams, F.col("team_id") % 25 == F.col("conf_coe_rank") - 1).where("season_year < 2000").select(F.col("season_year").cast("string").alias("Year"), F.concat(F.lit(" "), "team_name").alias("School"), F.col("conf_coe_rank").cast("string").alias("Score"), F.lit(1).alias("_order"))
+query("sc2_clean_ratings", "SELECT CAST(season_year AS INTEGER) AS season_year, team_name, CAST(max(rating) AS DOUBLE) AS rating FROM (SELECT season_year, team_name, conf_coe_rank + 0e0 AS rating FROM crank JOIN team ON team_id % 25 = conf_coe_rank - 1) GROUP BY ALL")(
+    lambda x: files.clean_ratings(x.conf_ranks.join(x.teams, F.col("team_id") % 25 == F.col("conf_coe_rank") - 1).select(F.col("season_year").cast("string").alias("Year"), F.concat(F.lit(" "), "team_name").alias("School"), F.col("conf_coe_rank").cast("string").alias("Score"), F.lit(1).alias("_order"))
         .unionByName(x.teams.select(F.lit("bad").alias("Year"), F.col("team_name").alias("School"), F.lit("1").alias("Score"), F.lit(2).alias("_order"))))
 )
 query("pf20_pf22_parsing", "SELECT game_id, went_ot AS api, CASE WHEN went_ot = 1 THEN 1 ELSE 0 END AS flag, CAST(game_date AS VARCHAR) AS day FROM game")(
     lambda x: x.games.select("game_id", parsing.flag_from_api(F.when(F.col("went_ot") == 1, "True").otherwise("None")).alias("api"), parsing.flag_from_text(F.when(F.col("went_ot") == 1, " Yes ").otherwise("")).alias("flag"), parsing.game_date(F.concat(F.col("game_date").cast("string"), F.lit("T12:00Z"))).cast("string").alias("day"))
 )
-query("pf15_pf17_classes", """SELECT game_id, game_id % 3 <> 1 AS top, CASE WHEN game_phase = 'cfp' OR game_id % 11 = 0 THEN 'playoff' ELSE 'regular' END AS kind,
-CASE WHEN game_phase = 'regular' THEN 'regular' WHEN game_phase = 'cfp' OR game_id % 11 = 0 THEN 'cfp' ELSE 'bowl' END AS phase FROM game""")(
-    lambda x: x.games.withColumns({"notes": F.when(F.col("game_id") % 11 == 0, "A CFP Semifinal").when(F.col("game_id") % 3 == 1, "FCS opponent"), "st": F.when(F.col("game_phase") == "regular", "regular").otherwise("postseason")})
-    .withColumn("kind", parsing.game_type(F.col("game_phase") == "cfp", F.col("notes"), F.lit(False), F.col("st") == "postseason"))
-    .select("game_id", parsing.is_top_division(F.lit(None).cast("string"), F.lit(""), F.when(F.col("game_id") % 3 == 1, "FCS opponent")).alias("top"), "kind", parsing.game_phase(F.col("st"), F.col("kind")).alias("phase"))
+_KIND = """CASE WHEN game_phase <> 'regular' AND (game_id % 7 = 0 OR game_id % 6 IN (0, 4) OR home_team_id % 4 = 0 AND away_team_id % 4 = 0) THEN 'playoff' ELSE 'regular' END"""
+_PHASE = "CASE WHEN game_phase = 'regular' THEN 'regular' WHEN kind = 'playoff' THEN 'cfp' ELSE 'bowl' END"
+_TOP = "CASE WHEN game_id % 10 IN (0, 1) OR game_id % 4 = 0 THEN game_id % 10 = 0 AND game_id % 4 = 0 ELSE game_id % 6 NOT IN (1, 2) END"
+_NOTES = ["A CFP Semifinal", "FCS opponent", "Championship Subdivision", "Exhibition for the playoff", "College Football Playoff", None]
+_notes = lambda: F.element_at(F.array(*map(F.lit, _NOTES)), (F.col("game_id") % 6 + 1).cast("int"))
+_home_class = lambda: F.when(F.col("game_id") % 10 == 0, "FBS ").when(F.col("game_id") % 10 == 1, "fcs")
+_away_class = lambda: F.when(F.col("game_id") % 4 == 0, " fbs").otherwise("")
+_part = lambda: F.when(F.col("game_phase") == "regular", F.when(F.col("game_id") % 2 == 0, "Regular")).otherwise("postseason")
+query("pf15_pf17_classes", f"SELECT game_id, top, kind, {_PHASE} AS phase FROM (SELECT *, {_TOP} AS top, {_KIND} AS kind FROM game)")(
+    lambda x: x.games.withColumn("kind", parsing.game_type(parsing.season_part(_part()), F.col("game_id") % 7 == 0, _notes(), (F.col("home_team_id") % 4 == 0) & (F.col("away_team_id") % 4 == 0)))
+    .select("game_id", parsing.is_top_division(_home_class(), _away_class(), _notes()).alias("top"), "kind", parsing.game_phase(parsing.season_part(_part()), F.col("kind")).alias("phase"))
+)
+
+
+def _rankings(x: League, entity: DataFrame) -> DataFrame:
+    """Weekly polls over entity (season, place, school): the committee's in two weeks, in even seasons a later one two places down."""
+    ranks = lambda down: F.transform("all", lambda r: F.struct((r["place"] - down).alias("rank"), F.concat(F.lit(" "), r["school"], F.lit("! ")).alias("school")))
+    poll = lambda name, of: F.struct(F.lit(name).alias("poll"), of.alias("ranks"))
+    week = lambda w, kind, *polls: F.struct(F.lit(w).alias("week"), F.lit(kind).alias("seasonType"), F.array(*polls).alias("polls"))
+    committee = " Playoff Selection Committee"
+    later = F.when(F.col("season") % 2 == 0, ranks(2)).otherwise(F.slice(ranks(0), F.lit(1), F.lit(3)))
+    weeks = [week(12, "regular", poll(committee, ranks(0))), week(13, "regular", poll("AP Top 25", ranks(4)), poll(committee, ranks(0))), week(15, "regular", poll("AP Top 25", ranks(4)), poll("CFP", later)), week(16, "postseason", poll(committee, ranks(5))), week(17, "regular", poll(committee, ranks(6)))]
+    every = entity.groupBy("season").agg(F.sort_array(F.collect_list(F.struct("place", "school"))).alias("all"))
+    return every.select("season", F.explode(F.array(*weeks)).alias("w")).select("season", "w.*")
+
+
+query("pf34_sc5_top_four", "SELECT season_year AS season, lower(conference) AS team FROM crank WHERE conf_coe_rank BETWEEN CASE WHEN season_year % 2 = 0 THEN 3 ELSE 1 END AND CASE WHEN season_year % 2 = 0 THEN 6 ELSE 4 END")(
+    lambda x: files.top_four(_rankings(x, x.conf_ranks.select(F.col("season_year").alias("season"), F.col("conf_coe_rank").alias("place"), F.col("conference").alias("school"))))
 )
-query("pf34_sc5_top_four", "SELECT season_year AS season, conference AS school FROM crank WHERE conf_coe_rank <= 4")(
-    lambda x: files.top_four(x.conf_ranks.groupBy(F.col("season_year").alias("season")).agg(F.collect_list(F.struct(F.col("conf_coe_rank").alias("rank"), F.col("conference").alias("school"))).alias("ranks"))
-        .withColumn("w", F.explode(F.array(F.lit(12), F.lit(14)))).select("season", F.lit("postseason").alias("seasonType"), F.col("w").alias("week"), F.array(F.struct(F.lit("Playoff Committee Rankings").alias("poll"), "ranks"), F.struct(F.lit("AP Top 25").alias("poll"), "ranks")).alias("polls")))
+
+
+def _payload(x: League) -> DataFrame:
+    """The games as an API gives them, half of the names in each spelling."""
+    name = lambda side: x.teams.select(F.col("team_id").alias(f"{side}_team_id"), F.regexp_replace("team_name", "#", " ").alias(side))
+    even = lambda c: F.when(F.col("game_id") % 2 == 0, F.col(c))
+    odd = lambda c: F.when(F.col("game_id") % 2 == 1, F.col(c))
+    return x.games.join(name("home"), "home_team_id").join(name("away"), "away_team_id").select(
+        even("game_id").alias("id"), odd("game_id").alias("gameId"), F.col("season_year").alias("season"), F.when(F.col("game_id") % 13 > 0, (F.col("game_id") % 16).cast("int")).alias("week"), _part().alias("seasonType"),
+        F.when(F.col("game_id") % 17 > 0, F.concat(F.col("game_date").cast("string"), F.lit("T00:00Z"))).alias("startDate"), even("home").alias("homeTeam"), odd("home").alias("home_team"), F.col("away").alias("awayTeam"),
+        F.col("home_score").alias("homePoints"), even("away_score").alias("awayPoints"), odd("away_score").alias("away_points"), _home_class().alias("homeClassification"), _away_class().alias("away_classification"),
+        (F.col("game_id") % 3 == 0).cast("string").alias("neutralSite"), F.when(F.col("game_id") % 7 == 0, "true").alias("playoff"), F.col("went_ot").cast("string").alias("overtimes"), _notes().alias("notes"),
+    )
+
+
+_BEST = "lower(replace({}.team_name, '#', ' ')) IN (SELECT lower(replace(team_name, '#', ' ')) FROM team WHERE team_id BETWEEN CASE WHEN season_year % 2 = 0 THEN 2 ELSE 0 END AND CASE WHEN season_year % 2 = 0 THEN 5 ELSE 3 END)"
+query("sc4_sk5_pf19_api_games", f"""SELECT game_id, season_year, week, date, season_type, home_team, away_team, home_score, away_score, went_ot, kind AS game_type, {_PHASE} AS game_phase, neutral_site, notes FROM (
+SELECT *, CASE WHEN game_phase <> 'regular' AND (game_id % 7 = 0 OR game_id % 6 IN (0, 4) OR in_h AND in_a) THEN 'playoff' ELSE 'regular' END AS kind FROM (
+SELECT game_id, season_year, game_phase, home_score, away_score, went_ot, CASE WHEN game_id % 13 = 0 THEN '' ELSE CAST(game_id % 16 AS VARCHAR) END AS week, CASE WHEN game_id % 17 = 0 THEN '1900-01-01' ELSE CAST(game_date AS VARCHAR) END AS date,
+CASE WHEN game_phase = 'regular' THEN 'regular' ELSE 'postseason' END AS season_type, replace(h.team_name, '#', ' ') AS home_team, replace(a.team_name, '#', ' ') AS away_team, CAST(game_id % 3 = 0 AS INTEGER) AS neutral_site,
+coalesce(['A CFP Semifinal', 'FCS opponent', 'Championship Subdivision', 'Exhibition for the playoff', 'College Football Playoff', ''][game_id % 6 + 1], '') AS notes, {_BEST.format('h')} AS in_h, {_BEST.format('a')} AS in_a
+FROM game JOIN team h ON h.team_id = home_team_id JOIN team a ON a.team_id = away_team_id WHERE home_score IS NOT NULL AND ({_TOP})))""")(
+    lambda x: files.api_games(_payload(x), files.top_four(_rankings(x, x.seasons.select(F.col("season_year").alias("season")).crossJoin(F.broadcast(x.teams.where("team_id < 12").select((F.col("team_id") + 1).cast("int").alias("place"), F.regexp_replace("team_name", "#", " ").alias("school")))))))
+)
+
+
+def _landed(x: League) -> DataFrame:
+    """Rows of a games file over all games: some repeated, some with faults, some with names that are no team's."""
+    name = lambda side: x.teams.select(F.col("team_id").alias(f"{side}_team_id"), F.concat(F.lit(" "), "team_name").alias(side))
+    rows = x.games.where("home_score is not null").join(name("home"), "home_team_id").join(name("away"), "away_team_id")
+    rows = rows.select(
+        F.when(F.col("game_id") % 37 > 0, F.col("game_id").cast("string")).alias("game_id"), F.col("season_year").cast("string").alias("season_year"), F.when(F.col("game_id") % 2 == 0, "3").otherwise(" ").alias("week"), F.col("game_date").cast("string").alias("date"),
+        F.when(F.col("game_id") % 23 == 0, F.concat("home", F.lit("?"))).otherwise(F.col("home")).alias("home_team"), F.col("away").alias("away_team"), F.col("home_score").cast("string").alias("home_score"), F.col("away_score").cast("string").alias("away_score"),
+        F.when(F.col("game_id") % 41 == 0, "maybe").when(F.col("went_ot") == 1, "Yes").otherwise("").alias("went_ot"), F.when(F.col("game_id") % 19 == 0, "preseason").when(F.col("game_phase") == "cfp", " Playoff").otherwise("regular").alias("game_type"),
+        F.when(F.col("game_id") % 43 > 0, F.col("game_phase")).alias("game_phase"), F.lit("0").alias("neutral_site"), F.lit(" ").alias("notes"), (F.col("game_id") % 29 == 0).alias("again"),
+    )
+    return rows.unionByName(rows.where("again")).drop("again")
+
+
+query("ag16_pf23_load_counts", """SELECT disposition, count(*) AS n FROM (SELECT CASE WHEN game_id % 19 = 0 THEN 'game_type' WHEN game_id % 43 = 0 THEN 'game_phase' WHEN game_id % 41 = 0 THEN 'flag' WHEN game_id % 23 = 0 THEN 'unknown team'
+WHEN game_id % 37 > 0 AND (game_id % 31 = 0 OR k = 2) THEN 'repeated' ELSE 'inserted' END AS disposition FROM game, (SELECT unnest([1, 2]) AS k) WHERE home_score IS NOT NULL AND (k = 1 OR game_id % 29 = 0)) GROUP BY disposition""")(
+    lambda x: games.load_counts(games.load(_landed(x), x.teams, x.aliases, x.games.where("game_id % 31 = 0").select("game_id")))
 )
 query("pf33_flat_records", "SELECT season_year AS year, team_id, coalesce(CASE WHEN conf_games > 2 THEN conf_wins END, 0) AS conf_wins, overall_losses FROM rec")(
     lambda x: files.flat_records(x.records.select(F.col("season_year").alias("year"), F.col("team_id").alias("team"), "conference", F.when(F.col("conf_games") > 2, F.struct(F.col("conf_wins").alias("wins"), F.col("conf_losses").alias("losses"), F.col("conf_ties").alias("ties"))).alias("conferenceGames"), F.struct(F.col("overall_wins").alias("wins"), F.col("overall_losses").alias("losses"), F.col("overall_ties").alias("ties")).alias("total")))

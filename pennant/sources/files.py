@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pennant.functions.text import trimmed
+from pennant.functions import parsing
+from pennant.functions.text import team_key, trimmed
 
 # Columns of the files, and spellings of the ratings' columns.
 REQUIRED = ["season_year", "week", "date", "home_team", "away_team", "home_score", "away_score", "went_ot", "game_type", "game_phase"]
@@ -16,9 +17,13 @@ COUNTS = "struct<wins:int, losses:int, ties:int>"
 RECORDS = f"year int, team string, conference string, conferenceGames {COUNTS}, total {COUNTS}"
 TEAMS = "school string, conference string, classification string"
 GAMES = (
-    "id long, season int, week int, seasonType string, startDate string, homeTeam string, awayTeam string, homePoints int, awayPoints int, "
-    "homeClassification string, awayClassification string, neutralSite boolean, notes string"
+    "id long, game_id long, gameId long, season int, week int, seasonType string, season_type string, startDate string, start_date string, "
+    "homeTeam string, home_team string, awayTeam string, away_team string, homePoints int, home_points int, awayPoints int, away_points int, "
+    "homeClassification string, home_classification string, awayClassification string, away_classification string, "
+    "neutralSite string, neutral_site string, playoff string, is_playoff string, isPlayoff string, overtime string, overtimes string, notes string"
 )
+NORMALISED = "game_id season_year week date season_type home_team away_team home_score away_score went_ot game_type game_phase neutral_site notes".split()
+COMMITTEE_POLLS = ["cfp", "college football playoff"]
 
 
 def games_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -52,8 +57,14 @@ def clean_ratings(rows: DataFrame) -> DataFrame:
 
 
 def ratings_csv(spark: SparkSession, path: str) -> DataFrame:
-    """clean_ratings() of a CSV file."""
-    return clean_ratings(spark.read.csv(path, header=True))
+    """clean_ratings() of CSV files; of equal keys the last in the file stays, that of the last file by name. None is an error."""
+    read = spark.read.csv(path, header=True)
+    # the place of a row's split in its file, then the row's number within the split
+    order = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    rows = clean_ratings(read.withColumn("_order", order))
+    if rows.isEmpty():
+        raise ValueError("the ratings have no sound row")
+    return rows
 
 
 def names_text(spark: SparkSession, path: str) -> DataFrame:
@@ -66,12 +77,55 @@ def payload_json(spark: SparkSession, paths: list[str], schema: str) -> DataFram
     return spark.read.schema(schema).json(paths, multiLine=True)
 
 
-def top_four(rankings: DataFrame, poll: str = "Playoff Committee Rankings", first_week: int = 10, last_week: int = 16) -> DataFrame:
-    """season, school of the last week whose poll has exactly four teams ranked 1-4."""
-    rows = rankings.where(F.col("week").between(first_week, last_week)).select("season", "week", F.explode("polls").alias("p"))
-    rows = rows.where(F.col("p.poll") == poll).select("season", "week", F.explode("p.ranks").alias("r")).where("r.rank between 1 and 4")
-    weeks = rows.groupBy("season", "week").agg(F.collect_set("r.school").alias("schools")).where(F.size("schools") == 4)
-    return weeks.groupBy("season").agg(F.max_by("schools", "week").alias("schools")).select("season", F.explode("schools").alias("school"))
+def top_four(rankings: DataFrame, first_week: int = 10, last_week: int = 16) -> DataFrame:
+    """season, team (its team_key()) of the last week of the regular season whose playoff poll has ranks 1-4.
+
+    The first of a week's polls counts that is by name the playoff committee's and has just four such ranks with a school.
+    """
+    weeks = rankings.where(F.col("week").between(first_week, last_week) & (F.coalesce("seasonType", F.lit("regular")) == "regular"))
+    polls = weeks.select("season", "week", F.posexplode("polls").alias("at", "p"))
+    name = F.lower(F.trim(F.coalesce("p.poll", F.lit(""))))
+    polls = polls.where((F.contains(name, F.lit("playoff")) & F.contains(name, F.lit("committee"))) | name.isin(COMMITTEE_POLLS))
+    ranked = F.filter("p.ranks", lambda r: r["rank"].between(1, 4) & (r["school"] != ""))
+    found = polls.select("season", "week", "at", ranked.alias("r")).where(F.size("r") == 4)
+    last = found.groupBy("season").agg(F.max_by("r", F.struct("week", -F.col("at"))).alias("r"))
+    return last.select("season", F.explode("r.school").alias("school")).select("season", team_key(F.col("school")).alias("team")).distinct()
+
+
+def api_games(payload: DataFrame, best: DataFrame) -> DataFrame:
+    """NORMALISED columns of a payload's games (GAMES, or any of its columns), with the playoff rules of top_four() `best`.
+
+    Regular season and postseason may be given together. Games of lower divisions go, and so do those without both
+    teams and both scores.
+    """
+
+    def first(*spellings: str) -> Column:
+        found = [F.col(c) for c in spellings if c in payload.columns]
+        return F.coalesce(*found) if found else F.lit(None).cast("string")
+
+    flag = lambda *spellings: parsing.flag_from_api(first(*spellings))
+    rows = payload.where(parsing.is_top_division(first("homeClassification", "home_classification"), first("awayClassification", "away_classification"), first("notes")))
+    rows = rows.select(
+        first("id", "game_id", "gameId").cast("long").alias("game_id"), F.col("season").alias("season_year"), F.coalesce(first("week").cast("string"), F.lit("")).alias("week"),
+        parsing.game_date(first("start_date", "startDate")).cast("string").alias("date"), parsing.season_part(first("season_type", "seasonType")).alias("season_type"),
+        first("home_team", "homeTeam").alias("home_team"), first("away_team", "awayTeam").alias("away_team"),
+        first("home_points", "homePoints").cast("int").alias("home_score"), first("away_points", "awayPoints").cast("int").alias("away_score"),
+        flag("overtime", "overtimes").alias("went_ot"), flag("neutral_site", "neutralSite").alias("neutral_site"), F.coalesce(first("notes"), F.lit("")).alias("notes"),
+        (flag("playoff", "is_playoff", "isPlayoff") == 1).alias("flagged"),
+    ).where("home_team is not null and away_team is not null and home_score is not null and away_score is not null")
+    teams = best.groupBy("season").agg(F.collect_set("team").alias("best"))  # four a season
+    rows = rows.join(F.broadcast(teams), rows["season_year"] == teams["season"], "left")
+    in_best = lambda c: F.array_contains("best", F.lower(F.trim(F.col(c))))
+    rows = rows.withColumn("game_type", parsing.game_type(F.col("season_type"), F.col("flagged"), F.col("notes"), in_best("home_team") & in_best("away_team")))
+    return rows.withColumn("game_phase", parsing.game_phase(F.col("season_type"), F.col("game_type"))).select(*NORMALISED)
+
+
+def filtered_or_all(filtered: DataFrame, everything: DataFrame) -> DataFrame:
+    """The answer to a filtered call, or that to the unfiltered one if the first has no rows; none at all is an error."""
+    for rows in (filtered, everything):
+        if not rows.isEmpty():
+            return rows
+    raise ValueError("no records were returned")
 
 
 def flat_records(records: DataFrame) -> DataFrame:

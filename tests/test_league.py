@@ -128,8 +128,63 @@ def test_names(spark):
     row = spark.createDataFrame([("  San  José St. (A&M)",)], "n string").select(text.team_key(F.col("n")).alias("a"), text.loose_key(F.col("n")).alias("b")).first()
     assert (row.a, row.b) == ("san josé st a&m", "san jose st a m")
     teams = spark.createDataFrame([(1, "Miami Ohio"), (2, "San Jose State")], "team_id long, team_name string")
-    found = names.suggest(spark.createDataFrame([("Ohio Miami",), ("San José State",), ("Zzz",)], "name string"), teams).collect()
-    assert {(r.alias, r.team_name) for r in found} == {("San José State", "San Jose State")}
+    made, skipped = names.suggest(spark.createDataFrame([("Ohio Miami",), ("San José State",), ("Zzz",), ("Ohio",), ("MIAMI-O",)], "name string"), teams, spark.createDataFrame([("Ohio", "x")], "alias string, team_name string"), {"Miami O": "Miami Ohio"})
+    assert [(r.alias, r.team_name, r.reason) for r in names.in_order(made).collect()] == [("MIAMI-O", "Miami Ohio", "manual override (normalized key)"), ("San José State", "San Jose State", "fuzzy match")]
+    assert {(r.alias, r.reason) for r in skipped.collect()} == {("Ohio", "already in team_aliases"), ("Ohio Miami", "score below the threshold"), ("Zzz", "score below the threshold")}
+
+
+def test_suggestions_as_one_by_one(spark):
+    from difflib import SequenceMatcher
+
+    generator = random.Random(4)
+    words = ["north", "south", "state", "tech", "texas", "iowa", "a", "m", "ohio", "miami", "college"]
+    teams = [" ".join(generator.sample(words, generator.randint(1, 3))) for _ in range(60)]
+    unknown = [generator.choice([t, t[::-1], t.replace("o", "0", 1), t + "s", t[1:], " ".join(reversed(t.split())), t.replace("state", "st")]) for t in teams] + ["utx", "osu", ""]
+    score = lambda a, b: 0.55 * SequenceMatcher(None, a, b).ratio() + 0.35 * SequenceMatcher(None, *(" ".join(sorted(x.split())) for x in (a, b))).ratio() + 0.1 * len(set(a.split()) & set(b.split())) / max(len(set(a.split())), len(set(b.split())))
+    expected = {}
+    for raw in set(unknown):
+        a = " ".join(raw.split())
+        if not a:
+            continue
+        best = max(range(len(teams)), key=lambda k: (score(a, teams[k]), -k))
+        s = score(a, teams[best])
+        lost = [w for w in a.split() if len(w) >= 4 and w not in teams[best].split()]
+        if s >= 0.86 and not (len(a) <= 4 and s < 0.95) and not (lost and s < 0.92):
+            expected[raw] = (teams[best], round(s, 9))
+    rows = spark.createDataFrame(list(enumerate(teams)), "team_id long, team_name string")
+    found, skipped = names.suggest(spark.createDataFrame([(a,) for a in sorted(set(unknown))], "name string"), rows)
+    assert {r.alias: (r.team_name, round(r.score, 9)) for r in found.collect()} == expected and 10 < len(expected) < 60
+    assert skipped.count() == len(set(unknown)) - len(expected)
+
+
+def test_seasons_that_do_not_fit(spark):
+    field = spark.createDataFrame([(2014, k, 0 if k < 8 else 1 if k < 16 else 2) for k in range(24)], "season_year int, team_id long, pot int")
+    assert postseason.complete(postseason.sized(field)).count() == 24 and postseason.at_least(field, 10, "tiers").count() == 24
+    for check in (postseason.sized, postseason.complete, lambda rows: postseason.at_least(rows, 24, "tiers")):
+        with pytest.raises(ValueError, match="2014"):
+            check(field.where("team_id < 23"))
+    with pytest.raises(ValueError, match="byes"):
+        postseason.complete(field.withColumn("pot", F.lit(0)))
+
+
+def test_faults_of_rows(spark):
+    rows = spark.createDataFrame([("regular", "bowl", 1), (None, "bowl", 1), ("regular", None, 1), ("regular", "cfp", None)], "kind string, phase string, flag int")
+    assert [r[0] for r in rows.select(parsing.row_fault(F.col("kind"), F.col("phase"), F.col("flag"))).collect()] == [None, "game_type", "game_phase", "flag"]
+    weeks = spark.createDataFrame([("3",), (" ",), (None,), ("x",)], "week string")
+    assert [r[0] for r in weeks.select(parsing.week_number(F.col("week"))).collect()] == [3, 0, 0, None]
+
+
+def test_tables_and_answers(spark):
+    assert reports.find_table(["a", "team_coefficient_x"], reports.TEAM_TABLES, ["team_coefficient"]) == "team_coefficient_x"
+    assert reports.find_table(["league_coe"], reports.CONFERENCE_TABLES, ["conference", "league"], ["coe"]) == "league_coe" and reports.find_table(["a"], ["b"]) is None
+    spark.range(1).createOrReplaceTempView("team_coefficient_by_year")
+    assert reports.coefficient_tables(spark)[0] == "team_coefficient_by_year" and reports.table_columns(spark, "team_coefficient_by_year") == ["id"] and reports.table_columns(spark, "none") == []
+    spark.catalog.dropTempView("team_coefficient_by_year")
+    with pytest.raises(ValueError, match="team coefficients"):
+        reports.coefficient_tables(spark)
+    assert files.filtered_or_all(spark.range(0), spark.range(3)).count() == 3
+    with pytest.raises(ValueError, match="no records"):
+        files.filtered_or_all(spark.range(0), spark.range(0))
 
 
 def test_keep_first_and_last(spark):
@@ -162,7 +217,7 @@ def test_files(spark, tmp_path):
     import json
 
     (tmp_path / "p.json").write_text(json.dumps(payload))
-    assert "".join(sorted(r.school for r in files.top_four(files.payload_json(spark, [str(tmp_path / "p.json")], files.RANKINGS)).collect())) == "BCDE"
+    assert "".join(sorted(r.team for r in files.top_four(files.payload_json(spark, [str(tmp_path / "p.json")], files.RANKINGS)).collect())) == "bcde"
     assert files.pick_column(["Foo", "PPG"], ["ppg"]) == "PPG" and files.pick_column(["avg_ppg"], ["ppg"], contains=True) == "avg_ppg"
 
 
@@ -177,7 +232,8 @@ def test_stream(spark, tmp_path):
 
 
 def test_console(spark):
-    assert reports.console(spark.createDataFrame([("a", 1.50, None)], "n string, x double, y int")) == "n  x    y\na  1.5"
+    rows = spark.createDataFrame([("a", 1.50, None), ("b", 2.0, 1)], "n string, x double, y int")
+    assert reports.console(rows.limit(1)) == "n  x    y\na  1.5" and reports.console(rows, 1).endswith("\n... more than 1 rows")
 
 
 def test_known_by_alias_and_alignment(spark):
@@ -188,7 +244,7 @@ def test_known_by_alias_and_alignment(spark):
     assert found == {(2014, 1): "Old", (2026, 1): "Newer"}
 
 
-@pytest.mark.parametrize("name", ["ag10_team_rolling", "wn6_standings", "al2_al4_bids_year2", "al13_hosts", "al6_al7_wn8_field", "al16_first_round", "jn8_resolve"])
+@pytest.mark.parametrize("name", ["ag10_team_rolling", "wn6_standings", "al2_al4_bids_year2", "al13_hosts", "al6_al7_wn8_field", "al16_first_round", "jn8_resolve", "pf15_pf17_classes", "pf34_sc5_top_four", "sc4_sk5_pf19_api_games", "ag16_pf23_load_counts", "rp4_standings", "rp4_teams", "rp4_conferences", "rp4_field", "sk6_rounded_ratings", "st1_mixed_order", "sk1_append_keep_first", "sc2_clean_ratings", "al19_membership_backfill", "jn12_known_conferences"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for table in ("region", "nation", "customer", "orders"):
