@@ -189,6 +189,38 @@ def test_forest(spark):
     assert forest.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
 
+def brute_links(vectors, label, threshold=0.98):
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = (unit @ unit.T >= threshold) & (np.array(label)[:, None] == np.array(label)[None])
+    np.fill_diagonal(near, False)
+    return near
+
+
+@pytest.mark.parametrize(("sample", "leaf"), [(16_384, 64), (200, 32)])
+def test_forest_recall_on_the_whole_table_with_planted_pairs(spark, sample, leaf):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    base, random_ = np.array(table["embedding"].tolist(), np.float64), np.random.default_rng(8)
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    aside = random_.standard_normal(base.shape)
+    aside -= (aside * base).sum(1, keepdims=True) * base
+    cosine = random_.uniform(0.98, 0.99, (len(base), 1))
+    near = cosine * base + np.sqrt(1 - cosine**2) * aside / np.linalg.norm(aside, axis=1, keepdims=True)
+    vectors, label = np.concatenate([base, near]), [int(x) for x in table["label"]] * 2
+    rows = [(k, [float(x) for x in v], lab) for k, (v, lab) in enumerate(zip(vectors, label, strict=True))]
+    found = forest.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), sample_rows=sample, leaf_rows=leaf)
+    links = {r.vec_id: r.n_links for r in found.collect()}
+    known = brute_links(vectors, label).sum(1)
+    assert known.sum() >= 2 * len(base) - 40 and all(links[k] <= known[k] for k in links)
+    assert sum(links.values()) >= 0.98 * known.sum()
+
+
+def test_forest_where_vectors_share_an_id_or_have_none(spark):
+    rows = [(9, [0.0, 0.0, 1.0], 1), (9, [-1.0, 0.0, 0.2], 1), (10, [0.0, 0.001, 1.0], 1), (None, [1.0, 0.0, 0.0], 1), (5, [1.0, 0.001, 0.0], 1), (None, [0.0, 1.0, 0.0], 2), (6, [0.0, 1.0, 0.001], 2), (None, [0.5, 0.5, 0.0], 3), (None, [0.0, 0.0, 0.0], 3)]
+    made = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "vec_id long, embedding array<double>, label int, id string, code int, first int")
+    found = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in forest.near_vectors(made).collect())
+    assert found == sorted([("9", 1, "9", True), ("9", 0, "9", True), ("10", 1, "9", False), ("None", 1, "5", False), ("5", 1, "5", True), ("None", 1, "6", False), ("6", 1, "6", True), ("None", 0, "None", True), ("None", 0, "None", True)])
+
+
 def near_copies():
     generator = random.Random(7)
     word = lambda: "".join(generator.choice("abcdefgh") for _ in range(5))
