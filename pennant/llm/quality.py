@@ -89,46 +89,44 @@ def _shrunk(hosts: DataFrame, counts: list[str]) -> DataFrame:
     )
 
 
-def host_rules(docs: DataFrame, host: str = "source", worst_rate: float = 0.5, fitted: bool = False) -> DataFrame:
+def host_rules(docs: DataFrame, host: str = "source") -> DataFrame:
     """Judge docs (doc_id, text, host column) by their own failures and their hosts' shrunk failure rates.
 
     Returns the host column, doc_id, the counts of measure(), base_failed (fewer than 50 words, or over half of them in
     repeated three-word windows), broken (a rule of the hosts' is broken), host_rate (the shrunk rate of the host's
-    documents with base_failed or broken), host_failed and kept. kept is false if base_failed, or if broken on a host
-    with host_rate > worst_rate. Null texts have no words and fail; null hosts form one host; repeated rows are judged
-    each; an empty table gives no rows; other columns are ignored.
+    documents with base_failed or broken), host_failed, failed_rules (the host's, sorted) and kept. A prior is fitted for
+    each rule, see _shrunk(), and a host fails a rule if its shrunk rate lies more than APART of its deviations above the
+    prior's mean. kept is false if base_failed, or if the document breaks a rule that its host fails.
 
-    With `fitted`, hosts are also held against the corpus: for each rule a prior of its own is fitted, and a host whose
-    shrunk rate lies more than APART of its deviations above the prior's mean fails that rule. Documents that break a
-    rule their host fails go too, and failed_rules (the host's, sorted) is returned. See _shrunk() for the prior.
+    Null texts have no words and fail; null hosts form one host, apart from that named ''; repeated rows are judged each;
+    an empty table gives no rows; a text of any length is measured within its row; other columns are ignored.
     """
-    measured = measure(docs.select("doc_id", "text", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), F.col(host).alias("_named")), ["_host", "_named"])
+    named = F.when(F.col(host).isNull(), "null").otherwise(F.concat(F.lit("="), F.col(host).cast("string")))
+    measured = measure(docs.select("doc_id", "text", named.alias("_host"), F.col(host).alias("_named")), ["_host", "_named"])
     rules = _rules()
     broken = F.lit(False)
     for rule in rules.values():
         broken = broken | rule
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = written(measured.withColumn("base_failed", base).withColumn("broken", broken), "measured")
-    each = rules if fitted else {}
-    hosts = judged.groupBy("_host").agg(F.count("*").alias("n"), F.count_if(F.col("base_failed") | F.col("broken")).alias("f"), *[F.count_if(rule).alias(name) for name, rule in each.items()])
-    rates = _shrunk(written(hosts, "hosts"), ["f", *each])
-    fails = {name: F.col(f"rate_{name}") - APART * F.col(f"spread_{name}") > F.col(f"mean_{name}") for name in each}
+    counts = [F.count_if(rule).alias(name) for name, rule in rules.items()]
+    hosts = judged.groupBy("_host").agg(F.count("*").alias("n"), F.count_if(F.col("base_failed") | F.col("broken")).alias("f"), *counts)
+    rates = _shrunk(written(hosts, "hosts"), ["f", *rules])
+    fails = {name: F.col(f"rate_{name}") - APART * F.col(f"spread_{name}") > F.col(f"mean_{name}") for name in rules}
     verdicts = rates.select("_host", F.col("rate_f").alias("host_rate"), *[failed.alias(f"_fails_{name}") for name, failed in fails.items()])
     back = judged.join(small(verdicts), "_host", "left")
-    failed = F.col("host_rate") > worst_rate
-    host_failed, gone = failed, F.col("broken") & failed
-    for name, rule in each.items():
-        host_failed, gone = host_failed | F.col(f"_fails_{name}"), gone | rule & F.col(f"_fails_{name}")
-    named = F.filter(F.array(*[F.when(F.col(f"_fails_{name}"), name) for name in sorted(each)]), lambda x: x.isNotNull())
+    gone = F.lit(False)
+    for name, rule in rules.items():
+        gone = gone | rule & F.col(f"_fails_{name}")
+    failed = F.filter(F.array(*[F.when(F.col(f"_fails_{name}"), name) for name in sorted(rules)]), lambda x: x.isNotNull())
     return back.select(
         F.col("_named").alias(host), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words",
-        "base_failed", "broken", "host_rate", host_failed.alias("host_failed"), *([named.alias("failed_rules")] if fitted else []),
-        (~F.col("base_failed") & ~gone).alias("kept"),
+        "base_failed", "broken", "host_rate", (F.size(failed) > 0).alias("host_failed"), failed.alias("failed_rules"), (~F.col("base_failed") & ~gone).alias("kept"),
     )
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN 'null' ELSE '=' || source END AS host, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, host, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
              list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM d),
 windows AS (SELECT doc_id, k, ws[k] || ' ' || ws[k + 1] || ' ' || ws[k + 2] AS win
@@ -142,14 +140,16 @@ m AS (SELECT w.doc_id, host, CAST(len(ws) AS BIGINT) AS n_words,
              CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
       FROM w LEFT JOIN covered c ON c.doc_id = w.doc_id),
 j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-             100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 30 * n_lines OR 100 * n_repeat_words > 20 * n_words
-               OR word_chars < 2 * n_words OR word_chars > 20 * n_words AS broken FROM m),
-h AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (base_failed OR broken) AS DOUBLE) AS f FROM j GROUP BY host),
-p AS (SELECT sum(n) AS all_n, sum(f) / sum(n) AS m, count(*) AS n_hosts FROM h),
-v AS (SELECT m, all_n, n_hosts, greatest((SELECT sum(n * (f / n - p.m) ** 2) FROM h, p) / all_n - m * (1 - m) * n_hosts / all_n, 1e-12) AS v FROM p),
-k AS (SELECT m, least(greatest(m * (1 - m) / v - 1, 1.0), 1e4) AS k FROM v),
-r AS (SELECT host, (f + m * k) / (n + k) AS host_rate FROM h, k)
+             [100 * n_symbols > 10 * word_chars, 100 * n_dup_lines > 30 * n_lines, 100 * n_repeat_words > 20 * n_words,
+              word_chars < 2 * n_words OR word_chars > 20 * n_words] AS rules FROM m),
+e AS (SELECT host, unnest([1, 2, 3, 4]) AS rule, unnest(rules) AS broken FROM j),
+h AS (SELECT host, rule, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (broken) AS DOUBLE) AS f FROM e GROUP BY host, rule),
+p AS (SELECT rule, sum(n) AS all_n, sum(f) / sum(n) AS m, count(*) AS n_hosts FROM h GROUP BY rule),
+v AS (SELECT rule, any_value(m) AS m, greatest(sum(n * (f / n - m) ** 2) / any_value(all_n) - any_value(m * (1 - m) * n_hosts / all_n), 1e-12) AS v FROM h JOIN p USING (rule) GROUP BY rule),
+k AS (SELECT rule, m, least(greatest(m * (1 - m) / v - 1, 1.0), 1e4) AS k FROM v),
+r AS (SELECT host, rule, m, n + k AS nk, (f + m * k) / (n + k) AS rate FROM h JOIN k USING (rule)),
+b AS (SELECT host, list(rate - @APART@ * sqrt(rate * (1 - rate) / (nk + 1)) > m ORDER BY rule) AS fails FROM r GROUP BY host)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT (broken AND host_rate > 0.5) AS kept
-FROM j JOIN r ON r.host = j.host
-"""
+       NOT base_failed AND NOT (rules[1] AND fails[1] OR rules[2] AND fails[2] OR rules[3] AND fails[3] OR rules[4] AND fails[4]) AS kept
+FROM j JOIN b ON b.host = j.host
+""".replace("@APART@", str(APART))

@@ -297,9 +297,21 @@ def test_against_sql(spark, name):
 
 def test_hosts_fail_together(spark):
     clean, broken = " ".join(f"word{k}" for k in range(60)), " ".join(f"word{k}#" for k in range(60))
-    rows = [(k, broken if k % 10 else clean, "bad") for k in range(200)] + [(1000 + k, clean if k % 10 else broken, f"good{k % 3}") for k in range(300)]
+    rows = [(k, broken if k % 10 else clean, "bad") for k in range(200)] + [(1000 + k, clean if k % 10 else broken, None if k % 3 else "") for k in range(300)]
     found = {r.doc_id: r for r in quality.host_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert not found[1].kept and found[10].kept and found[1000].kept and found[1001].kept and found[1].host_failed
+    assert found[1000].host_rate != found[1001].host_rate  # '' and no host are two
+
+
+def test_failing_hosts_against_sql(spark, tmp_path):
+    clean, broken = " ".join(f"word{k}" for k in range(60)), " ".join(f"word{k}#" for k in range(60))
+    rows = [(1000 * h + k, broken if k < n else clean, name) for h, (name, n) in enumerate({"bad": 25, "h0": 3, None: 4, "": 2, "h3": 30}.items()) for k in range(100)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    known = sorted(con.execute(f"SELECT doc_id, base_failed, kept FROM ({quality.ORACLE})").fetchall())
+    assert known == sorted(map(tuple, queries.op2_quality(spark, str(tmp_path)).select("doc_id", "base_failed", "kept").collect()))
+    assert sum(not kept for *_, kept in known) == 55
 
 
 def test_hosts_against_the_corpus(spark):
@@ -308,7 +320,7 @@ def test_hosts_against_the_corpus(spark):
     share = {"bad": 25, "h0": 3, "h1": 4, "h2": 2, "h3": 3, "h4": 5}  # none of them in a hundred is near a half
     rows = [(1000 * h + k, broken if k < n else lines_ if k == 99 else clean, name) for h, (name, n) in enumerate(share.items()) for k in range(100)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    found = {r.doc_id: r for r in quality.host_rules(docs, fitted=True).collect()}
+    found = {r.doc_id: r for r in quality.host_rules(docs).collect()}
     assert {k for k, r in found.items() if not r.kept} == set(range(25))
     assert all(r.failed_rules == (["symbols"] if r.source == "bad" else []) for r in found.values())
     assert found[99].kept and found[99].broken  # of a rule its host does not fail
