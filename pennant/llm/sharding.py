@@ -60,7 +60,8 @@ def splitters(keyed: DataFrame, parts: int, every: int, tolerance: float = 0.001
 
     A cut whose number is a multiple of `every` ends a shard: it may miss its target by `tolerance` of a shard. The
     others only balance the work of the exchange and may miss by a tenth of a part. A cut with at most one key left in
-    its interval takes the nearer end. At most `max_probes` counts come back to the driver in a round.
+    its interval takes the nearer end. At most `max_probes` counts, or one for each cut
+    still open if those are more, come back to the driver in a round.
     """
     first = keyed.agg(F.sum("size"), F.count("*"), F.min("d"), F.max("d")).first()
     total, rows = first[0] or 0, first[1]
@@ -99,7 +100,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, rows_per_bin: int = 100_00
 
     Returns doc_id, size, text_crc32, shard and slot, the row's place in its shard, gapless from 0. A null text counts
     ROW_BYTES and checksum 0; a null doc_id sorts first; repeated rows each get a slot of their own; an empty table
-    gives no rows; other columns are ignored. Every shard is cut into bins of bounded rows, so that the exchange and the
+    gives no rows; a text of any length is one row; other columns are ignored. Every shard is cut into bins of bounded rows, so that the exchange and the
     numbering work on even parts whatever the number of shards.
     """
     text = F.coalesce("text", F.lit(""))

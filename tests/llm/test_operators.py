@@ -1,6 +1,7 @@
 """Each operator against a brute-force version or an exact round trip, and on odd inputs."""
 
 import hashlib
+import math
 import random
 import struct
 import time
@@ -352,6 +353,37 @@ def test_language_held_out(spark):
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in ids)
 
 
+def test_ftrl_and_temperature_in_plain_steps():
+    random_ = np.random.default_rng(2)
+    samples = [(np.sort(random_.choice(40, 6, replace=False)), random_.integers(1, 70_000, 6), int(k % 3)) for k in range(60)]
+    model = language.Model(["a", "b", "c"], random_.uniform(1, 3, 40), l1=0.3, l2=0.1)
+    model.fit(samples, epochs=2, seed=5)
+    z, n = [[0.0] * 3 for _ in range(40)], [[0.0] * 3 for _ in range(40)]
+    weight = lambda i, c: 0.0 if abs(z[i][c]) <= model.l1 else -(z[i][c] - math.copysign(model.l1, z[i][c])) / ((model.beta + math.sqrt(n[i][c])) / model.alpha + model.l2)
+    order = np.random.default_rng(5)
+    for _ in range(2):
+        for k in order.permutation(60):
+            at, counts, label = samples[k]
+            x = [(1 + math.log(c)) * float(model.idf[i]) for i, c in zip(at, counts, strict=True)]
+            x = [v / math.sqrt(sum(u * u for u in x)) for v in x]
+            w = [[weight(i, c) for c in range(3)] for i in at]
+            e = [math.exp(sum(v * row[c] for v, row in zip(x, w, strict=True))) for c in range(3)]
+            for v, row, i in zip(x, w, at, strict=True):
+                for c in range(3):
+                    g = v * (e[c] / sum(e) - (c == label))
+                    z[i][c] += g - (math.sqrt(n[i][c] + g * g) - math.sqrt(n[i][c])) / model.alpha * row[c]
+                    n[i][c] += g * g
+    plain = np.array([[weight(i, c) for c in range(3)] for i in range(40)])
+    assert np.allclose(model.weights, plain, atol=1e-5) and 0 < (plain == 0).mean() < 1
+
+    def loss(temperature):
+        rows = [model.logits(at, counts).astype(float) / temperature for at, counts, _ in samples]
+        return np.mean([math.log(sum(math.exp(v) for v in row)) - row[label] for row, (*_, label) in zip(rows, samples, strict=True)])
+
+    model.calibrate(samples)
+    assert loss(model.temperature) <= min(loss(math.exp(t / 20)) for t in range(-59, 60)) + 1e-4
+
+
 def test_pieces_as_the_library(spark):
     library, own, generator = sentencepiece.SentencePieceProcessor(model_file=MODEL), pieces.PieceModel(MODEL, memo=500), random.Random(1)
     parts = ["a", "the", "ing", " ", "  ", "\n", "é", "日", "😀", "▁", "qu", "0", "$", "\t", "\x00", "<s>"] + [library.id_to_piece(k).replace("▁", " ") for k in range(300, 32000, 50)]
@@ -378,6 +410,26 @@ def test_sharding(spark):
     assert (found["text_crc32"] == [zlib.crc32(dict(texts)[k].encode()) for k in found["doc_id"]]).all()
 
 
+def test_sharding_boundaries(spark):
+    generator = random.Random(6)
+    texts = [(generator.randrange(1 << 40), "hot " * 50) for _ in range(700)] + [(k, "x" * int(generator.paretovariate(0.8)) if k % 50 else "y" * 20_000) for k in range(1300)]
+    docs = docs_of(spark, texts)
+    found = {(r.doc_id, r.size): (r.shard, r.slot) for r in sharding.shard_by_bytes(docs, 9, rows_per_bin=100).collect()}
+    keyed = sorted((r.h, r.doc_id, r.size) for r in docs.select(F.xxhash64("text").alias("h"), "doc_id", (F.octet_length("text") + 16).alias("size")).collect())
+    total, below, places = sum(k[2] for k in keyed), 0, {}
+    shards = [found[k[1], k[2]][0] for k in keyed]
+    assert shards == sorted(shards)
+    for k, (_, doc_id, size) in enumerate(keyed):
+        if k and shards[k] > shards[k - 1]:
+            for cut in range(shards[k - 1] + 1, shards[k] + 1):
+                # the nearest place between two rows, or within the tolerance
+                target = total * cut / 9
+                assert min(abs(below - target), abs(below - keyed[k - 1][2] - target), abs(below + size - target)) >= abs(below - target) or abs(below - target) <= 0.001 * total / 9 + 1
+        assert found[doc_id, size][1] == places.get(shards[k], 0)
+        places[shards[k]] = places.get(shards[k], 0) + 1
+        below += size
+
+
 def test_packing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(5)
     found = packing.pack(docs, queries._byte_bpe, open_windows=4, merge_windows=8).toPandas()
