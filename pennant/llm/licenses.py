@@ -1,46 +1,93 @@
 """License scans over a positional index of rare words, in DataFrame functions only.
 
-Each template has mandatory key phrases. The corpus is asked once how many documents hold each word of those phrases;
-the rarest words of a phrase (highest inverse document frequency) are its postings. In a document, every place of a
-posted word proposes a start for its phrase, starts proposed by several words are those where the postings agree in
-their relative places, and what is left is verified word by word. A phrase that is there always passes, so the result
-does not hang on the frequencies.
+A template is a paragraph of a public licence with its mandatory key phrases; a licence has several, so that a part of
+it is found too. The corpus is asked once how many documents hold each word of the leading phrases. The words of a
+leading phrase with the highest inverse document frequency are its postings. A file looks up its own licence words in
+them, the rarest of each template that can be there, as the file has them all; places that agree in the relative
+positions of the postings are starts, and what is left is verified word by word: the leading phrase, then the other key
+phrases, each within SLACK words of where the template has it, as names and years shift what comes after them. Words of a
+phrase that is there are all in the file, so none is lost, whatever the frequencies are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The base phrases and their labels.
 BASE = [("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved")]
 
-# Label, mandatory key phrase, and the notice around it, as in the public licences.
+# Label, mandatory key phrases (the leading one first), and the paragraph, as the public licences have it.
 TEMPLATES = [
-    ("agpl", "gnu affero general public license", "under the terms of the gnu affero general public license"),
-    ("apache-2.0", "apache license version 2 0", "licensed under the apache license version 2 0"),
-    ("bsd", "redistribution and use in source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("cc-by-nc-4.0", "cc by nc 4 0", "licensed under cc by nc 4 0"),
-    ("cc-by-sa-4.0", "cc by sa 4 0", "licensed under cc by sa 4 0"),
-    ("cc0-1.0", "cc0 1 0 universal", "released under cc0 1 0 universal"),
-    ("gpl-2.0", "gnu general public license version 2", "licensed under the gnu general public license version 2"),
-    ("gpl-3.0", "gnu general public license version 3", "licensed under the gnu general public license version 3"),
-    ("lgpl", "gnu lesser general public license", "under the terms of the gnu lesser general public license"),
-    ("mit", "mit license", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("mpl-2.0", "mozilla public license v 2 0", "subject to the terms of the mozilla public license v 2 0"),
-    ("unlicense", "free and unencumbered software", "this is free and unencumbered software released into the public domain"),
+    ("agpl", ["gnu affero general public license"], "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("apache-2.0", ["apache license version 2 0"], "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("apache-2.0", ["apache license 2 0"], "Licensed under the Apache License 2.0"),
+    ("apache-2.0", ["www apache org licenses license 2 0"], "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("artistic-2.0", ["artistic license 2 0"], "you can redistribute it and/or modify it under the terms of the Artistic License 2.0"),
+    ("bsd", ["redistribution and use in source and binary forms"], "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", ["redistributions of source code must retain", "list of conditions and the following disclaimer"], "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("bsd", ["may be used to endorse or promote products", "without specific prior written permission"], "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsl-1.0", ["boost software license version 1 0"], "Distributed under the Boost Software License, Version 1.0."),
+    ("cc-by-nc-4.0", ["cc by nc 4 0"], "licensed under CC BY-NC 4.0"),
+    ("cc-by-sa-4.0", ["cc by sa 4 0"], "licensed under CC BY-SA 4.0"),
+    ("cc-by-sa-4.0", ["creative commons attribution sharealike 4 0"], "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by-4.0", ["creative commons attribution 4 0"], "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc-by-nc-4.0", ["creative commons attribution noncommercial 4 0"], "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("cc0-1.0", ["cc0 1 0 universal"], "released under CC0 1.0 Universal"),
+    ("epl-2.0", ["eclipse public license", "2 0"], "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
+    ("gpl-2.0", ["gnu general public license version 2"], "licensed under the GNU General Public License, version 2"),
+    ("gpl-2.0", ["gnu general public license", "free software foundation", "version 2"], "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("gpl-3.0", ["gnu general public license version 3"], "licensed under the GNU General Public License, version 3"),
+    ("gpl-3.0", ["gnu general public license", "free software foundation", "version 3"], "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("isc", ["permission to use copy modify and or distribute this software for any purpose", "hereby granted"], "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("lgpl", ["gnu lesser general public license"], "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("mit", ["mit license"], "released under the MIT license"),
+    ("mit", ["permission is hereby granted free of charge"], "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"),
+    ("mit", ["the above copyright notice and this permission notice shall be included", "substantial portions of the software"], "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("mpl-2.0", ["mozilla public license v 2 0"], "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    ("mpl-2.0", ["mozilla public license version 2 0"], "under the Mozilla Public License, version 2.0"),
+    ("unlicense", ["free and unencumbered software"], "This is free and unencumbered software released into the public domain."),
+    ("zlib", ["in no event will the authors be held liable", "arising from the use of this software"], "In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("zlib", ["the origin of this software must not be misrepresented", "wrote the original software"], "The origin of this software must not be misrepresented; you must not claim that you wrote the original software."),
 ]
 
+#: How many words the rest of a template may be shifted against its leading phrase.
+SLACK = 12
 #: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ with every separator named, which the matcher then finds in one table.
 WORD = "[^" + "".join(f"\\x{c:02X}" for c in range(128) if chr(c) not in "0123456789abcdefghijklmnopqrstuvwxyz") + "]+"
 
 
-def _words():
+def _rows(base, templates) -> list[tuple[str, list[str], list[tuple[list[str], int]], list[str], int, bool]]:
+    """Label, leading phrase, the others with their distance from it, the paragraph's words, the place of the leading
+    phrase there, and whether it is a base phrase."""
+    made = []
+    for label, keys, paragraph, is_base in [(label, [p], p, True) for label, p in base] + [(*t, False) for t in templates]:
+        whole, keys = re.findall(WORD, paragraph.lower()), [k.split() for k in keys]
+        places = [next(k for k in range(len(whole)) if whole[k : k + len(key)] == key) for key in keys]
+        made.append((label, keys[0], [(key, at - places[0]) for key, at in zip(keys[1:], places[1:], strict=True)], whole, places[0], is_base))
+    return made
+
+
+def _words() -> Column:
     # lower() also maps letters beyond ASCII, always to letters that are words' parts too
     return F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0))
 
 
+def _is(at: Column, word: Column) -> Column:
+    return F.coalesce((at >= 0) & (F.get("_words", at) == word), F.lit(False))
+
+
+def _stands(phrase: Column, at: Column) -> Column:
+    """Whether the file has the phrase at this place; single words are looked up, as a slice reads the whole file."""
+    return ~F.exists(F.transform(phrase, lambda w, k: _is(at + k, w)), lambda same: ~same)
+
+
+def _near(stands) -> Column:
+    return F.exists(F.array(*map(F.lit, range(-SLACK, SLACK + 1))), stands)
+
+
 def document_frequency(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """In how many documents each word of the vocabulary stands; one row a word reaches the driver."""
     known = F.array(*map(F.lit, vocabulary))
@@ -49,56 +96,67 @@ def document_frequency(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]
 
 
 def scan_licenses(docs: DataFrame, base=tuple(BASE), templates=tuple(TEMPLATES), rarest: int = 3) -> DataFrame:
-    """Find license phrases in docs (doc_id, text).
+    """Find base phrases and licences in docs (doc_id, text).
 
     Returns doc_id, n_words, n_base (places of base phrases), first_word and last_word (smallest and largest start of
     one, words from 0, else null), base_labels and labels (distinct, sorted, comma-joined, else empty), spans (an array
-    of label, start, length and share, the share of the template's words that stand in their places) and score (the
-    largest share, else 0). Null texts have no words; repeated rows are scanned each; an empty table gives no rows;
-    other columns are ignored. Every document is read within its row: nothing is shuffled but one count a word.
+    of label, start and length of the leading phrase, share and base, where share is the part of the template's words
+    that stand within SLACK words of their places) and score (the largest share, else 0). A template is found where its
+    leading phrase stands with all its other key phrases near. Null texts have no words; repeated rows are scanned each;
+    an empty table gives no rows; other columns are ignored. Texts may be of any length that a row can hold; work grows
+    with their words. Every document is read within its row: nothing is shuffled but one count a word.
     """
-    phrases = [(label, phrase.split(), phrase.split(), True) for label, phrase in base] + [(label, key.split(), whole.split(), False) for label, key, whole in templates]
-    frequency = document_frequency(docs, sorted({w for _, key, _, _ in phrases for w in key}))
+    rows = _rows(base, templates)
+    frequency = document_frequency(docs, sorted({w for _, key, *_ in rows for w in key}))
+    rare = [sorted(enumerate(key), key=lambda x: (frequency[x[1]], x[1], x[0]))[:rarest] for _, key, *_ in rows]
     postings: dict[str, list[tuple[int, int]]] = {}
-    for number, (_, key, _, _) in enumerate(phrases):
-        for at, word in sorted(enumerate(key), key=lambda x: (frequency[x[1]], x[1], x[0]))[:rarest]:
+    for number, places in enumerate(rare):
+        for at, word in places:
             postings.setdefault(word, []).append((number, at))
-    votes = [min(rarest, len(key)) for _, key, _, _ in phrases]
-    starts = [next(k for k in range(len(whole)) if whole[k : k + len(key)] == key) for _, key, whole, _ in phrases]
-    pair = lambda number, at: F.struct(F.lit(number).alias("phrase"), F.lit(at).alias("at"))
-    index = F.create_map(*[x for word, places in postings.items() for x in (F.lit(word), F.array(*[pair(*p) for p in places]))])
-    keys = F.array(*[F.array(*map(F.lit, key)) for _, key, _, _ in phrases])
-    wholes = F.array(*[F.array(*map(F.lit, whole)) for _, _, whole, _ in phrases])
-    numbers = lambda values: F.array(*map(F.lit, values))
-    posted = F.array(*map(F.lit, postings))
-
+    text = lambda words: F.split(F.lit(" ".join(words)), " ")
+    of = lambda values, x: F.get(F.array(*values), x["phrase"])
+    numbers = lambda values: [F.lit(v) for v in values]
+    posting = lambda number, at: F.struct(F.lit(number).alias("phrase"), F.lit(at).alias("at"))
+    index = F.create_map(*[x for word, places in postings.items() for x in (F.lit(word), F.array(*[posting(*p) for p in places]))])
+    keys, wholes = [text(key) for _, key, *_ in rows], [text(whole) for _, _, _, whole, _, _ in rows]
+    other = lambda key, d: F.struct(text(key).alias("key"), F.lit(d).alias("d"))
+    others = [F.array(*[other(*o) for o in rest]) if rest else F.array().cast("array<struct<key:array<string>,d:int>>") for _, _, rest, *_ in rows]
+
+    # the file's own licence words, and the templates whose rarest words are all among them
     read = docs.select("doc_id", _words().alias("_words"))
-    rare = F.filter(F.transform("_words", lambda w, k: F.struct(w.alias("w"), k.alias("k"))), lambda x: x["w"].isin(list(postings)))
-    found = read.withColumn("_rare", F.when(F.arrays_overlap("_words", posted), rare))
-    proposed = F.flatten(F.transform("_rare", lambda x: F.transform(index[x["w"]], lambda p: F.struct(p["phrase"].alias("phrase"), (x["k"] - p["at"]).alias("start")))))
-    found = found.withColumn("_proposed", F.sort_array(proposed)).drop("_rare")
+    held = F.filter(F.transform("_words", lambda w, k: F.struct(w.alias("w"), k.alias("k"))), lambda x: x["w"].isin(list(postings)))
+    found = read.withColumn("_rare", F.when(F.arrays_overlap("_words", F.array(*map(F.lit, postings))), held))
+    found = found.withColumn("_held", F.array_distinct(F.transform("_rare", lambda x: x["w"])))
+    all_held = lambda words: F.size(F.array_except(words, F.col("_held"))) == 0
+    needed = F.array(*[F.struct(F.lit(number).alias("phrase"), text(sorted({w for _, w in places})).alias("words")) for number, places in enumerate(rare)])
+    found = found.withColumn("_possible", F.when(F.size("_rare") > 0, F.transform(F.filter(needed, lambda x: all_held(x["words"])), lambda x: x["phrase"])))
+
+    look_up = lambda x: F.filter(index[x["w"]], lambda p: F.array_contains("_possible", p["phrase"]))
+    proposed = F.transform("_rare", lambda x: F.transform(look_up(x), lambda p: F.struct(p["phrase"].alias("phrase"), (x["k"] - p["at"]).alias("start"))))
+    found = found.withColumn("_proposed", F.sort_array(F.flatten(F.when(F.size("_possible") > 0, proposed)))).drop("_rare", "_held", "_possible")
     same = lambda x, k: F.coalesce(F.get("_proposed", k) == x, F.lit(False))
     # a phrase's postings propose a start once each, so agreement is a run of equal proposals
     agreed = F.filter(
         "_proposed",
-        lambda x, k: (x["start"] >= 0) & ~same(x, k - 1) & same(x, k + F.get(numbers(votes), x["phrase"]) - 1),
+        lambda x, k: (x["start"] >= 0) & ~same(x, k - 1) & same(x, k + of(numbers(map(len, rare)), x) - 1),
     )
-    verified = F.filter(agreed, lambda x: F.slice("_words", x["start"] + 1, F.size(F.get(keys, x["phrase"]))) == F.get(keys, x["phrase"]))
-    found = found.withColumn("_verified", verified).drop("_proposed")
+    led = F.filter(agreed, lambda x: _stands(of(keys, x), x["start"]))
+    missing = lambda x: F.exists(of(others, x), lambda o: ~_near(lambda e: _stands(o["key"], x["start"] + o["d"] + e)))
+    found = found.withColumn("_verified", F.filter(led, lambda x: ~missing(x))).drop("_proposed")
 
     def share(x):
-        whole = F.get(wholes, x["phrase"])
-        first = x["start"] - F.get(numbers(starts), x["phrase"])
-        return F.size(F.filter(whole, lambda w, k: F.coalesce(F.get("_words", first + k) == w, F.lit(False)))) / F.size(whole)
+        whole, first = of(wholes, x), x["start"] - of(numbers([at for *_, at, _ in rows]), x)
+        return F.size(F.filter(whole, lambda w, k: _near(lambda e: _is(first + k + e, w)))) / F.size(whole)
 
+    is_base = lambda x: of(numbers([is_base for *_, is_base in rows]), x)
     spans = F.transform(
         "_verified",
         lambda x: F.struct(
-            F.get(numbers([label for label, *_ in phrases]), x["phrase"]).alias("label"),
+            of(numbers([label for label, *_ in rows]), x).alias("label"),
             x["start"].cast("long").alias("start"),
-            F.size(F.get(keys, x["phrase"])).cast("long").alias("length"),
-            share(x).alias("share"),
-            F.get(numbers([is_base for *_, is_base in phrases]), x["phrase"]).alias("base"),
+            of(numbers([len(key) for _, key, *_ in rows]), x).cast("long").alias("length"),
+            F.when(is_base(x), 1.0).otherwise(share(x)).alias("share"),
+            is_base(x).alias("base"),
         ),
     )
     found = found.select("doc_id", F.size("_words").cast("long").alias("n_words"), F.coalesce(spans, F.array().cast("array<struct<label:string,start:bigint,length:bigint,share:double,base:boolean>>")).alias("spans"))
@@ -118,17 +176,19 @@ def scan_licenses(docs: DataFrame, base=tuple(BASE), templates=tuple(TEMPLATES),
 
 def oracle(base=tuple(BASE), templates=tuple(TEMPLATES)) -> str:
     """DuckDB SQL with scan_licenses()' columns but spans: every phrase is looked for at every place."""
-    rows = [(label, phrase, phrase, True) for label, phrase in base] + [(label, key, whole, False) for label, key, whole in templates]
-    values = ",\n".join(f"('{label}', string_split('{key}', ' '), string_split('{whole}', ' '), {is_base})" for label, key, whole, is_base in rows)
+    words = lambda w: f"string_split('{' '.join(w)}', ' ')"
+    rest = lambda others: f"CAST([{', '.join(f'{{phrase: {words(key)}, d: {d}}}' for key, d in others)}] AS STRUCT(phrase VARCHAR[], d INTEGER)[])"
+    values = ",\n".join(f"('{label}', {words(key)}, {rest(others)}, {words(whole)}, {at}, {is_base})" for label, key, others, whole, at, is_base in _rows(base, templates))
     return rf"""
-WITH p(label, key, whole, base) AS (VALUES {values}),
+WITH p(label, key, others, whole, lead, base) AS (VALUES {values}),
 d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM d),
-hit AS (SELECT w.doc_id, label, whole, base, k - 1 AS start, ws,
-               k - (SELECT min(i) FROM range(1, len(whole) + 1) r(i) WHERE whole[i : i + len(key) - 1] = key) AS off
-        FROM w JOIN p ON w.word = key[1] JOIN d ON d.doc_id = w.doc_id WHERE ws[k : k + len(key) - 1] = key),
-s AS (SELECT doc_id, label, base, start,
-             len(list_filter(range(1, len(whole) + 1), lambda i: off + i >= 1 AND ws[off + i] IS NOT DISTINCT FROM whole[i])) / len(whole) AS share FROM hit),
+led AS (SELECT w.doc_id, k, ws, p.* FROM w JOIN p ON w.word = key[1] JOIN d ON d.doc_id = w.doc_id WHERE ws[k : k + len(key) - 1] = key),
+hit AS (SELECT * FROM led WHERE len(list_filter(others, lambda o: len(list_filter(range(-{SLACK}, {SLACK + 1}), lambda e:
+          k + o.d + e >= 1 AND ws[k + o.d + e : k + o.d + e + len(o.phrase) - 1] = o.phrase)) = 0)) = 0),
+s AS (SELECT doc_id, label, base, k - 1 AS start,
+             CASE WHEN base THEN 1e0 ELSE len(list_filter(range(1, len(whole) + 1), lambda i: k - lead + i - 1 + {SLACK} >= 1
+               AND list_contains(ws[greatest(k - lead + i - 1 - {SLACK}, 1) : k - lead + i - 1 + {SLACK}], whole[i]))) / len(whole) END AS share FROM hit),
 g AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
              string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
              max(share) AS score FROM s GROUP BY doc_id)

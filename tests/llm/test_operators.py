@@ -470,6 +470,41 @@ def test_licenses(spark):
     assert found[2].labels == "gpl,gpl-3.0" and found[3].n_base == 0 and found[3].n_words == 3 and found[4].labels == "mit" and 0 < found[4].score < 1
 
 
+def test_partial_notices(spark, tmp_path):
+    """Parts of licences, shifted words and near misses, as told here and as the SQL has it."""
+    whole = {label: [t for name, _, t in licenses.TEMPLATES if name == label] for label, *_ in licenses.TEMPLATES}
+    grant, notice = whole["mit"][1:3]
+    header = whole["gpl-3.0"][1]
+    made = {
+        1: ("mit", f"some code\n{grant}\n\n{notice} and the rest"),
+        2: ("mit", notice),  # its second part only
+        3: ("mit", grant[:60]),  # cut off after the key phrase
+        4: ("gpl,gpl-3.0", header.upper()),
+        5: ("gpl,gpl-3.0", header.replace("Foundation,", "Foundation, Inc, of Boston,").replace("\n", " * ")),  # shifted by three words
+        6: ("gpl", header.replace("version 3", "version " + "x " * 40 + "3")),
+        7: ("gpl", "version 3 " + header.split(", either")[0]),  # the version stands elsewhere
+        8: ("bsd", whole["bsd"][2].replace("contributors", "many kind contributors")),
+        9: ("", "redistributions of source code must retain nothing"),  # one of two key phrases
+        10: ("isc", whole["isc"][0]), 11: ("zlib", " ".join(whole["zlib"])), 12: ("epl-2.0", whole["epl-2.0"][0]),
+        13: ("", " ".join(reversed(grant.split()))), 14: ("", None), 15: ("", ""),
+        16: ("mit,reserved", "all rights reserved " * 50_000 + "mit license"),
+        17: ("gpl,gpl-2.0,gpl-3.0", "gnu general public license version 2 gnu general public license version 3"),
+        18: ("", "gnu general public"), 19: ("apache-2.0", "http://www.apache.org/licenses/LICENSE-2.0"),
+    }
+    docs = docs_of(spark, [(k, t) for k, (_, t) in made.items()] + [(None, "mit license"), (2, notice)]).withColumn("_words", F.lit(1)).withColumn("spans", F.lit(1))
+    scanned = licenses.scan_licenses(docs).collect()
+    found = {r.doc_id: r for r in scanned}
+    assert {k: found[k].labels for k in made} == {k: labels for k, (labels, _) in made.items()}
+    assert len(scanned) == len(made) + 2 and found[None].labels == "mit" and found[16].n_base == 50_000
+    assert found[1].score == found[2].score == found[4].score == found[5].score == 1 and 0 < found[3].score < 0.5
+    docs.where("doc_id <> 16").dropDuplicates().select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    rows = queries.op9_licenses(spark, str(tmp_path))
+    known = con.execute(f"SELECT {', '.join(rows.columns)} FROM ({entry.oracle_sql()['op9_licenses']})").fetchall()
+    assert sorted(map(tuple, rows.collect())) == sorted(known)
+
+
 def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
