@@ -121,21 +121,17 @@ def _settled(known: DataFrame, docs: DataFrame, percent: int) -> list[DataFrame]
         drop(repeated)
     tiers = _rarity(sets)
 
-    # postings in the order of rarity, each with the token's first classes
+    # postings in the order of rarity, and the first classes of their tokens
     mask = (1 << 57) - 1
     key = lambda s: F.shiftleft(F.get("tiers", _bucket(s)).cast("long"), 57).bitwiseOR(s.bitwiseAND(F.lit(mask)))
     n = F.size("t")
     ordered = sets.join(F.broadcast(tiers)).select("c", "f", F.sort_array(F.transform("tokens", key)).alias("t"))  # one row, of bounded size
     posted = ordered.select("c", "f", n.alias("n"), F.posexplode(F.slice("t", F.lit(1), _prefix_size(n, percent))).alias("i", "token"))
     of_token = Window.partitionBy("token").orderBy("f")
-    so_far = of_token.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    one = F.struct(F.col("c").alias("d"), F.col("n").alias("dn"), F.col("i").alias("di"))
-    first = F.array(*[F.nth_value(one, k).over(so_far) for k in range(1, FIRST + 1)])
-    ranked = posted.select("*", F.row_number().over(of_token).alias("rank"), F.lead("c").over(of_token).alias("next"), first.alias("near"))
-    possible = lambda x: x.isNotNull() & (x["d"] != F.col("c")) & _possible(F.col("n"), F.col("i"), x["dn"], x["di"], percent)
-    shared = ranked.where("rank > 1 or next is not null").select("token", "c", "f", "n", "i", "rank", F.filter("near", possible).alias("near"))
-    postings = written(shared, "postings")
-    met = postings.where(F.size("near") > 0).select("c", "n", "i", F.explode("near").alias("x")).select("c", "n", "i", "x.*")
+    ranked = posted.select("*", F.row_number().over(of_token).alias("rank"), F.lead("c").over(of_token).alias("next"))
+    postings = written(ranked.where("rank > 1 or next is not null").select("token", "c", "f", "n", "i", "rank"), "postings")
+    head = postings.select("token", F.col("c").alias("d"), F.col("rank").alias("before"), F.col("n").alias("dn"), F.col("i").alias("di")).where(F.col("before") <= FIRST)
+    met = postings.join(head, "token").where((F.col("before") < F.col("rank")) & (F.col("c") != F.col("d")) & _possible(F.col("n"), F.col("i"), F.col("dn"), F.col("di"), percent))
     early = _verified(_proposed(met, percent), sets, percent)
 
     # classes with more before them than these, which are not settled
