@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pennant.llm import forest, language, licenses, lines, minhash, packing, pages, pieces, quality, sharding
+from pennant.llm import audit, forest, language, licenses, lines, minhash, packing, pages, pieces, pii, quality, sharding, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,21 @@ def op10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "path")
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.digest(pii.find(_table(spark, sf_dir, "documents")))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors on sixteen whitened components."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), wanted=16)
+
+
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all orders, counted for each source of the documents."""
+    return audit.interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_forest": op1_forest,
     "op2_quality": op2_quality,
@@ -96,9 +111,14 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_licenses": op9_licenses,
     "op10_pages": op10_pages,
+    "op11_pii": op11_pii,
+    "op12_whitening": op12_whitening,
+    "op13_audit": op13_audit,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_quality": quality.ORACLE,
     "op4_lines": lines.ORACLE,
     "op9_licenses": licenses.oracle(),
+    "op11_pii": pii.oracle(),
+    "op13_audit": audit.ORACLE,
 }
