@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pennant.functions.scoring import DECAY, phase_weight
+from pennant.operators.store import settled
 
 # Rounds of the iteration, share of the rating that a loser gets, size of the field.
 ROUNDS, LOSER_SHARE, FIELD, AUTOMATIC, BYES = 15, 0.15, 12, 5, 4
+#: Distinct pairings of a season (about 50 bytes each) that a task holds at most.
+IN_TASK = 2_000_000
 
 
 def _rate(rounds: int, loser_share: float):
@@ -33,17 +36,47 @@ def _rate(rounds: int, loser_share: float):
     return run
 
 
-def iterative_ratings(games: DataFrame, rounds: int = ROUNDS, loser_share: float = LOSER_SHARE) -> DataFrame:
+def iterative_ratings(games: DataFrame, rounds: int = ROUNDS, loser_share: float = LOSER_SHARE, in_task: int = IN_TASK) -> DataFrame:
     """season_year, team_id, rating: each round a winner gains the loser's rating times the game's weight, the loser a share.
 
-    Ratings of a season add up to its teams. Seasons run beside each other. A season's games are first added up for each
-    winner and loser, and a season's distinct pairings are what one task holds.
+    Ratings of a season add up to its teams. A season's games are first added up for each winner and loser. Seasons of at
+    most `in_task` such pairings run beside each other, each in a task; larger ones round by round over all tasks, see
+    spread_ratings(). Both give the same ratings but for rounding. Games without a season or a team count for nothing.
     """
     decided = F.col("home_score").isNotNull() & F.col("away_score").isNotNull()
     sign = F.when(decided, F.signum(F.col("home_score") - F.col("away_score")))
-    pairs = games.groupBy("season_year", "home_team_id", "away_team_id", sign.alias("sign")).agg(F.sum(phase_weight(F.col("game_phase"))).alias("weight"))
-    rows = pairs.select("season_year", "home_team_id", "away_team_id", F.col("sign").alias("home_score"), F.when(F.col("sign").isNotNull(), 0.0).alias("away_score"), "weight")
-    return rows.groupBy("season_year").applyInPandas(_rate(rounds, loser_share), "season_year int, team_id long, rating double")
+    sound = games.where("season_year is not null and home_team_id is not null and away_team_id is not null")
+    pairs = settled(sound.groupBy("season_year", "home_team_id", "away_team_id", sign.alias("sign")).agg(F.sum(phase_weight(F.col("game_phase"))).alias("weight")))
+    large = [r["season_year"] for r in pairs.groupBy("season_year").agg(F.count("*").alias("n")).where(F.col("n") > in_task).collect()]  # one row a season at most
+    rows = pairs.where(~F.col("season_year").isin(large)).select("season_year", "home_team_id", "away_team_id", F.col("sign").alias("home_score"), F.when(F.col("sign").isNotNull(), 0.0).alias("away_score"), "weight")
+    rated = rows.groupBy("season_year").applyInPandas(_rate(rounds, loser_share), "season_year int, team_id long, rating double")
+    return rated.unionByName(spread_ratings(pairs.where(F.col("season_year").isin(large)), rounds, loser_share)) if large else rated
+
+
+def spread_ratings(pairs: DataFrame, rounds: int = ROUNDS, loser_share: float = LOSER_SHARE, together: int = 3) -> DataFrame:
+    """The ratings of pairs (season_year, home_team_id, away_team_id, sign, weight) by rounds over all tasks.
+
+    A round joins the ratings to the links they flow along and adds up what each team gets; sums are formed before the
+    shuffle, so a team that a third of all games name is one row a task. As a round is linear, ratings are only brought
+    back to their sum every `together` rounds, when they are written. A season without a decided game keeps its ones.
+    """
+    home_won = F.col("sign") > 0
+    winner, loser = F.when(home_won, F.col("home_team_id")).otherwise(F.col("away_team_id")), F.when(home_won, F.col("away_team_id")).otherwise(F.col("home_team_id"))
+    won = pairs.where("sign <> 0").select("season_year", winner.alias("w"), loser.alias("l"), "weight")
+    flows = F.explode(F.array(F.struct(F.col("w").alias("to"), F.col("l").alias("source"), F.col("weight").alias("f")), F.struct(F.col("l").alias("to"), F.col("w").alias("source"), (F.col("weight") * loser_share).alias("f"))))
+    links = settled(won.select("season_year", flows.alias("x")).groupBy("season_year", "x.to", "x.source").agg(F.sum("x.f").alias("f")))
+    teams = settled(pairs.select("season_year", F.explode(F.array("home_team_id", "away_team_id")).alias("team_id")).distinct())
+    ratings, done = teams.withColumn("rating", F.lit(1.0)), 0
+    while done < rounds:
+        now = min(together, rounds - done)
+        gained = ratings
+        for _ in range(now):
+            gained = links.join(gained.withColumnRenamed("team_id", "source"), ["season_year", "source"]).groupBy("season_year", F.col("to").alias("team_id")).agg(F.sum(F.col("rating") * F.col("f")).alias("rating"))
+        gained = settled(teams.join(gained, ["season_year", "team_id"], "left").fillna(0.0, ["rating"]))
+        sums = F.broadcast(gained.groupBy("season_year").agg(F.count("*").alias("n"), F.sum("rating").alias("total")))  # one row a season
+        ratings = gained.join(sums, "season_year").select("season_year", "team_id", F.when(F.col("total") > 0, F.col("rating") * F.col("n") / F.col("total")).otherwise(1.0).alias("rating"))
+        done += now
+    return ratings.select(F.col("season_year").cast("int").alias("season_year"), "team_id", "rating")
 
 
 def decayed(ratings: DataFrame, window: int = 5, decay: float = DECAY) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pennant.functions.text import sql_quoted
@@ -55,12 +57,47 @@ def rounded(rows: DataFrame, digits: int = 6) -> DataFrame:
     return rows.select(*[F.round(c, digits).alias(c) if kind in ("double", "float") else F.col(c) for c, kind in rows.dtypes])
 
 
-def settled(rows: DataFrame) -> DataFrame:
-    """rows computed once and kept in the folder of spark.checkpoint.dir, for plans that use them several times."""
-    context = rows.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        named = context.getConf().get("spark.checkpoint.dir")
-        if not named and context.master.split("[")[0] != "local":
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's spark.checkpoint.dir.
+
+    Where none is set, a folder of our own if all runs on this machine, else an error.
+    """
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named:
+        if context.master.split("[")[0] != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="pennant-"))
-    return rows.checkpoint()
+        named = tempfile.mkdtemp(prefix="pennant-")
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def files_of(spark: SparkSession, path: str):
+    """The file system of a path and the path as it names it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder; nothing if there is none."""
+    system, target = files_of(spark, path)
+    system.delete(target, True)
+
+
+def _delete_quietly(spark: SparkSession, path: str) -> None:
+    try:
+        delete(spark, path)
+    except Exception:  # noqa: BLE001  the session may have ended before the interpreter does
+        pass
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """rows computed once, for plans that use them several times or would grow too long: a table in the shared folder.
+
+    The table outlives lost executors and goes when the interpreter ends.
+    """
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark)}/pennant/settled-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    atexit.register(_delete_quietly, spark, path)
+    return spark.read.schema(rows.schema).parquet(path)

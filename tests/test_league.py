@@ -130,7 +130,8 @@ def test_names(spark):
     teams = spark.createDataFrame([(1, "Miami Ohio"), (2, "San Jose State")], "team_id long, team_name string")
     made, skipped = names.suggest(spark.createDataFrame([("Ohio Miami",), ("San José State",), ("Zzz",), ("Ohio",), ("MIAMI-O",)], "name string"), teams, spark.createDataFrame([("Ohio", "x")], "alias string, team_name string"), {"Miami O": "Miami Ohio"})
     assert [(r.alias, r.team_name, r.reason) for r in names.in_order(made).collect()] == [("MIAMI-O", "Miami Ohio", "manual override (normalized key)"), ("San José State", "San Jose State", "fuzzy match")]
-    assert {(r.alias, r.reason) for r in skipped.collect()} == {("Ohio", "already in team_aliases"), ("Ohio Miami", "score below the threshold"), ("Zzz", "score below the threshold")}
+    reasons = {r.alias: (r.reason, r.team_name, r.missing) for r in skipped.collect()}
+    assert reasons == {"Ohio": ("already in team_aliases", None, None), "Ohio Miami": ("score below the threshold", "Miami Ohio", None), "Zzz": ("alias too short for non-exact match", "Miami Ohio", None)}
 
 
 def test_suggestions_as_one_by_one(spark):
@@ -141,20 +142,68 @@ def test_suggestions_as_one_by_one(spark):
     teams = [" ".join(generator.sample(words, generator.randint(1, 3))) for _ in range(60)]
     unknown = [generator.choice([t, t[::-1], t.replace("o", "0", 1), t + "s", t[1:], " ".join(reversed(t.split())), t.replace("state", "st")]) for t in teams] + ["utx", "osu", ""]
     score = lambda a, b: 0.55 * SequenceMatcher(None, a, b).ratio() + 0.35 * SequenceMatcher(None, *(" ".join(sorted(x.split())) for x in (a, b))).ratio() + 0.1 * len(set(a.split()) & set(b.split())) / max(len(set(a.split())), len(set(b.split())))
-    expected = {}
+    expected, refused = {}, {"": ("alias too short for non-exact match", teams[0], 0.0, None)}
     for raw in set(unknown):
         a = " ".join(raw.split())
         if not a:
             continue
         best = max(range(len(teams)), key=lambda k: (score(a, teams[k]), -k))
         s = score(a, teams[best])
-        lost = [w for w in a.split() if len(w) >= 4 and w not in teams[best].split()]
-        if s >= 0.86 and not (len(a) <= 4 and s < 0.95) and not (lost and s < 0.92):
+        lost = sorted({w for w in a.split() if len(w) >= 4 and w not in teams[best].split()})
+        weak = "alias too short for non-exact match" if len(a) <= 4 and s < 0.95 else "missing token" if lost and s < 0.92 else "score below the threshold" if s < 0.86 else None
+        if weak:
+            refused[raw] = (weak, teams[best], round(s, 9), lost if weak == "missing token" else None)
+        else:
             expected[raw] = (teams[best], round(s, 9))
     rows = spark.createDataFrame(list(enumerate(teams)), "team_id long, team_name string")
     found, skipped = names.suggest(spark.createDataFrame([(a,) for a in sorted(set(unknown))], "name string"), rows)
     assert {r.alias: (r.team_name, round(r.score, 9)) for r in found.collect()} == expected and 10 < len(expected) < 60
-    assert skipped.count() == len(set(unknown)) - len(expected)
+    assert {r.alias: (r.reason, r.team_name, round(r.score, 9), r.missing) for r in skipped.collect()} == refused
+    quick, left = names.suggest(spark.createDataFrame([(a,) for a in unknown], "name string"), rows, explain=False)
+    assert {r.alias: (r.team_name, round(r.score, 9)) for r in quick.collect()} == expected and {r.alias for r in left.collect()} == set(refused)
+
+
+def test_suggestions_of_weak_names_and_without_teams(spark):
+    generator = random.Random(9)
+    teams = ["".join(generator.choice("abcdexyz  12") for _ in range(generator.randint(1, 24))) for _ in range(150)]
+    unknown = ["".join(generator.choice("abqrstz 129") for _ in range(generator.randint(1, 16))) for _ in range(60)] + ["!!", "0000"]
+    key = lambda s: " ".join(s.split())
+    schema = "team_id long, team_name string"
+    made, skipped = names.suggest(spark.createDataFrame([(a,) for a in unknown], "name string"), spark.createDataFrame(list(enumerate(teams)), schema))
+    found = {r.alias: (r.team_name, round(r.score, 9)) for r in [*made.collect(), *skipped.collect()]}
+    for raw in unknown:
+        scores = [plain_score(key(raw.replace("!", " ")), key(t)) for t in teams]
+        assert found[raw] == (teams[scores.index(max(scores))], round(max(scores), 9)), raw
+    made, skipped = names.suggest(spark.createDataFrame([("Zzz",), ("",)], "name string"), spark.createDataFrame([], schema))
+    assert made.count() == 0 and {(r.alias, r.reason, r.score) for r in skipped.collect()} == {("Zzz", "no teams to compare", None), ("", "no teams to compare", None)}
+
+
+def plain_score(a, b):
+    from difflib import SequenceMatcher
+
+    if not a or not b:
+        return 0.0
+    ratio = lambda x, y: SequenceMatcher(None, x, y).ratio()
+    words, others = set(a.split()), set(b.split())
+    return 0.55 * ratio(a, b) + 0.35 * ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split()))) + 0.1 * len(words & others) / max(len(words), len(others))
+
+
+def test_no_nested_loops_among_names(spark):
+    x = league.League(spark, SF)
+    own = names.conference_map(x.members.limit(0), x.teams.selectExpr("team_id", "'A' as conference_name", "1996 as effective_year_start"), spark.createDataFrame([(1996,)], "season_year int"))
+    made, skipped = names.suggest(x.raw_names, x.teams)
+    for rows in (own, made, skipped):
+        assert "NestedLoop" not in rows._jdf.queryExecution().toString()
+
+
+def test_ratings_over_all_tasks_are_those_of_one(spark):
+    games_of = league.League(spark, SF).games.unionByName(spark.createDataFrame([(-1, 2050, None, 3, 4, 3, 3, 0, "regular"), (-2, 2051, None, 3, 4, None, 3, 0, "cfp")], "game_id long, season_year int, game_date date, home_team_id long, away_team_id long, home_score int, away_score int, went_ot int, game_phase string"))
+    one = {(r.season_year, r.team_id): r.rating for r in ratings.iterative_ratings(games_of).collect()}
+    spread = {(r.season_year, r.team_id): r.rating for r in ratings.iterative_ratings(games_of, in_task=0).collect()}
+    assert one.keys() == spread.keys() and all(spread[k] == pytest.approx(v, abs=1e-9) for k, v in one.items())
+    assert spread[2050, 3] == spread[2051, 4] == 1.0
+    some = {(r.season_year, r.team_id): r.rating for r in ratings.iterative_ratings(games_of, rounds=4, in_task=100).collect()}
+    assert some == pytest.approx({(r.season_year, r.team_id): r.rating for r in ratings.iterative_ratings(games_of, rounds=4).collect()}, abs=1e-9)
 
 
 def test_seasons_that_do_not_fit(spark):
