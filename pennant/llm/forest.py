@@ -198,7 +198,7 @@ def _split(placed: DataFrame, classes: DataFrame, leaf_rows: int, spill: float,
 
 
 def near_vectors(
-    vectors: DataFrame, threshold: float = 0.98, trees: int = 6, leaf_rows: int = 512, sample_rows: int = 16_384, spread: float = 0.4, seed: int = 11
+    vectors: DataFrame, threshold: float = 0.98, trees: int = 10, leaf_rows: int = 512, sample_rows: int = 16_384, spread: float = 0.4, seed: int = 11
 ) -> DataFrame:
     """Groups of vectors (vec_id, embedding, label) whose cosine is at least `threshold` under the same label.
 

@@ -81,6 +81,22 @@ def test_page_parts(spark):
     assert row.text == "Title\n\nFirst & bold line\n\nSecond part\n\none\n\ntwo" and row.path == "html>body>div.content.post-#"
 
 
+@pytest.mark.parametrize("seed", range(60))
+def test_articles_under_the_classes_of_themes(seed):
+    rng = random.Random(seed)
+    words = ["sidebar", "comments", "share", "legal", "banner", "menu", "social", "newsletter", "cookie-notice", "related"]
+    telling = lambda: f"{rng.choice(['no', 'has', 'with', 'tag', 'category', 'hide'])}-{rng.choice(words)}"
+    text = [f"sentence {k} of an article that says a little" for k in range(rng.randint(3, 9))]
+    blocks = [rng.choice(["<p>{}</p>", "<p data-note='a hidden or style=\"display:none\" word'>{}</p>", f"<h2 id='{rng.choice(words)}-{{}}'>{{}}</h2>", f"<section id='{rng.choice(['legal', 'copyright', 'share'])}'><p>{{}}</p></section>"]) for _ in text]
+    body = "".join(b.replace("{}", t, 1).replace("{}", t) if b.count("{}") == 2 else b.format(t) for b, t in zip(blocks, text, strict=True))
+    outer, inner = rng.choice(["article", "main", "div"]), rng.choice(["div", "article"])
+    html = (
+        f"<html class='{telling()}'><body class='{telling()} {rng.choice(['right-sidebar', 'menu-open', 'banner'])}'><nav>Home</nav><{outer} class='post {telling()} {telling()}'><{inner} class='entry {telling()}'>{body}</{inner}>"
+        f"<div class='{rng.choice(['share', 'comments', 'related-posts', 'post-comments', 'site-footer'])}'>go away</div></{outer}><div id='sidebar'>see</div></body></html>"
+    )
+    assert pages.text_of(pages.read_page(html), None) == "\n\n".join(text), html
+
+
 def test_host_consensus(spark):
     good = "<body><div class=story><p>{}</p></div><div class=links><p>{}</p></div></body>"
     rows = [(k, f"http://a.org/{k}", good.format("long text of an article " * 9, "few words")) for k in range(4)] + [(9, "http://a.org/9", good.format("short", "much longer text than the story itself has here"))]
@@ -141,10 +157,25 @@ def test_pages_of_known_text(spark):
     ("<p>Text<script>x", "Text"),
     ("<div class=post><div class='entry-header'><h1>Title</h1></div><p>Text</p></div>", "Title\n\nText"),
     ("<article><div class='header'><h1>Title</h1></div><p>Text</p></article>", "Title\n\nText"),
-    ("<div class='site-header'>Site</div><p>Text</p>", "Text"),
+    ("<div class='site-header'>Site</div><p>Longer text</p>", "Longer text"),
     ("<p title='a>b\">Text</p><p>'", "b\">Text\n\n'"),  # a tag whose quotes reach past all its ends stops at the first
     ("<p title=5\" x>Text</p>", "Text"),
     ("<p>1 < 2 and <3</p></ p>", "1 < 2 and <3"),
+    ("<body class='single right-sidebar'><p>Text</p>", "Text"),
+    ("<body class='home has-sidebar'><p>Text</p>", "Text"),
+    ("<div class='post no-comments'><p>Text</p></div>", "Text"),
+    ("<article class='post category-legal tag-share'><p>Text</p></article>", "Text"),
+    ("<article><p title='the hidden gem'>Text</p></article>", "Text"),
+    ("<article><p data-x=a hidden>Text</p><p>more text</p></article>", "more text"),
+    ("<article><p>Some text</p><h2 id='related-work'>Other work</h2><h2 id='comment-on-law'>Law</h2><section id='legal'><p>More</p></section></article>", "Some text\n\nOther work\n\nLaw\n\nMore"),
+    ("<article><p>Some text</p><figure class='banner'><figcaption>Seen</figcaption></figure></article>", "Some text\n\nSeen"),
+    ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be</p></article>", "Let x=2 be"),
+    ("<article><p>Long enough a text</p><div class='comment-list'><p>I say so</p></div><div class='right-sidebar'>See</div></article>", "Long enough a text"),
+    ("<article><p>A text</p></article><section id=comments><article class=comment><p>I say that this is much longer than the text</p></article></section>", "A text"),
+    ("<div class='content-sidebar banner-page'><div class='modal'><p>The only text</p></div></div>", "The only text"),
+    ("<div class=ad>Much longer than all that the article has to say</div><article><h1>Short</h1></article>", "Short"),
+    ("<div class='ad'><main><p>Much longer than all the rest</p></main></div><p>And so</p>", "Much longer than all the rest"),
+    ("<div class=story><p>A text that is long</p></div><div class='site-footer'>End</div><div class='main-nav'>Home</div>", "A text that is long"),
 ])
 def test_page_markup(html, text):
     assert pages.text_of(pages.read_page(html), None) == text
@@ -410,6 +441,16 @@ def test_sharding(spark):
     assert (found["text_crc32"] == [zlib.crc32(dict(texts)[k].encode()) for k in found["doc_id"]]).all()
 
 
+def test_sharding_of_rows_without_an_id_and_repeated_rows(spark):
+    texts = [(None, "one text that many rows share")] * 3000 + [(7, "another one")] * 1000 + [(k, f"text {k}") for k in range(600)]
+    random.Random(2).shuffle(texts)
+    found = sharding.shard_by_bytes(docs_of(spark, texts).repartition(5), 8).toPandas()
+    sizes = found.groupby("shard")["size"].sum()
+    assert len(found) == 4600 and set(found["shard"]) == set(range(8)) and sizes.max() - sizes.min() <= 2 * found["size"].max()
+    for _, shard in found.groupby("shard"):
+        assert sorted(shard["slot"]) == list(range(len(shard)))
+
+
 def test_sharding_boundaries(spark):
     generator = random.Random(6)
     texts = [(generator.randrange(1 << 40), "hot " * 50) for _ in range(700)] + [(k, "x" * int(generator.paretovariate(0.8)) if k % 50 else "y" * 20_000) for k in range(1300)]
