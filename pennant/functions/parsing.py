@@ -25,8 +25,9 @@ def flag_from_text(value: Column) -> Column:
 
 
 def game_date(value: Column) -> Column:
-    """The first ten characters as a date, 1900-01-01 where there are none."""
-    return F.coalesce(F.substring(value, 1, 10).try_cast("date"), F.lit("1900-01-01").cast("date"))
+    """The first ten characters as a date, 1900-01-01 where there is no text; null for text that is no date (a row to set aside)."""
+    day = F.substring(value, 1, 10)
+    return F.when(F.coalesce(value, F.lit("")) == "", F.lit("1900-01-01").cast("date")).when(day.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), day.try_cast("date"))
 
 
 def _mentions(notes: Column, words: list[str]) -> Column:
@@ -65,10 +66,10 @@ def week_number(value: Column) -> Column:
     return F.when(text == "", 0).otherwise(text.try_cast("int"))
 
 
-def row_fault(kind: Column, phase: Column, *flags: Column) -> Column:
-    """What is wrong with a row, null if nothing: an unknown or missing type or phase, or a flag that could not be read."""
+def row_fault(kind: Column, phase: Column, *flags: Column, week: Column | None = None) -> Column:
+    """What is wrong with a row, null if nothing: an unknown or missing type or phase, or a flag or week that could not be read."""
     fault = F.when(~F.coalesce(kind.isin("regular", "playoff"), F.lit(False)), "game_type")
     fault = fault.when(~F.coalesce(phase.isin("regular", "bowl", "cfp"), F.lit(False)), "game_phase")
     for flag in flags:
         fault = fault.when(flag.isNull(), "flag")
-    return fault
+    return fault if week is None else fault.when(week.isNull(), "week")

@@ -57,7 +57,7 @@ def load(rows: DataFrame, teams: DataFrame, aliases: DataFrame, existing: DataFr
     for side in ("home", "away"):
         named = names.resolve(typed.withColumnRenamed(f"{side}_team", "name"), teams, aliases)
         typed = named.withColumnsRenamed({"name": f"{side}_team", "team_id": f"{side}_team_id"})
-    fault = parsing.row_fault(F.col("game_type"), F.col("game_phase"), F.col("went_ot"), F.col("neutral_site"), F.col("week"))
+    fault = parsing.row_fault(F.col("game_type"), F.col("game_phase"), F.col("went_ot"), F.col("neutral_site"), week=F.col("week"))
     fault = F.coalesce(fault, F.when(F.col("season_year").isNull() | F.col("game_date").isNull() | F.col("home_score").isNull() | F.col("away_score").isNull(), "number or date"))
     unknown = F.col("home_team_id").isNull() | F.col("away_team_id").isNull()
     judged = typed.withColumn("disposition", F.coalesce(fault, F.when(unknown, "unknown team")))

@@ -16,7 +16,7 @@ RARE_TEAMS = 64
 #: Numbers of groups of letters that keys are made for; names that differ more often meet by length alone.
 GROUPS = (1, 2, 3, 5, 8, 13, 20, 37)
 #: The bounds of the search after the first.
-FALLING = (0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1)
+FALLING = (0.75, 0.6, 0.45, 0.3, 0.15)
 #: Room for rounding in bounds.
 SLACK = 1e-9
 
@@ -38,18 +38,22 @@ def canonical(names: DataFrame, aliases: DataFrame) -> DataFrame:
 def conference_map(members: DataFrame, alignment: DataFrame, seasons: DataFrame) -> DataFrame:
     """The season's members first; teams without one by their latest alignment from before or in the season.
 
+    Members count if their conference is not blank and, where there is an is_fbs, it is 1 or null; alignments if theirs is
+    not blank. Conferences come trimmed.
+
     An as-of join: an alignment (of one team and year, that whose conference sorts last) holds until the team's next one,
     and stands for the seasons of that stretch; no alignment is compared with a season that it does not hold in.
     Alignments without a team, a year or a conference, and seasons without a year, meet nothing.
     """
-    known = alignment.where("team_id is not null and effective_year_start is not null and conference_name is not null")
-    turns = known.groupBy("team_id", F.col("effective_year_start").alias("year")).agg(F.max("conference_name").alias("conference"))
+    known = alignment.where("team_id is not null and effective_year_start is not null and trim(conference_name) <> ''")
+    turns = known.groupBy("team_id", F.col("effective_year_start").alias("year")).agg(F.max(F.trim("conference_name")).alias("conference"))
     span = seasons.agg(F.min("season_year").alias("first"), F.max("season_year").alias("last")).first()
     until = F.lead("year").over(Window.partitionBy("team_id").orderBy("year")) - 1
     held = turns.withColumns({"from": F.greatest("year", F.lit(span["first"])), "to": F.least(until, F.lit(span["last"]))}).where(F.col("from") <= F.col("to"))
     dated = held.select(F.explode(F.sequence(F.col("from").cast("int"), F.col("to").cast("int"))).alias("season_year"), "team_id", "conference")
     latest = dated.join(seasons.select("season_year").distinct(), "season_year", "left_semi")
-    real = members.where("trim(conference) <> ''").select("season_year", "team_id", "conference")
+    top = members.where("coalesce(is_fbs, 1) = 1") if "is_fbs" in members.columns else members
+    real = top.where("trim(conference) <> ''").select("season_year", "team_id", F.trim("conference").alias("conference")).distinct()
     return real.unionByName(latest.join(real, ["season_year", "team_id"], "left_anti"))
 
 

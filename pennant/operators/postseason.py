@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -72,8 +73,13 @@ def shuffles(sizes: tuple[int, ...], seed: int = SEED) -> list[list[int]]:
     return drawn
 
 
-def draw(balanced: DataFrame, seed: int = SEED) -> DataFrame:
-    """slot 1-24: the pots one after the other, each in the order that the seed draws from (moved, conference, team_id)."""
+def draw(balanced: DataFrame, seed: int = SEED, strict: bool = False) -> DataFrame:
+    """slot 1-24: the pots one after the other, each in the order that the seed draws from (moved, conference, team_id).
+
+    If strict, a season without 24 teams, 8 byes and two pots of 8 is an error, before and after the draw.
+    """
+    if strict:
+        return slots_filled(draw(complete(balanced), seed))
     listed = ranked(balanced, "place", "moved", "conference", "team_id", by=("season_year", "pot"))
     season = Window.partitionBy("season_year")
     sizes = [F.count_if(F.col("pot") == p).over(season).alias(f"n{p}") for p in range(3)]
@@ -134,15 +140,16 @@ def slot_bracket(bracket: DataFrame) -> DataFrame:
     return rows.select("season_year", F.col("a_slot").alias("slot"), F.col("b_slot").alias("other_slot"), F.col("a_team_id").alias("team_a"), F.col("b_team_id").alias("team_b"), host.alias("host_team_id"), (17 - F.col("a_slot")).alias("bye_slot"))
 
 
-def tiers(conference_seasons: DataFrame, independents: str) -> DataFrame:
-    """The ten best conferences of a season by points per game, independents left out; see at_least() for the check."""
+def tiers(conference_seasons: DataFrame, independents: str, strict: bool = False) -> DataFrame:
+    """The ten best conferences of a season by points per game, independents left out; if strict, fewer are an error."""
     rows = conference_seasons.where(F.col("conference") != independents)
-    return ranked(rows, "tier", F.desc("points_per_game"), "conference").where("tier <= 10").select("season_year", "conference", "tier")
+    best = ranked(rows, "tier", F.desc("points_per_game"), "conference").where("tier <= 10").select("season_year", "conference", "tier")
+    return at_least(best, 10, "tiers") if strict else best
 
 
-def select_field(tiered: DataFrame, members: DataFrame, standings: DataFrame, team_ranks: DataFrame, independents: str, champions: DataFrame | None = None) -> DataFrame:
+def select_field(tiered: DataFrame, members: DataFrame, standings: DataFrame, team_ranks: DataFrame, independents: str, champions: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """The second selection: each tier's bids go to its champion and its best ranks, then its best coefficients; two
-    independents follow by coefficient. field_size tells how many the season has; it is reported, not forced."""
+    independents follow by coefficient. field_size tells how many the season has; if strict, other than 24 is an error."""
     champions = champions if champions is not None else standings.where("conf_rank = 1")
     rows = members.join(standings.select("season_year", "conference", "team_id", "conf_rank"), ["season_year", "conference", "team_id"], "left")
     rows = rows.join(team_ranks.select("season_year", "team_id", "coe_rank"), ["season_year", "team_id"], "left")
@@ -155,27 +162,38 @@ def select_field(tiered: DataFrame, members: DataFrame, standings: DataFrame, te
     alone = ranked(rows.where((F.col("conference") == independents) & F.col("coe_rank").isNotNull()), "slot", "coe_rank", "team_id").where("slot <= 2")
     out = ["season_year", "conference", "team_id", "tier", "slot", "pot", "bid_type"]
     field = chosen.withColumn("bid_type", bid).select(out).unionByName(alone.withColumns({"tier": F.lit(None).cast("int"), "pot": F.col("slot"), "bid_type": F.lit("at_large")}).select(out))
-    return field.withColumn("field_size", F.count("*").over(Window.partitionBy("season_year")))
+    field = field.withColumn("field_size", F.count("*").over(Window.partitionBy("season_year")))
+    return sized(field) if strict else field
 
 
 def at_least(rows: DataFrame, n: int, what: str) -> DataFrame:
-    """rows, if every season has at least n of them; else an error that names the seasons."""
-    return _all_seasons(rows, F.count("*") >= n, f"fewer than {n} {what}")
+    """rows; reading a season that has fewer than n of them is an error that names it."""
+    return _all_seasons(rows, {"n": F.count("*")}, lambda c: c["n"] >= n, f"fewer than {n} {what}")
 
 
 def sized(field: DataFrame, n: int = 24) -> DataFrame:
-    """The field, if every season has n teams; else an error."""
-    return _all_seasons(field, F.count("*") == n, f"not {n} teams")
+    """The field; reading a season that does not have n teams is an error that names it."""
+    return _all_seasons(field, {"n": F.count("*")}, lambda c: c["n"] == n, f"not {n} teams")
 
 
 def complete(potted: DataFrame, n: int = 24, byes: int = 8) -> DataFrame:
-    """A field with pots, if every season has n teams, the byes and two pots of equal size; else an error."""
+    """A field with pots; reading a season without n teams, the byes and two pots of equal size is an error that names it."""
     of = lambda p: F.count_if(F.col("pot") == p)
-    return _all_seasons(potted, (F.count("*") == n) & (of(0) == byes) & (of(1) == (n - byes) // 2) & (of(2) == (n - byes) // 2), f"not {n} teams with {byes} byes and two equal pots")
+    holds = lambda c: (c["n"] == n) & (c["p0"] == byes) & (c["p1"] == (n - byes) // 2) & (c["p2"] == (n - byes) // 2)
+    return _all_seasons(potted, {"n": F.count("*"), **{f"p{p}": of(p) for p in range(3)}}, holds, f"not {n} teams with {byes} byes and two equal pots")
+
 
+def slots_filled(bracket: DataFrame, n: int = 24) -> DataFrame:
+    """A drawn bracket; reading a season whose slots are not 1 to n, each once and in its pot's range, is an error that names it."""
+    third = F.floor((F.col("slot") - 1) / (n // 3))
+    counts = {"n": F.count("*"), "low": F.min("slot"), "high": F.max("slot"), "sum": F.sum("slot"), "odd": F.count_if(third != F.col("pot"))}
+    return _all_seasons(bracket, counts, lambda c: (c["n"] == n) & (c["low"] == 1) & (c["high"] == n) & (c["sum"] == n * (n + 1) // 2) & (c["odd"] == 0), f"not slots 1 to {n} by pots")
 
-def _all_seasons(rows: DataFrame, holds: Column, fault: str) -> DataFrame:
-    bad = [r["season_year"] for r in rows.groupBy("season_year").agg(holds.alias("holds")).where("not holds").orderBy("season_year").collect()]  # one row a season
-    if bad:
-        raise ValueError(f"{fault} in {', '.join(map(str, bad))}")
-    return rows
+
+def _all_seasons(rows: DataFrame, counts: dict[str, Column], holds: Callable[[dict[str, Column]], Column], fault: str) -> DataFrame:
+    """rows with a check on counts of a season that runs when they are read: no job of its own, and a season has few rows."""
+    season = Window.partitionBy("season_year")
+    marked = rows.withColumns({f"_check_{name}": c.over(season) for name, c in counts.items()})
+    found = {name: F.col(f"_check_{name}") for name in counts}
+    stop = F.raise_error(F.concat(F.lit(f"{fault} in "), F.col("season_year").cast("string"))).cast("boolean")
+    return marked.where(F.when(holds(found), F.lit(True)).otherwise(stop)).drop(*[f"_check_{name}" for name in counts])

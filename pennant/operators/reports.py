@@ -57,9 +57,11 @@ def field_counts(field: DataFrame) -> DataFrame:
     return rows.groupBy("season_year").agg(F.sum("is_bye").alias("byes"), F.sum("is_champion").alias("champions"), F.count("*").alias("teams"))
 
 
-def season_report(year: int, teams: DataFrame, standings: DataFrame, team_seasons: DataFrame, conference_seasons: DataFrame, field: DataFrame, best: int = 25) -> dict[str, DataFrame]:
-    """The four tables of a season in their order: standings, the best teams, conferences, the playoff field."""
-    of = lambda rows: between_seasons(rows, year=year)
+def season_report(year: int, teams: DataFrame, standings: DataFrame, team_seasons: DataFrame, conference_seasons: DataFrame, field: DataFrame, best: int = 25, formula_version: str | None = None) -> dict[str, DataFrame]:
+    """The four tables of a season in their order: standings, the best teams, conferences, the playoff field; of one
+    formula version, where it is asked for and a table has versions."""
+    version = lambda rows: rows if formula_version is None or "formula_version" not in rows.columns else rows.where(F.col("formula_version") == formula_version)
+    of = lambda rows: between_seasons(version(rows), year=year)
     named = lambda rows: of(rows).drop("team_name").join(teams.select("team_id", "team_name"), "team_id")
     counts = [c for c in ("overall_wins", "overall_losses", "conf_wins", "conf_losses") if c in standings.columns]
     seen = [c for c in ("conference", "pot", "seed", "slot", "rank", "is_champion") if c in field.columns]
@@ -97,11 +99,25 @@ def table_columns(spark: SparkSession, table: str) -> list[str]:
     return spark.table(table).columns if spark.catalog.tableExists(table) else []
 
 
-def console(rows: DataFrame, most: int = 200) -> str:
-    """The first rows as a fixed-width table: null as nothing, floats without trailing zeros; a last line tells of more."""
-    text = lambda v: "" if v is None else f"{v:.6f}".rstrip("0").rstrip(".") if isinstance(v, float) else str(v)
-    read = [[text(v) for v in row] for row in rows.limit(most + 1).collect()]
-    table = [list(rows.columns), *read[:most]]
-    widths = [max(len(r[k]) for r in table) for k in range(len(rows.columns))]
-    lines = ["  ".join(v.ljust(w) for v, w in zip(r, widths, strict=True)).rstrip() for r in table]
+def section(title: str) -> str:
+    """A title over a rule of its length."""
+    return f"\n{title}\n{'=' * len(title)}"
+
+
+def console(rows: DataFrame, most: int = 200, formats: dict[str, str] | None = None) -> str:
+    """The first rows as a fixed-width table with a rule below its head; a last line tells of more rows.
+
+    Null is nothing; floats have the format of their column (three places if none is given) without trailing zeros.
+    """
+
+    def text(column: str, value) -> str:
+        if value is None or not isinstance(value, float):
+            return "" if value is None else str(value)
+        shown = format(value, (formats or {}).get(column, ".3f"))
+        return shown.rstrip("0").rstrip(".") if "." in shown else shown
+
+    columns = rows.columns
+    read = [[text(c, v) for c, v in zip(columns, row, strict=True)] for row in rows.limit(most + 1).collect()]
+    widths = [max(len(r[k]) for r in [columns, *read[:most]]) for k in range(len(columns))]
+    lines = ["  ".join(v.ljust(w) for v, w in zip(r, widths, strict=True)) for r in [columns, ["-" * w for w in widths], *read[:most]]]
     return "\n".join([*lines, f"... more than {most} rows"] if len(read) > most else lines)

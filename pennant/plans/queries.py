@@ -28,8 +28,17 @@ class League:
         setattr(self, name, made)
         return made
 
+    def _shared(self) -> League:
+        """This league with what the postseason's branches all read (sides, team seasons) computed once."""
+        other = League(self.spark, self.sf_dir)
+        other.games, other.teams, other.members = self.games, self.teams, self.members
+        other.sides = store.settled(self.sides)
+        other.team_seasons = store.settled(other.team_seasons)
+        return other
+
 
 _TABLES = {
+    "shared": lambda x: x._shared(),
     "teams": lambda x: projection.teams(x.spark, x.sf_dir),
     "seasons": lambda x: projection.seasons(x.spark, x.sf_dir),
     "members": lambda x: projection.membership(x.spark, x.sf_dir),
@@ -51,7 +60,7 @@ _TABLES = {
     "qualified2": lambda x: bids.qualifiers(x.bids2, x.standings),
     "pots1": lambda x: postseason.pots(x.qualified1, x.team_rolling, x.teams, postseason.YEAR1_POTS),
     "pots2": lambda x: postseason.pots(x.qualified2, x.team_rolling, x.teams),
-    "balanced": lambda x: postseason.balance(x.pots2),
+    "balanced": lambda x: store.settled(postseason.balance(x.shared.pots2)),
     "bracket": lambda x: store.settled(postseason.draw(x.balanced)),
     "pairs": lambda x: postseason.round_of_24(x.bracket),
     "ratings": lambda x: ratings.iterative_ratings(x.games).withColumn("rating", F.round("rating", 6)),
@@ -164,7 +173,7 @@ SELECT m.season_year, m.conference, m.team_id, tier, conf_rank, CAST(row_number(
 FROM member m JOIN tier t USING (season_year, conference) LEFT JOIN stand s USING (season_year, conference, team_id) LEFT JOIN tcoe c USING (season_year, team_id)) WHERE slot <= CASE WHEN tier <= 4 THEN 4 WHEN tier = 5 THEN 3 ELSE 1 END)
 UNION ALL SELECT season_year, conference, team_id, NULL, slot, slot, 'at_large' FROM (SELECT m.*, CAST(row_number() OVER (PARTITION BY season_year ORDER BY coe_rank, team_id) AS INTEGER) AS slot FROM member m JOIN tcoe USING (season_year, team_id) WHERE conference = '{INDEPENDENTS}') WHERE slot <= 2"""
 query("al6_al7_wn8_field", "SELECT *, count(*) OVER (PARTITION BY season_year) AS field_size FROM field2", tier=f"SELECT * FROM {_TIERS}", tcoe="SELECT season_year, team_id, row_number() OVER (PARTITION BY season_year ORDER BY points_per_game DESC, team_id) AS coe_rank FROM tyear", field2=_FIELD)(
-    lambda x: postseason.select_field(postseason.tiers(x.conf_seasons, INDEPENDENTS), x.members, x.standings, coefficients.season_ranks(x.team_seasons, "team_id"), INDEPENDENTS)
+    lambda x: postseason.select_field(postseason.tiers(x.shared.conf_seasons, INDEPENDENTS), x.members, x.shared.standings, coefficients.season_ranks(x.shared.team_seasons, "team_id"), INDEPENDENTS)
 )
 # ratings
 _plain("al1_ratings", "ratings", "SELECT season_year, team_id, rating FROM rated")
@@ -274,26 +283,26 @@ query("pf34_sc5_top_four", "SELECT season_year AS season, lower(conference) AS t
 
 
 def _payload(x: League) -> DataFrame:
-    """The games as an API gives them, half of the names in each spelling."""
+    """The games as an API gives them, half of the names in each spelling, eighteen years later: from before 2014 to after it."""
     name = lambda side: x.teams.select(F.col("team_id").alias(f"{side}_team_id"), F.regexp_replace("team_name", "#", " ").alias(side))
     even = lambda c: F.when(F.col("game_id") % 2 == 0, F.col(c))
     odd = lambda c: F.when(F.col("game_id") % 2 == 1, F.col(c))
     return x.games.join(name("home"), "home_team_id").join(name("away"), "away_team_id").select(
-        even("game_id").alias("id"), odd("game_id").alias("gameId"), F.col("season_year").alias("season"), F.when(F.col("game_id") % 13 > 0, (F.col("game_id") % 16).cast("int")).alias("week"), _part().alias("seasonType"),
+        even("game_id").alias("id"), odd("game_id").alias("gameId"), (F.col("season_year") + 18).alias("season"), F.when(F.col("game_id") % 13 > 0, (F.col("game_id") % 16).cast("int")).alias("week"), _part().alias("seasonType"),
         F.when(F.col("game_id") % 17 > 0, F.concat(F.col("game_date").cast("string"), F.lit("T00:00Z"))).alias("startDate"), even("home").alias("homeTeam"), odd("home").alias("home_team"), F.col("away").alias("awayTeam"),
         F.col("home_score").alias("homePoints"), even("away_score").alias("awayPoints"), odd("away_score").alias("away_points"), _home_class().alias("homeClassification"), _away_class().alias("away_classification"),
-        (F.col("game_id") % 3 == 0).cast("string").alias("neutralSite"), F.when(F.col("game_id") % 7 == 0, "true").alias("playoff"), F.col("went_ot").cast("string").alias("overtimes"), _notes().alias("notes"),
+        (F.col("game_id") % 3 == 0).cast("string").alias("neutralSite"), F.when(F.col("game_id") % 7 == 0, "true").alias("playoff"), even("went_ot").cast("string").alias("overtimes"), odd("went_ot").cast("string").alias("over_time"), _notes().alias("notes"),
     )
 
 
 _BEST = "lower(replace({}.team_name, '#', ' ')) IN (SELECT lower(replace(team_name, '#', ' ')) FROM team WHERE team_id BETWEEN CASE WHEN season_year % 2 = 0 THEN 2 ELSE 0 END AND CASE WHEN season_year % 2 = 0 THEN 5 ELSE 3 END)"
-query("sc4_sk5_pf19_api_games", f"""SELECT game_id, season_year, week, date, season_type, home_team, away_team, home_score, away_score, went_ot, kind AS game_type, {_PHASE} AS game_phase, neutral_site, notes FROM (
-SELECT *, CASE WHEN game_phase <> 'regular' AND (game_id % 7 = 0 OR game_id % 6 IN (0, 4) OR in_h AND in_a) THEN 'playoff' ELSE 'regular' END AS kind FROM (
+query("sc4_sk5_pf19_api_games", f"""SELECT game_id, season_year + 18 AS season_year, week, date, season_type, home_team, away_team, home_score, away_score, went_ot, kind AS game_type, {_PHASE} AS game_phase, neutral_site, notes FROM (
+SELECT *, CASE WHEN game_phase <> 'regular' AND (game_id % 7 = 0 OR game_id % 6 IN (0, 4) OR in_h AND in_a AND season_year + 18 BETWEEN 2014 AND 2023) THEN 'playoff' ELSE 'regular' END AS kind FROM (
 SELECT game_id, season_year, game_phase, home_score, away_score, went_ot, CASE WHEN game_id % 13 = 0 THEN '' ELSE CAST(game_id % 16 AS VARCHAR) END AS week, CASE WHEN game_id % 17 = 0 THEN '1900-01-01' ELSE CAST(game_date AS VARCHAR) END AS date,
 CASE WHEN game_phase = 'regular' THEN 'regular' ELSE 'postseason' END AS season_type, replace(h.team_name, '#', ' ') AS home_team, replace(a.team_name, '#', ' ') AS away_team, CAST(game_id % 3 = 0 AS INTEGER) AS neutral_site,
 coalesce(['A CFP Semifinal', 'FCS opponent', 'Championship Subdivision', 'Exhibition for the playoff', 'College Football Playoff', ''][game_id % 6 + 1], '') AS notes, {_BEST.format('h')} AS in_h, {_BEST.format('a')} AS in_a
 FROM game JOIN team h ON h.team_id = home_team_id JOIN team a ON a.team_id = away_team_id WHERE home_score IS NOT NULL AND ({_TOP})))""")(
-    lambda x: files.api_games(_payload(x), files.top_four(_rankings(x, x.seasons.select(F.col("season_year").alias("season")).crossJoin(F.broadcast(x.teams.where("team_id < 12").select((F.col("team_id") + 1).cast("int").alias("place"), F.regexp_replace("team_name", "#", " ").alias("school")))))))
+    lambda x: files.api_games(_payload(x), files.top_four(_rankings(x, x.seasons.select((F.col("season_year") + 18).alias("season")).crossJoin(F.broadcast(x.teams.where("team_id < 12").select((F.col("team_id") + 1).cast("int").alias("place"), F.regexp_replace("team_name", "#", " ").alias("school")))))))
 )
 
 

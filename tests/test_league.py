@@ -121,7 +121,7 @@ def test_flags_from_text(spark):
     api = spark.createDataFrame([(v,) for v in ["True", "false", None, "3", "-1", "x"]], "v string")
     assert [r[0] for r in api.select(parsing.flag_from_api(F.col("v"))).collect()] == [1, 0, 0, 1, 0, 0]
     days = spark.createDataFrame([("2014-09-06T12:00Z",), ("no date",), (None,)], "v string")
-    assert [str(r[0]) for r in days.select(parsing.game_date(F.col("v"))).collect()] == ["2014-09-06", "1900-01-01", "1900-01-01"]
+    assert [str(r[0]) for r in days.select(parsing.game_date(F.col("v"))).collect()] == ["2014-09-06", "None", "1900-01-01"]
 
 
 def test_names(spark):
@@ -210,10 +210,28 @@ def test_seasons_that_do_not_fit(spark):
     field = spark.createDataFrame([(2014, k, 0 if k < 8 else 1 if k < 16 else 2) for k in range(24)], "season_year int, team_id long, pot int")
     assert postseason.complete(postseason.sized(field)).count() == 24 and postseason.at_least(field, 10, "tiers").count() == 24
     for check in (postseason.sized, postseason.complete, lambda rows: postseason.at_least(rows, 24, "tiers")):
-        with pytest.raises(ValueError, match="2014"):
-            check(field.where("team_id < 23"))
-    with pytest.raises(ValueError, match="byes"):
-        postseason.complete(field.withColumn("pot", F.lit(0)))
+        with pytest.raises(Exception, match="2014"):
+            check(field.where("team_id < 23")).collect()
+    with pytest.raises(Exception, match="byes"):
+        postseason.complete(field.withColumn("pot", F.lit(0))).collect()
+    slots = field.withColumn("slot", (F.col("team_id") + 1).cast("int"))
+    assert postseason.slots_filled(slots).count() == 24
+    for odd in (slots.withColumn("slot", F.greatest("slot", F.lit(2))), slots.withColumn("pot", 2 - F.col("pot"))):
+        with pytest.raises(Exception, match="slots 1 to 24 by pots in 2014"):
+            postseason.slots_filled(odd).collect()
+
+
+def test_strict_selections_stop(spark):
+    x = league.League(spark, SF)
+    assert postseason.draw(x.balanced, strict=True).count() == x.bracket.count()
+    with pytest.raises(Exception, match="not 24 teams with 8 byes and two equal pots in 19"):
+        postseason.draw(x.balanced.where("pot > 0 or conference > 'NATION_2'"), strict=True).collect()
+    assert postseason.tiers(x.conf_seasons, league.INDEPENDENTS, strict=True).count() == 70
+    with pytest.raises(Exception, match="fewer than 10 tiers in 1999"):
+        postseason.tiers(x.conf_seasons.where("season_year <> 1999 or conference = 'NATION_2'"), league.INDEPENDENTS, strict=True).collect()
+    with pytest.raises(Exception, match="not 24 teams in 199"):
+        coe = coefficients.season_ranks(x.team_seasons, "team_id")
+        postseason.select_field(postseason.tiers(x.conf_seasons, league.INDEPENDENTS), x.members, x.standings, coe, league.INDEPENDENTS, strict=True).collect()
 
 
 def test_faults_of_rows(spark):
@@ -249,7 +267,130 @@ def test_partitions_replaced(spark, tmp_path):
     path, schema = str(tmp_path / "t"), "season_year int, v int"
     store.replace_partitions(spark.createDataFrame([(2014, 1), (2015, 2)], schema), path, ["season_year"])
     store.replace_partitions(spark.createDataFrame([(2015, 3)], schema), path, ["season_year"])
-    assert sorted((r.season_year, r.v) for r in spark.read.parquet(path).collect()) == [(2014, 1), (2015, 3)]
+    rows = lambda: sorted((r.season_year, r.v) for r in spark.read.parquet(path).collect())
+    assert rows() == [(2014, 1), (2015, 3)]
+    none = spark.createDataFrame([], schema)
+    seasons = lambda *years: spark.createDataFrame([(y,) for y in years], "season_year int")
+    store.replace_partitions(none, path, ["season_year"])
+    assert rows() == [(2014, 1), (2015, 3)]
+    store.replace_partitions(none, path, ["season_year"], seasons(2015, 2019))
+    assert rows() == [(2014, 1)]
+    store.replace_partitions(spark.createDataFrame([(2016, 4), (2014, 5)], schema), path, ["season_year"], seasons(2014))
+    assert rows() == [(2014, 5), (2016, 4)]
+    odd = str(tmp_path / "odd")
+    named = spark.createDataFrame([("a/b=c %", 1), (None, 2), ("é", 3)], "name string, v int")
+    store.replace_partitions(named, odd, ["name"])
+    store.replace_partitions(named.limit(0), odd, ["name"], named.where("v < 3").select("name"))
+    assert sorted(r.v for r in spark.read.parquet(odd).collect()) == [2, 3]  # a null names no partition
+
+
+def test_stored_versions(spark, tmp_path):
+    schema = "game_id long, v string"
+    table = store.Stored(spark, str(tmp_path / "t"), schema)
+    rows = lambda version=None: sorted((r.game_id or 0, r.v) for r in table.read(version).collect())
+    make = lambda *x: spark.createDataFrame(list(x), schema)
+    assert table.version() == 0 and rows() == []
+    assert table.append_keep_first(make((1, "b"), (1, "a"), (None, "n")), ["game_id"], "v") == 1
+    assert table.append_keep_first(make((1, "z")), ["game_id"], "v") == 1  # nothing new, no version
+    old = table.read()
+    assert table.append_keep_first(make((1, "z"), (2, "c")), ["game_id"], "v") == 2
+    assert rows() == [(0, "n"), (1, "a"), (2, "c")] and rows(1) == [(0, "n"), (1, "a")] and old.count() == 2
+    assert table.upsert_keep_last(make((2, "new"), (3, "d"), (3, "e")), [["game_id"]], "v") == 3
+    assert rows() == [(0, "n"), (1, "a"), (2, "new"), (3, "e")]
+
+
+def test_stored_writes_that_fail(spark, tmp_path, monkeypatch):
+    schema = "game_id long, v string"
+    table, other = (store.Stored(spark, str(tmp_path / "t"), schema) for _ in range(2))
+    make = lambda *x: spark.createDataFrame(list(x), schema)
+    table.append_keep_first(make((1, "a")), ["game_id"], "v")
+
+    def fails(*_):
+        raise OSError("lost between the write and the switch")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(table, "_switch", fails)
+        with pytest.raises(OSError, match="lost"):
+            table.append_keep_first(make((2, "b")), ["game_id"], "v")
+    assert [r.v for r in table.read().collect()] == ["a"] and table.version() == 1
+    assert table.append_keep_first(make((2, "b")), ["game_id"], "v") == 2
+    (tmp_path / "t" / "_log" / "000000000003.txt").write_text("rows-unfinished\n")
+    assert table.version() == 2 and table.read().count() == 2  # an entry that is not whole is none
+    with pytest.raises(store.Conflict):
+        other.append_keep_first(make((3, "c")), ["game_id"], "v")
+    (tmp_path / "t" / "_log" / "000000000003.txt").unlink()
+    (tmp_path / "t" / "_log" / ".000000000003.txt.crc").unlink(missing_ok=True)
+    assert other.upsert_keep_last(make((3, "c")), [["game_id"]], "v") == 3
+    other.clean(keep=1)
+    assert sorted(r.v for r in table.read().collect()) == ["a", "b", "c"]
+    assert sum(p.name.startswith("rows-") for p in (tmp_path / "t").iterdir()) == 1
+
+
+def test_one_csv_file(spark, tmp_path):
+    rows = spark.createDataFrame([(2, "b, \"q\"", 0.1234565, None), (1, "a", 2.0, 3), (3, None, 0.0005, 4)], "k int, n string, x double, y int")
+    path = tmp_path / "out.csv"
+    path.write_text("older")
+    store.write_csv(rows, str(path), ["k"], ["n", "x", "y"])
+    assert path.read_bytes() == b'n,x,y\na,2.0,3\n"b, \\"q\\"",0.123457,\n,0.0005,4\n'
+    assert not [p for p in tmp_path.iterdir() if "tmp" in p.name and not p.name.endswith(".crc")]
+
+
+def test_landed_answers(spark, tmp_path):
+    import json
+
+    for year, text in ((2014, json.dumps([{"school": "A", "conference": "X", "classification": "FBS"}, {"school": "B", "conference": "Y", "classification": "fcs"}])),
+                       (2015, '[{"school": "A", "conference": "X"'), (2016, json.dumps({"school": "A", "conference": "Z", "classification": "fbs"}))):
+        (tmp_path / f"teams_{year}.json").write_text(text)
+    rows, broken = files.landed_json(spark, [str(tmp_path)], files.TEAMS)
+    assert sorted((r.year, r.school, r.conference) for r in rows.collect()) == [(2014, "A", "X"), (2014, "B", "Y"), (2016, "A", "Z")]
+    assert [(r.file.rsplit("/", 1)[-1], r.text) for r in broken.collect()] == [("teams_2015.json", '[{"school": "A", "conference": "X"')]
+    members = files.fbs_members(rows, spark.createDataFrame([(7, "A"), (8, "B")], "team_id long, team_name string"))
+    assert sorted(tuple(r) for r in members.collect()) == [(7, 2014, "X", 1), (7, 2016, "Z", 1)]
+    (tmp_path / "g").mkdir()
+    game = {"id": 1, "season": 2014, "seasonType": "postseason", "homeTeam": "A", "awayTeam": "B", "homePoints": 3, "awayPoints": 2}
+    games = [game | {"overTime": True}, game | {"id": 2, "overtime": 0}, game | {"id": 3, "overtimes": "2", "startDate": "2015-01-12T1"}, game | {"id": 4, "season": 2024}, game | {"id": 5, "startDate": "soon"}]
+    (tmp_path / "g" / "games.json").write_text(json.dumps(games))
+    payload = files.payload_json(spark, [str(tmp_path / "g")], files.GAMES)
+    best = spark.createDataFrame([(s, t) for s in (2014, 2024) for t in "abcd"], "season int, team string")
+    found = {r.game_id: (r.went_ot, r.game_type, r.date) for r in files.api_games(payload, best).collect()}
+    assert found == {1: (1, "playoff", "1900-01-01"), 2: (0, "playoff", "1900-01-01"), 3: (1, "playoff", "2015-01-12"), 4: (0, "regular", "1900-01-01")}
+    assert [r.game_id for r in files.api_games(payload, best, refused=True).collect()] == [5]
+    assert {r.game_id: r.game_type for r in files.api_games(payload, best, best_seasons=(2024, 2024)).collect()} == {1: "regular", 2: "regular", 3: "regular", 4: "playoff"}
+
+
+def test_schools_under_three_names(spark):
+    ranks = [{"rank": 1, "school": "A"}, {"rank": 2, "team": "B"}, {"rank": 3, "name": "C"}, {"rank": 4, "school": None, "team": "D", "name": "x"}]
+    rows = spark.createDataFrame([{"season": 2014, "seasonType": "regular", "week": 12, "polls": [{"poll": "CFP", "ranks": ranks}]}], files.RANKINGS)
+    assert sorted(r.team for r in files.top_four(rows).collect()) == ["a", "b", "c", "d"]
+
+
+def test_rebuild_of_what_a_game_touches(spark, tmp_path):
+    from pennant.plans import rebuild
+
+    root, names_of = str(tmp_path / "derived"), ["team_seasons", "team_rolling", "records", "bracket"]
+    x = league.League(spark, SF)
+    rebuild.save(x, root, tables=names_of)
+    state = lambda: {str(p.relative_to(root)): p.stat().st_mtime_ns for p in (tmp_path / "derived").rglob("*.parquet")}
+    whole = {n: sorted(map(str, spark.read.parquet(f"{root}/{n}").collect())) for n in names_of}
+    before = state()
+    changed = league.League(spark, SF)
+    first = x.enriched.where("season_year = 1997 and is_nonconference is not null and home_score <> away_score").orderBy("game_id").first().game_id
+    changed.games = x.games.withColumn("home_score", F.when(F.col("game_id") == first, F.when(F.col("home_score") > F.col("away_score"), -1).otherwise(99)).otherwise(F.col("home_score")))
+    dry = rebuild.save(changed, root, [1997], names_of, dry_run=True).collect()
+    assert state() == before and {(r.table, r.season_year) for r in dry} == {(n, s) for n in names_of for s in ([1997] if n in ("team_seasons", "records") else [1997, 1998, 1999, 2000, 2001])}
+    rebuild.save(changed, root, [1997], names_of)
+    after = state()
+    moved = {p.split("/")[0] + "/" + p.split("season_year=")[1][:4] for p in {*before, *after} if before.get(p) != after.get(p)}
+    assert moved == {f"{r.table}/{r.season_year}" for r in dry}
+    for n in names_of:
+        fresh = getattr(changed, n).select(spark.read.parquet(f"{root}/{n}").columns)
+        assert sorted(map(str, spark.read.parquet(f"{root}/{n}").collect())) == sorted(map(str, fresh.collect())), n
+    assert whole["team_seasons"] != sorted(map(str, spark.read.parquet(f"{root}/team_seasons").collect()))
+    # a season without games any more has no partition left
+    changed.games = x.games.where("season_year <> 1997")
+    gone = rebuild.save(changed, root, [1997], ["team_seasons", "records"]).collect()
+    assert {(r.table, r.season_year, r.n) for r in gone} == {("team_seasons", 1997, 0), ("records", 1997, 0)}
+    assert not [p for p in state() if p.startswith("team_seasons/season_year=1997") or p.startswith("records/season_year=1997")]
 
 
 def test_files(spark, tmp_path):
@@ -275,22 +416,32 @@ def test_stream(spark, tmp_path):
     rows = '{"game_id": 1, "season_year": 2014, "game_date": "2014-09-06", "home_team_id": 1, "away_team_id": 2}\n'
     (tmp_path / "in" / "a.json").write_text(rows + rows)
     seen = []
-    stream = ingest.game_stream(spark, str(tmp_path / "in"))
-    ingest.keep_up(stream, str(tmp_path / "out"), str(tmp_path / "check"), lambda batch: seen.append(batch.count())).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 1 and sum(seen) == 1
+
+    def run(checkpoint):
+        stream = ingest.game_stream(spark, str(tmp_path / "in"))
+        ingest.keep_up(stream, str(tmp_path / "out"), str(tmp_path / checkpoint), lambda batch: seen.append(batch.count())).awaitTermination()
+        return store.Stored(spark, str(tmp_path / "out"), ingest.GAMES)
+
+    assert run("check").read().count() == 1 and sum(seen) == 1
+    (tmp_path / "in" / "b.json").write_text(rows.replace("09-06", "12-31") + rows.replace('"game_id": 1', '"game_id": 2'))
+    table = run("check")
+    assert sorted((r.game_id, str(r.game_date)) for r in table.read().collect()) == [(1, "2014-09-06"), (2, "2014-09-06")]
+    version = table.version()
+    assert run("check-lost").version() == version and table.read().count() == 2  # everything comes again and changes nothing
 
 
 def test_console(spark):
     rows = spark.createDataFrame([("a", 1.50, None), ("b", 2.0, 1)], "n string, x double, y int")
-    assert reports.console(rows.limit(1)) == "n  x    y\na  1.5" and reports.console(rows, 1).endswith("\n... more than 1 rows")
+    assert reports.console(rows.limit(1)) == "n  x    y\n-  ---  -\na  1.5   " and reports.console(rows, 1).endswith("\n... more than 1 rows")
+    assert reports.console(rows.select("x"), formats={"x": ".0f"}) == "x\n-\n2\n2" and reports.section("A b") == "\nA b\n==="
 
 
 def test_known_by_alias_and_alignment(spark):
     seasons = spark.createDataFrame([(2014,), (2026,)], "season_year int")
-    members = spark.createDataFrame([(1, 2014, "Old")], "team_id long, season_year int, conference string")
-    alignment = spark.createDataFrame([(1, "New", 2020), (1, "Newer", 2026)], "team_id long, conference_name string, effective_year_start int")
+    members = spark.createDataFrame([(1, 2014, " Old ", None), (2, 2014, "Low", 0), (3, 2014, " ", 1), (3, 2026, None, 1)], "team_id long, season_year int, conference string, is_fbs int")
+    alignment = spark.createDataFrame([(1, "New", 2020), (1, "Newer ", 2026), (2, "B", 1990), (2, "A", 1990), (2, None, 2010), (3, "C", 2030), (None, "D", 2000), (4, "E", None)], "team_id long, conference_name string, effective_year_start int")
     found = {(r.season_year, r.team_id): r.conference for r in names.conference_map(members, alignment, seasons).collect()}
-    assert found == {(2014, 1): "Old", (2026, 1): "Newer"}
+    assert found == {(2014, 1): "Old", (2026, 1): "Newer", (2014, 2): "B", (2026, 2): "B"}
 
 
 @pytest.mark.parametrize("name", ["ag10_team_rolling", "wn6_standings", "al2_al4_bids_year2", "al13_hosts", "al6_al7_wn8_field", "al16_first_round", "jn8_resolve", "pf15_pf17_classes", "pf34_sc5_top_four", "sc4_sk5_pf19_api_games", "ag16_pf23_load_counts", "rp4_standings", "rp4_teams", "rp4_conferences", "rp4_field", "sk6_rounded_ratings", "st1_mixed_order", "sk1_append_keep_first", "sc2_clean_ratings", "al19_membership_backfill", "jn12_known_conferences"])
