@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +60,27 @@ def _delete_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
+_lock, _writers, _before = threading.Lock(), 0, "false"
+
+
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """The setting on while any thread is in here; the last one to leave puts back what was set before the first came."""
+    global _writers, _before
+    with _lock:
+        if not _writers:
+            _before = spark.conf.get(_CLEANUP)
+            spark.conf.set(_CLEANUP, "true")
+        _writers += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writers -= 1
+            if not _writers:
+                spark.conf.set(_CLEANUP, _before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it back.
 
@@ -65,13 +89,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pennant/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _cleaned(spark):
         # hashes and texts seldom repeat within a page, so dictionaries cost more than they save
         df.write.options(compression="zstd", **{"parquet.enable.dictionary": "false"}).parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     atexit.register(_delete_quietly, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._pennant_path = path

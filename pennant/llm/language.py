@@ -160,7 +160,7 @@ def identify(docs: DataFrame, model: Model | None = None, per_class: int = 500)
     """Predict the language of docs (doc_id, text, lang) from their texts.
 
     Without a model, one is trained on the rows with non-null doc_id, text and lang that are not held_out(). Returns
-    doc_id, held_out, lang_pred (a learned lang, or `und` with score 0 for texts that are null or have no letter, or if
+    doc_id, text_hash (64 bits, to tell rows with one doc_id apart), held_out, lang_pred (a learned lang, or `und` with score 0 for texts that are null or have no letter, or if
     nothing was learned) and score, the calibrated probability; of equal probabilities the first lang in sorted order
     counts. Repeated rows are predicted each; an empty table gives no rows; a very long text takes about 30 times its
     characters in its task; other columns are ignored.
@@ -175,7 +175,7 @@ def identify(docs: DataFrame, model: Model | None = None, per_class: int = 500)
         vars(learned).update(shared.value)
         for batch in batches:
             found = [learned.predict(text) for text in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "held_out": batch["held_out"], "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]})
 
-    read = docs.select(id_in(), held_out().alias("held_out"), "text")
-    return read.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double").withColumn("doc_id", id_out())
+    read = docs.select(id_in(), F.xxhash64("text").alias("text_hash"), held_out().alias("held_out"), "text")
+    return read.mapInPandas(run, "doc_id long, text_hash long, held_out boolean, lang_pred string, score double").withColumn("doc_id", id_out())

@@ -92,7 +92,7 @@ def _shrunk(hosts: DataFrame, counts: list[str]) -> DataFrame:
 def host_rules(docs: DataFrame, host: str = "source") -> DataFrame:
     """Judge docs (doc_id, text, host column) by their own failures and their hosts' shrunk failure rates.
 
-    Returns the host column, doc_id, the counts of measure(), base_failed (fewer than 50 words, or over half of them in
+    Returns the host column, doc_id, text_hash (64 bits, to tell rows with one doc_id apart), the counts of measure(), base_failed (fewer than 50 words, or over half of them in
     repeated three-word windows), broken (a rule of the hosts' is broken), host_rate (the shrunk rate of the host's
     documents with base_failed or broken), host_failed, failed_rules (the host's, sorted) and kept. A prior is fitted for
     each rule, see _shrunk(), and a host fails a rule if its shrunk rate lies more than APART of its deviations above the
@@ -102,7 +102,7 @@ def host_rules(docs: DataFrame, host: str = "source") -> DataFrame:
     an empty table gives no rows; a text of any length is measured within its row; other columns are ignored.
     """
     named = F.when(F.col(host).isNull(), "null").otherwise(F.concat(F.lit("="), F.col(host).cast("string")))
-    measured = measure(docs.select("doc_id", "text", named.alias("_host"), F.col(host).alias("_named")), ["_host", "_named"])
+    measured = measure(docs.select("doc_id", "text", named.alias("_host"), F.col(host).alias("_named"), F.xxhash64("text").alias("text_hash")), ["_host", "_named", "text_hash"])
     rules = _rules()
     broken = F.lit(False)
     for rule in rules.values():
@@ -120,7 +120,7 @@ def host_rules(docs: DataFrame, host: str = "source") -> DataFrame:
         gone = gone | rule & F.col(f"_fails_{name}")
     failed = F.filter(F.array(*[F.when(F.col(f"_fails_{name}"), name) for name in sorted(rules)]), lambda x: x.isNotNull())
     return back.select(
-        F.col("_named").alias(host), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words",
+        F.col("_named").alias(host), "doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words",
         "base_failed", "broken", "host_rate", (F.size(failed) > 0).alias("host_failed"), failed.alias("failed_rules"), (~F.col("base_failed") & ~gone).alias("kept"),
     )
 

@@ -42,7 +42,7 @@ def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of all documents."""
-    return language.identify(_table(spark, sf_dir, "documents"))
+    return language.identify(_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import struct
 import time
 import zlib
@@ -564,3 +565,85 @@ def test_pipeline_keeps_one_of_repeated_rows(spark):
     text = " ".join(f"w{k}" for k in range(70))
     docs = docs_of(spark, [(1, text), (1, text), (2, text), (3, text.upper() + " more of it here now")]).select("doc_id", "text", "lang", "source", "n_chars")
     assert [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()] == [1]
+
+
+def test_pipeline_judges_rows_that_share_an_id_each_by_its_text(spark):
+    good = " ".join(f"word{k} tells{k} more" for k in range(40))
+    for shared in (None, 7):
+        rows = [(shared, f"two w{k}") for k in range(5)] + [(shared, good), (1, good + " end"), (2, "")]
+        docs = docs_of(spark, rows)
+        kept = corpus_pipeline.keep_quality(spark, docs, SF)
+        assert kept.columns == docs.columns and sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([(str(shared), good), ("1", good + " end")])
+    rows = [(k, f"the cat and the dog of the house {k}" if k % 2 else f"der hund und die katze im haus {k}") for k in range(60)]
+    docs = docs_of(spark, [*rows, (None, "12345"), (None, rows[3][1])])
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.keep_language(spark, docs, SF).collect()) == sorted([*(str(k) for k, _ in rows), "None"])
+
+
+@pytest.mark.parametrize("stage", ["quality", "language", "lines", "packing"])
+def test_pipeline_stages_on_odd_rows(spark, odd, none, stage):
+    run = dict(corpus_pipeline.STAGES)[stage]
+    assert run(spark, none, SF).count() == 0
+    out = run(spark, odd, SF)
+    ids = {str(r.doc_id) for r in out.select("doc_id").collect()}
+    if stage == "packing":
+        assert ids == {str(r.doc_id) for r in odd.collect()}
+    else:
+        assert out.columns == odd.columns and ids <= {str(r.doc_id) for r in odd.collect()}
+    assert stage != "lines" or "5" in ids  # the long text has no line before it
+
+
+def test_pipeline_against_plain_stages(spark, tmp_path):
+    """Every stage's result on what the one before it left, by SQL, the model itself, brute force and decoding."""
+    whole = spark.read.parquet(f"{SF}/documents.parquet")
+    before, results = whole, {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, before, SF).write.parquet(str(tmp_path / name))
+        results[name] = before, spark.read.parquet(str(tmp_path / name))
+        before = results[name][1]
+    rows = lambda frame: sorted((r.doc_id, r.text) for r in frame.select("doc_id", "text").collect())
+
+    def by_sql(frame, query):
+        db = duckdb.connect()
+        frame.write.mode("overwrite").parquet(str(tmp_path / "given"))
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/given/*.parquet'")
+        return db.execute(query).fetchall()
+
+    given, kept = results["quality"]
+    good = {i for i, k in by_sql(given, f"SELECT doc_id, kept FROM ({quality.ORACLE})") if k}
+    assert rows(kept) == [r for r in rows(given) if r[0] in good]
+
+    given, kept = results["language"]
+    known = given.where("doc_id is not null and text is not null and lang is not null")
+    model = language.train(known.where(~language.held_out()).select("doc_id", "text", "lang"), 500)
+    said = {i: model.predict(t) for i, t in rows(given)}
+    assert rows(kept) == [r for r in rows(given) if said[r[0]][0] != "und" and said[r[0]][1] >= corpus_pipeline.LEAST_SCORE]
+
+    given, kept = results["lines"]
+    left = by_sql(given, f"SELECT doc_id, text, n_removed FROM ({lines.ORACLE})")
+    assert rows(kept) == sorted((i, t) for i, t, n in left if not n or t.split())
+
+    given, kept = results["near_duplicates"]
+    sets = {}
+    for i, t in rows(given):
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t))
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert rows(kept) == [r for r in rows(given) if find(r[0]) == r[0]]
+
+    given, packed = results["packing"]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    found = {}
+    for r in packed.orderBy("doc_id", "start").collect():
+        found.setdefault(r.doc_id, []).extend(struct.unpack(f"<{r.length}I", r.ids))
+    assert found == {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for i, t in rows(given)}
