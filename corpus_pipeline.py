@@ -3,7 +3,7 @@
 Every stage takes (spark, docs, sf_dir); all but the last return the columns of documents, further ones included. For
 all stages: an empty table gives no rows; a null doc_id is an id like another, and stays null; a null text counts as
 empty; a null lang or source is a value like another; texts of any length that a row can hold are taken whole. Verdicts
-are by doc_id (a doc_id goes if all its rows are rejected), those on near duplicates by doc_id and text.
+are by doc_id and text, so rows that share a doc_id, or have none, are judged each by its text.
 """
 
 from __future__ import annotations
@@ -23,15 +23,11 @@ LEAST_SCORE = 0.34
 ID_ROWS = 200_000
 
 
-def _matched(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    ids = small(ids.select(F.col("doc_id").alias("_doc_id")), ID_ROWS)
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_doc_id"]), how)
-
-
 def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """docs less the doc_ids whose rows in judged (doc_id, kept) all have a false kept."""
-    rejected = judged.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where(~F.col("kept"))
-    return _matched(docs, written(rejected, "rejected"), "left_anti")
+    """docs less the rows whose doc_id and text are always judged with a false kept in judged (doc_id, text_hash, kept)."""
+    rejected = judged.groupBy("doc_id", "text_hash").agg(F.bool_or("kept").alias("kept")).where(~F.col("kept"))
+    gone = small(written(rejected.select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_h")), "rejected"), ID_ROWS)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_doc_id"]) & (F.xxhash64(docs["text"]) == gone["_h"]), "left_anti")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +44,7 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Repeated rows are judged alike and stay or go together. If no row has a lang nothing is learned, and all go.
     """
     found = language.identify(docs)
-    return _without(docs, found.select("doc_id", ((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).alias("kept")))
+    return _without(docs, found.select("doc_id", "text_hash", ((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).alias("kept")))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
