@@ -14,9 +14,11 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pennant.llm.common import written
+from pennant.llm.common import small, written
 
 FILTERS = "ABCDE"
+#: Rows of one text from which on its digest is looked up apart; there are at most rows / HOT such digests.
+HOT = 500
 #: The blanks between words.
 _BLANKS = "\t\n\x0b\f\r"
 
@@ -27,9 +29,10 @@ def failures(docs: DataFrame, part: str = "source") -> DataFrame:
     A: under 200 words. B: under half of the words are distinct. C: over 2 of 100 characters are capitals. D: it holds one
     of #$%&*|. E: its text is also that of a smaller doc_id; rows without a doc_id neither fail E nor make others fail.
 
-    Texts are compared by SHA-256, so only digests are shuffled; of the digests, only those found more than once are
-    joined back, and the first doc_id of each is found by partial aggregation, so that a text of a third of all rows is
-    one row a task. Null texts count as empty; null parts are the empty string; repeated rows are counted each.
+    Texts are compared by SHA-256, so only digests are shuffled, and of these only those found more than once are joined
+    back. The first doc_id of each is found by partial aggregation; digests of more than HOT rows are looked up where the
+    rows are, which then go to the other join by their doc_id, so a text of a third of all rows lies on no single task.
+    Null texts count as empty; null parts are the empty string; repeated rows are counted each.
     """
     text = F.coalesce("text", F.lit(""))
     words = F.array_remove(F.split(F.translate(text, _BLANKS, " " * len(_BLANKS)), " "), "")
@@ -43,8 +46,14 @@ def failures(docs: DataFrame, part: str = "source") -> DataFrame:
         F.col("_text").rlike(r"[#$%&*|]").alias("D"),
     )
     kept = written(tested, "tested")
-    firsts = kept.groupBy("_digest").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("_digest", "_first")
-    return kept.join(firsts, "_digest", "left").select("doc_id", "part", "A", "B", "C", "D", F.coalesce(F.col("doc_id") > F.col("_first"), F.lit(False)).alias("E"))
+    firsts = written(kept.groupBy("_digest").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1"), "firsts")
+    hot = small(firsts.where(F.col("_n") > HOT).select("_digest", F.col("_first").alias("_hot")))
+    looked_up = kept.join(hot, "_digest", "left")
+    own = F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "utf-8")  # as long as no digest
+    dealt = looked_up.withColumn("_digest", F.when(F.col("_hot").isNull(), F.col("_digest")).otherwise(own))
+    rest = firsts.where(F.col("_n") <= HOT).select("_digest", "_first")
+    again = F.col("doc_id") > F.coalesce("_hot", "_first")
+    return dealt.join(rest, "_digest", "left").select("doc_id", "part", "A", "B", "C", "D", F.coalesce(again, F.lit(False)).alias("E"))
 
 
 def survivors(failed: DataFrame, counts: dict[str, Column], flags: Iterable[str] = FILTERS) -> DataFrame:

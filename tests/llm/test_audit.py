@@ -75,6 +75,12 @@ def test_every_order_step_by_step(spark, given):
     assert rows_of(audit.interactions(docs_of(spark, rows), spark.createDataFrame(labels, LABELS))) == plain(rows, labels)
 
 
+def test_a_text_of_many_rows(spark, given, monkeypatch):
+    rows, labels = given
+    monkeypatch.setattr(audit, "HOT", 3)
+    assert rows_of(audit.interactions(docs_of(spark, rows), spark.createDataFrame(labels, LABELS))) == plain(rows, labels)
+
+
 def test_sql_agrees(spark, given, tmp_path):
     rows, labels = given
     rows = [r for r in rows if r[0] is not None]
