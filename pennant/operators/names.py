@@ -63,9 +63,9 @@ def unknown(names: DataFrame, teams: DataFrame, aliases: DataFrame) -> DataFrame
     return names.select(trimmed(F.col("name")).alias("name")).where("name <> ''").distinct().join(known, "name", "left_anti")
 
 
-def _letters(key: Column) -> Column:
-    """How often each of the characters a loose key can have stands in it."""
-    return F.array(*[F.length(key) - F.length(F.replace(key, F.lit(c), F.lit(""))) for c in LETTERS])
+def _letters(key: str) -> Column:
+    """How often each of the characters that a loose key can have stands in the column `key`."""
+    return F.expr(f"array({', '.join(f"length({key}) - length(replace({key}, '{c}', ''))" for c in LETTERS)})")
 
 
 def _words(key: Column) -> Column:
@@ -74,18 +74,19 @@ def _words(key: Column) -> Column:
 
 def _spread(teams: DataFrame) -> list[int]:
     """The letters' places, those whose counts differ most between teams first; one row reaches the driver."""
-    row = teams.agg(*[F.coalesce(F.variance(F.get("cb", F.lit(i))), F.lit(0.0)).alias(f"v{i}") for i in range(len(LETTERS))]).first()
-    return sorted(range(len(LETTERS)), key=lambda i: (-row[f"v{i}"], i))
+    row = teams.agg(F.expr(f"array({', '.join(f'coalesce(variance(get(cb, {i})), 0)' for i in range(len(LETTERS)))})").alias("v")).first()
+    return sorted(range(len(LETTERS)), key=lambda i: (-row["v"][i], i))
 
 
-def _groups(counts: str, length: Column, order: list[int], n: int) -> Column:
+def _groups(counts: str, length: str, order: list[int], n: int) -> Column:
     """A key for each of n groups of letters: the group's counts and the whole length. With n = 0, of the length alone.
 
     Letters are dealt to the groups in turn, so that each group has its share of those that tell names apart.
     """
     if n == 0:
-        return F.array(F.xxhash64(F.lit(-1), length))
-    return F.array(*[F.xxhash64(F.lit(n), F.lit(g), length, *[F.get(counts, F.lit(i)) for i in order[g::n]]) for g in range(n)])
+        return F.expr(f"array(xxhash64(-1, {length}))")
+    keys = [f"xxhash64({n}, {g}, {length}, {', '.join(f'get({counts}, {i})' for i in order[g::n])})" for g in range(n)]
+    return F.expr(f"array({', '.join(keys)})")
 
 
 def _within(asked: DataFrame, teams: DataFrame, order: list[int], lengths: tuple[int, int]) -> DataFrame:
@@ -107,8 +108,8 @@ def _within(asked: DataFrame, teams: DataFrame, order: list[int], lengths: tuple
     used = sorted(r["groups"] for r in dealt.select("groups").distinct().collect())  # at most as many as GROUPS and one
     if not used:
         return asked.sparkSession.createDataFrame([], f"alias string, a string, team_id {dict(teams.dtypes)['team_id']}, team_name string, b string")
-    keyed = dealt.withColumn("key", F.explode(F.coalesce(*[F.when(F.col("groups") == n, _groups("ca", F.col("lb"), order, n)) for n in used])))
-    posted = teams.withColumn("key", F.explode(F.concat(*[_groups("cb", F.length("b"), order, n) for n in used])))
+    keyed = dealt.withColumn("key", F.explode(F.coalesce(*[F.when(F.col("groups") == n, _groups("ca", "lb", order, n)) for n in used])))
+    posted = teams.withColumn("key", F.explode(F.concat(*[_groups("cb", "length(b)", order, n) for n in used])))
     apart = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.abs(x - y)), F.lit(0), lambda total, x: total + x)
     met = keyed.join(posted, "key").where((F.length("b") == F.col("lb")) & (apart <= F.col("most")))
     return met.select("alias", "a", "team_id", "team_name", "b").dropDuplicates(["alias", "team_id"])  # few; one may meet in several groups
@@ -125,7 +126,7 @@ def best_teams(names: DataFrame, teams: DataFrame, least: float = 0.0) -> DataFr
     at far ones; only names like no team at all meet many.
     """
     keyed = teams.select("team_id", "team_name", loose_key(F.col("team_name")).alias("b"))
-    teams = settled(keyed.where("b <> ''").withColumn("cb", _letters(F.col("b"))))
+    teams = settled(keyed.where("b <> ''").withColumn("cb", _letters("b")))
     first = keyed.agg(F.min_by(F.struct("team_name", "b"), F.col("team_id")).alias("first")).first()["first"]  # one row
     bounds = teams.agg(F.min(F.length("b")).alias("low"), F.max(F.length("b")).alias("high")).first()
     words = names.where("a <> ''").select("alias", "a", F.explode(_words(F.col("a"))).alias("word"))
@@ -142,7 +143,7 @@ def best_teams(names: DataFrame, teams: DataFrame, least: float = 0.0) -> DataFr
 
     best = best_of(scored(near))
     size = F.size(_words(F.col("a")))
-    open_names = names.where("a <> ''").join(shared, "alias", "left").select("alias", "a", _letters(F.col("a")).alias("ca"), F.length("a").alias("la"), F.try_divide(F.coalesce("common", F.lit(0)).cast("double"), size).alias("most_overlap"))
+    open_names = names.where("a <> ''").join(shared, "alias", "left").select("alias", "a", _letters("a").alias("ca"), F.length("a").alias("la"), F.try_divide(F.coalesce("common", F.lit(0)).cast("double"), size).alias("most_overlap"))
     open_names = settled(open_names)
     order = _spread(teams)
     start = least or MEDIUM
