@@ -212,13 +212,19 @@ def _delete_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
+def own_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the interpreter ends."""
+    path = f"{shared_dir(spark)}/pennant/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete_quietly, spark, path)
+    return path
+
+
 def settled(rows: DataFrame) -> DataFrame:
     """rows computed once, for plans that use them several times or would grow too long: a table in the shared folder.
 
     The table outlives lost executors and goes when the interpreter ends.
     """
     spark = rows.sparkSession
-    path = f"{shared_dir(spark)}/pennant/settled-{uuid.uuid4().hex}"
+    path = own_path(spark, "settled")
     rows.write.parquet(path)
-    atexit.register(_delete_quietly, spark, path)
     return spark.read.schema(rows.schema).parquet(path)

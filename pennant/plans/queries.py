@@ -177,6 +177,7 @@ query("al6_al7_wn8_field", "SELECT *, count(*) OVER (PARTITION BY season_year) A
 )
 # ratings
 _plain("al1_ratings", "ratings", "SELECT season_year, team_id, rating FROM rated")
+query("al1_spread_ratings", "SELECT season_year, team_id, rating FROM rated")(lambda x: ratings.iterative_ratings(x.games, in_task=0).withColumn("rating", F.round("rating", 6)))
 query("ag12_pf36_decayed", """SELECT end_year, CAST(end_year - 4 AS INTEGER) AS window_start, team_id, round(sum(rating * pow(0.92e0, end_year - season_year)), 4) AS coeff_5yr
 FROM rated JOIN (SELECT season_year AS end_year FROM season WHERE season_year - 4 IN (SELECT season_year FROM season)) ON season_year BETWEEN end_year - 4 AND end_year GROUP BY ALL""")(
     lambda x: ratings.decayed(x.ratings).withColumn("coeff_5yr", F.round("coeff_5yr", 4))
@@ -239,6 +240,39 @@ query("sk2_upsert", "SELECT season_year, slot, team_id FROM old WHERE (season_ye
     old="SELECT season_year, slot, team_id FROM bracket", fresh="SELECT season_year, slot, team_id + 1 AS team_id FROM bracket WHERE slot <= 3")(
     lambda x: store.upsert_keep_last(x.bracket.select("season_year", "slot", "team_id"), x.bracket.where("slot <= 3").select("season_year", "slot", (F.col("team_id") + 1).alias("team_id")), [["season_year", "slot"], ["season_year", "team_id"]], "slot")
 )
+
+
+def _stored(x: League) -> DataFrame:
+    """All games, stored in three writes: two thirds of them, all from either side and some without a game_id, all once more."""
+    table = store.Stored(x.spark, store.own_path(x.spark, "games"), "game_id long, v long")
+    table.append_keep_first(x.games.where("game_id % 3 <> 0").select("game_id", F.col("home_team_id").alias("v")), ["game_id"], "v")
+    loose = x.games.where("game_id % 11 = 0").select(F.lit(None).cast("long").alias("game_id"), F.col("away_team_id").alias("v"))
+    table.append_keep_first(x.games.select("game_id", F.explode(F.array("away_team_id", "home_team_id")).alias("v")).unionByName(loose), ["game_id"], "v")
+    table.append_keep_first(x.games.select("game_id", F.lit(-1).cast("long").alias("v")), ["game_id"], "v")
+    return table.read()
+
+
+def _replaced(x: League) -> DataFrame:
+    """The team seasons in partitions; then those of 1999 are replaced by nothing, and those of 2000 by half of them."""
+    path, rows = store.own_path(x.spark, "seasons"), store.settled(x.team_seasons)
+    store.replace_partitions(rows, path, ["season_year", "formula_version"])
+    gone = rows.where("season_year in (1999, 2000)").select("season_year", "formula_version")
+    store.replace_partitions(rows.where("season_year = 2000 and team_id % 2 = 0"), path, ["season_year", "formula_version"], gone)
+    return x.spark.read.parquet(path).select(rows.columns)
+
+
+def _rebuilt(x: League) -> DataFrame:
+    """What a change of 1997 writes anew: the seasons of three tables with their rows."""
+    from pennant.plans import rebuild
+
+    return rebuild.save(x, store.own_path(x.spark, "derived"), [1997], ["team_seasons", "team_rolling", "records"]).withColumnRenamed("table", "name")
+
+
+_LOOSE = "SELECT NULL, away_team_id FROM game WHERE game_id % 11 = 0"
+query("sk1_stored_keep_first", f"SELECT game_id, home_team_id AS v FROM game WHERE game_id % 3 <> 0 UNION ALL SELECT game_id, least(home_team_id, away_team_id) FROM game WHERE game_id % 3 = 0 UNION ALL {_LOOSE}")(_stored)
+query("sk3_replaced_partitions", "SELECT * FROM tyear WHERE season_year <> 1999 AND (season_year <> 2000 OR team_id % 2 = 0)")(_replaced)
+query("sk8_rebuilt_seasons", """SELECT 'team_seasons' AS name, season_year, count(*) AS n FROM tyear WHERE season_year = 1997 GROUP BY season_year UNION ALL SELECT 'records', season_year, count(*) FROM rec WHERE season_year = 1997 GROUP BY season_year
+UNION ALL SELECT 'team_rolling', season_year, count(*) FROM troll WHERE season_year BETWEEN 1997 AND 2001 GROUP BY season_year""")(_rebuilt)
 query("sk7_alias_script", "SELECT 'INSERT OR IGNORE INTO team_aliases (alias, team_name) VALUES (''' || replace(alias, '''', '''''') || ''', ''' || replace(team_name, '''', '''''') || ''');' AS value FROM al", al="SELECT 'O''' || c_name AS alias, c_name AS team_name FROM customer")(
     lambda x: store.alias_script(x.teams.select(F.concat(F.lit("O'"), "team_name").alias("alias"), "team_name"))
 )
