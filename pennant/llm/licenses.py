@@ -7,6 +7,12 @@ them, the rarest of each template that can be there, as the file has them all; p
 positions of the postings are starts, and what is left is verified word by word: the leading phrase, then the other key
 phrases, each within SLACK words of where the template has it, as names and years shift what comes after them. Words of a
 phrase that is there are all in the file, so none is lost, whatever the frequencies are.
+
+A grant is a paragraph that does not name its licence, so no one phrase of it need stand. Its postings are those ANCHORS
+of its words that stand once in it and have the highest inverse document frequency. Starts on which AGREE of a file's
+words agree are taken; then all of the grant's short key phrases must stand within SLACK words of their places, and SHARE
+percent of all its words. So a grant with a word changed, left out or put in is found. After one such change the anchors
+agree on at most two starts, and AGREE or more on one of them if the grant has 2 * AGREE anchors or more.
 """
 
 from __future__ import annotations
@@ -53,6 +59,20 @@ TEMPLATES = [
     ("zlib", ["the origin of this software must not be misrepresented", "wrote the original software"], "The origin of this software must not be misrepresented; you must not claim that you wrote the original software."),
 ]
 
+# Label, mandatory key phrases, and the paragraph, of licences whose grants do not name them.
+GRANTS = [
+    ("bsd", ["redistribution and use", "binary forms", "conditions are met"], "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", ["redistributions of source code", "list of conditions"], "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("bsd", ["endorse or promote products", "written permission"], "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("isc", ["permission to use", "this software for any purpose", "notice appear in all copies"], "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("mit", ["permission is", "obtaining a copy of this software", "without restriction"], "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"),
+    ("mit", ["permission notice", "substantial portions"], "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("zlib", ["in no event", "held liable", "use of this software"], "In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("zlib", ["origin of this software", "original software"], "The origin of this software must not be misrepresented; you must not claim that you wrote the original software."),
+]
+
+#: A grant's postings, those of them that agree on a start at least, and the percent of its words that stand near their places.
+ANCHORS, AGREE, SHARE = 8, 3, 75
 #: How many words the rest of a template may be shifted against its leading phrase.
 SLACK = 12
 #: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ with every separator named, which the matcher then finds in one table.
@@ -70,6 +90,21 @@ def _rows(base, templates) -> list[tuple[str, list[str], list[tuple[list[str], i
     return made
 
 
+def _granted(grants) -> list[tuple[str, list[tuple[list[str], int]], list[str]]]:
+    """Label, key phrases with their places in the paragraph, and the paragraph's words."""
+    made = []
+    for label, keys, paragraph in grants:
+        whole, keys = re.findall(WORD, paragraph.lower()), [k.split() for k in keys]
+        made.append((label, [(key, next(k for k in range(len(whole)) if whole[k : k + len(key)] == key)) for key in keys], whole))
+    return made
+
+
+def _anchors(whole: list[str], frequency: dict[str, int]) -> list[tuple[int, str]]:
+    """Place and word of a grant's postings; a word that no document holds could not be looked up by any."""
+    once = [(frequency[w], w, k) for k, w in enumerate(whole) if whole.count(w) == 1 and frequency[w]]
+    return [(k, w) for _, w, k in sorted(once)[:ANCHORS]]
+
+
 def _words() -> Column:
     # lower() also maps letters beyond ASCII, always to letters that are words' parts too
     return F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0))
@@ -95,40 +130,86 @@ def document_frequency(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]
     return dict.fromkeys(vocabulary, 0) | {r["word"]: r["n"] for r in held.groupBy("word").agg(F.count("*").alias("n")).collect()}
 
 
-def scan_licenses(docs: DataFrame, base=tuple(BASE), templates=tuple(TEMPLATES), rarest: int = 3) -> DataFrame:
+_text = lambda words: F.split(F.lit(" ".join(words)), " ")
+_places = lambda pairs: F.array(*[F.struct(_text(key).alias("key"), F.lit(d).alias("d")) for key, d in pairs])
+_SPANS = "array<struct<label:string,start:bigint,length:bigint,share:double,base:boolean>>"
+
+
+def _index(rare: list[list[tuple[int, str]]]) -> tuple[list[str], Column]:
+    """The words of the postings (place and word, for each phrase), and word -> array of (phrase, at)."""
+    postings: dict[str, list[Column]] = {}
+    for number, places in enumerate(rare):
+        for at, word in places:
+            postings.setdefault(word, []).append(F.struct(F.lit(number).alias("phrase"), F.lit(at).alias("at")))
+    return list(postings), F.create_map(*[x for word, found in postings.items() for x in (F.lit(word), F.array(*found))])
+
+
+def _near_share(whole: Column, first: Column) -> Column:
+    return F.size(F.filter(whole, lambda w, k: _near(lambda e: _is(first + k + e, w)))) / F.size(whole)
+
+
+def _grant_spans(found: DataFrame, rows, frequency: dict[str, int]) -> DataFrame:
+    """found (_words, ...) with _granted, the spans of grants."""
+    rare = [_anchors(whole, frequency) for *_, whole in rows]
+    words, index = _index(rare)
+    if not words:
+        return found.withColumn("_granted", F.array().cast(_SPANS))
+    of = lambda values, x: F.get(F.array(*values), x["phrase"])
+    wanted = F.array(*[F.struct(F.lit(number).alias("phrase"), _text(w for _, w in places).alias("words")) for number, places in enumerate(rare)])
+    enough = lambda x: F.size(F.array_intersect(x["words"], F.col("_known"))) >= AGREE
+    found = found.withColumn("_known", F.array_intersect("_words", F.array(*map(F.lit, words))))
+    found = found.withColumn("_possible", F.when(F.size("_known") >= AGREE, F.transform(F.filter(wanted, enough), lambda x: x["phrase"])))
+    held = F.filter(F.transform("_words", lambda w, k: F.struct(w.alias("w"), k.alias("k"))), lambda x: x["w"].isin(words))
+    look_up = lambda x: F.filter(index[x["w"]], lambda p: F.array_contains("_possible", p["phrase"]))
+    starts = F.transform(held, lambda x: F.transform(look_up(x), lambda p: F.struct(p["phrase"].alias("phrase"), (x["k"] - p["at"]).alias("start"))))
+    found = found.withColumn("_starts", F.sort_array(F.flatten(F.when(F.size("_possible") > 0, starts)))).drop("_known", "_possible")
+    # an anchor proposes a start once, so agreement is a run of equal proposals
+    same = lambda x, k: F.coalesce(F.get("_starts", k) == x, F.lit(False))
+    agreed = F.filter("_starts", lambda x, k: ~same(x, k - 1) & same(x, k + AGREE - 1))
+    missing = lambda x: F.exists(of([_places(keys) for _, keys, _ in rows], x), lambda o: ~_near(lambda e: _stands(o["key"], x["start"] + o["d"] + e)))
+    kept = F.filter(agreed, lambda x: ~missing(x))
+    spans = F.transform(
+        kept,
+        lambda x: F.struct(
+            of([F.lit(label) for label, *_ in rows], x).alias("label"),
+            F.greatest(x["start"], F.lit(0)).cast("long").alias("start"),
+            of([F.lit(len(whole)) for *_, whole in rows], x).cast("long").alias("length"),
+            _near_share(of([_text(whole) for *_, whole in rows], x), x["start"]).alias("share"),
+            F.lit(False).alias("base"),
+        ),
+    )
+    return found.withColumn("_granted", F.coalesce(F.filter(spans, lambda x: x["share"] >= SHARE / 100), F.array().cast(_SPANS))).drop("_starts")
+
+
+def scan_licenses(docs: DataFrame, base=tuple(BASE), templates=tuple(TEMPLATES), grants=tuple(GRANTS), rarest: int = 3) -> DataFrame:
     """Find base phrases and licences in docs (doc_id, text).
 
     Returns doc_id, n_words, n_base (places of base phrases), first_word and last_word (smallest and largest start of
     one, words from 0, else null), base_labels and labels (distinct, sorted, comma-joined, else empty), spans (an array
     of label, start and length of the leading phrase, share and base, where share is the part of the template's words
     that stand within SLACK words of their places) and score (the largest share, else 0). A template is found where its
-    leading phrase stands with all its other key phrases near. Null texts have no words; repeated rows are scanned each;
+    leading phrase stands with all its other key phrases near. A grant's span is its whole paragraph, one for each start on
+    which its words agree, from 0 if its head is cut off. Null texts have no words; repeated rows are scanned each;
     an empty table gives no rows; other columns are ignored. Texts may be of any length that a row can hold; work grows
     with their words. Every document is read within its row: nothing is shuffled but one count a word.
     """
-    rows = _rows(base, templates)
-    frequency = document_frequency(docs, sorted({w for _, key, *_ in rows for w in key}))
+    rows, granted = _rows(base, templates), _granted(grants)
+    frequency = document_frequency(docs, sorted({w for _, key, *_ in rows for w in key} | {w for *_, whole in granted for w in whole}))
     rare = [sorted(enumerate(key), key=lambda x: (frequency[x[1]], x[1], x[0]))[:rarest] for _, key, *_ in rows]
-    postings: dict[str, list[tuple[int, int]]] = {}
-    for number, places in enumerate(rare):
-        for at, word in places:
-            postings.setdefault(word, []).append((number, at))
-    text = lambda words: F.split(F.lit(" ".join(words)), " ")
+    postings, index = _index(rare)
     of = lambda values, x: F.get(F.array(*values), x["phrase"])
     numbers = lambda values: [F.lit(v) for v in values]
-    posting = lambda number, at: F.struct(F.lit(number).alias("phrase"), F.lit(at).alias("at"))
-    index = F.create_map(*[x for word, places in postings.items() for x in (F.lit(word), F.array(*[posting(*p) for p in places]))])
-    keys, wholes = [text(key) for _, key, *_ in rows], [text(whole) for _, _, _, whole, _, _ in rows]
-    other = lambda key, d: F.struct(text(key).alias("key"), F.lit(d).alias("d"))
-    others = [F.array(*[other(*o) for o in rest]) if rest else F.array().cast("array<struct<key:array<string>,d:int>>") for _, _, rest, *_ in rows]
+    keys, wholes = [_text(key) for _, key, *_ in rows], [_text(whole) for _, _, _, whole, _, _ in rows]
+    others = [_places(rest) if rest else F.array().cast("array<struct<key:array<string>,d:int>>") for _, _, rest, *_ in rows]
 
     # the file's own licence words, and the templates whose rarest words are all among them
     read = docs.select("doc_id", _words().alias("_words"))
-    held = F.filter(F.transform("_words", lambda w, k: F.struct(w.alias("w"), k.alias("k"))), lambda x: x["w"].isin(list(postings)))
-    found = read.withColumn("_rare", F.when(F.arrays_overlap("_words", F.array(*map(F.lit, postings))), held))
+    held = F.filter(F.transform("_words", lambda w, k: F.struct(w.alias("w"), k.alias("k"))), lambda x: x["w"].isin(postings))
+    found = _grant_spans(read, granted, frequency)
+    found = found.withColumn("_rare", F.when(F.arrays_overlap("_words", F.array(*map(F.lit, postings))), held))
     found = found.withColumn("_held", F.array_distinct(F.transform("_rare", lambda x: x["w"])))
     all_held = lambda words: F.size(F.array_except(words, F.col("_held"))) == 0
-    needed = F.array(*[F.struct(F.lit(number).alias("phrase"), text(sorted({w for _, w in places})).alias("words")) for number, places in enumerate(rare)])
+    needed = F.array(*[F.struct(F.lit(number).alias("phrase"), _text(sorted({w for _, w in places})).alias("words")) for number, places in enumerate(rare)])
     found = found.withColumn("_possible", F.when(F.size("_rare") > 0, F.transform(F.filter(needed, lambda x: all_held(x["words"])), lambda x: x["phrase"])))
 
     look_up = lambda x: F.filter(index[x["w"]], lambda p: F.array_contains("_possible", p["phrase"]))
@@ -144,10 +225,7 @@ def scan_licenses(docs: DataFrame, base=tuple(BASE), templates=tuple(TEMPLATES),
     missing = lambda x: F.exists(of(others, x), lambda o: ~_near(lambda e: _stands(o["key"], x["start"] + o["d"] + e)))
     found = found.withColumn("_verified", F.filter(led, lambda x: ~missing(x))).drop("_proposed")
 
-    def share(x):
-        whole, first = of(wholes, x), x["start"] - of(numbers([at for *_, at, _ in rows]), x)
-        return F.size(F.filter(whole, lambda w, k: _near(lambda e: _is(first + k + e, w)))) / F.size(whole)
-
+    share = lambda x: _near_share(of(wholes, x), x["start"] - of(numbers([at for *_, at, _ in rows]), x))
     is_base = lambda x: of(numbers([is_base for *_, is_base in rows]), x)
     spans = F.transform(
         "_verified",
@@ -159,7 +237,7 @@ def scan_licenses(docs: DataFrame, base=tuple(BASE), templates=tuple(TEMPLATES),
             is_base(x).alias("base"),
         ),
     )
-    found = found.select("doc_id", F.size("_words").cast("long").alias("n_words"), F.coalesce(spans, F.array().cast("array<struct<label:string,start:bigint,length:bigint,share:double,base:boolean>>")).alias("spans"))
+    found = found.select("doc_id", F.size("_words").cast("long").alias("n_words"), F.concat(F.coalesce(spans, F.array().cast(_SPANS)), "_granted").alias("spans"))
     found = found.withColumn("_base", F.filter("spans", lambda x: x["base"]))
     joined = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda x: x["label"]))), ",")
     return found.select(
@@ -174,19 +252,32 @@ def scan_licenses(docs: DataFrame, base=tuple(BASE), templates=tuple(TEMPLATES),
     )
 
 
-def oracle(base=tuple(BASE), templates=tuple(TEMPLATES)) -> str:
-    """DuckDB SQL with scan_licenses()' columns but spans: every phrase is looked for at every place."""
+def oracle(base=tuple(BASE), templates=tuple(TEMPLATES), grants=tuple(GRANTS)) -> str:
+    """DuckDB SQL with scan_licenses()' columns but spans: every phrase and every grant is looked for at every place."""
     words = lambda w: f"string_split('{' '.join(w)}', ' ')"
     rest = lambda others: f"CAST([{', '.join(f'{{phrase: {words(key)}, d: {d}}}' for key, d in others)}] AS STRUCT(phrase VARCHAR[], d INTEGER)[])"
     values = ",\n".join(f"('{label}', {words(key)}, {rest(others)}, {words(whole)}, {at}, {is_base})" for label, key, others, whole, at, is_base in _rows(base, templates))
+    paragraphs = ",\n".join(f"({k}, '{label}', {rest(keys)}, {words(whole)})" for k, (label, keys, whole) in enumerate(_granted(grants)))
     return rf"""
-WITH p(label, key, others, whole, lead, base) AS (VALUES {values}),
+WITH q(number, label, keys, whole) AS (VALUES {paragraphs}),
+p(label, key, others, whole, lead, base) AS (VALUES {values}),
 d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM d),
 led AS (SELECT w.doc_id, k, ws, p.* FROM w JOIN p ON w.word = key[1] JOIN d ON d.doc_id = w.doc_id WHERE ws[k : k + len(key) - 1] = key),
 hit AS (SELECT * FROM led WHERE len(list_filter(others, lambda o: len(list_filter(range(-{SLACK}, {SLACK + 1}), lambda e:
           k + o.d + e >= 1 AND ws[k + o.d + e : k + o.d + e + len(o.phrase) - 1] = o.phrase)) = 0)) = 0),
-s AS (SELECT doc_id, label, base, k - 1 AS start,
+f AS (SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct(ws)) AS word FROM d) GROUP BY word),
+once AS (SELECT number, word, min(i) AS place FROM (SELECT number, unnest(whole) AS word, unnest(range(len(whole))) AS i FROM q) GROUP BY number, word HAVING count(*) = 1),
+anchor AS (SELECT number, word, place FROM once JOIN f USING (word) QUALIFY row_number() OVER (PARTITION BY number ORDER BY df, word) <= {ANCHORS}),
+agreed AS (SELECT w.doc_id, number, k - place AS k FROM w JOIN anchor USING (word) GROUP BY ALL HAVING count(*) >= {AGREE}),
+granted AS (SELECT agreed.doc_id, label, len(list_filter(range(len(whole)), lambda i: k + i + {SLACK} >= 1
+              AND list_contains(ws[greatest(k + i - {SLACK}, 1) : k + i + {SLACK}], whole[i + 1]))) / len(whole) AS share
+            FROM agreed JOIN q USING (number) JOIN d ON d.doc_id = agreed.doc_id
+            WHERE len(list_filter(keys, lambda o: len(list_filter(range(-{SLACK}, {SLACK + 1}), lambda e:
+                    k + o.d + e >= 1 AND ws[k + o.d + e : k + o.d + e + len(o.phrase) - 1] = o.phrase)) = 0)) = 0),
+s AS (SELECT doc_id, label, false AS base, NULL AS start, share FROM granted WHERE share >= {SHARE / 100}
+      UNION ALL
+      SELECT doc_id, label, base, k - 1 AS start,
              CASE WHEN base THEN 1e0 ELSE len(list_filter(range(1, len(whole) + 1), lambda i: k - lead + i - 1 + {SLACK} >= 1
                AND list_contains(ws[greatest(k - lead + i - 1 - {SLACK}, 1) : k - lead + i - 1 + {SLACK}], whole[i]))) / len(whole) END AS share FROM hit),
 g AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,

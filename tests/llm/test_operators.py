@@ -547,6 +547,38 @@ def test_partial_notices(spark, tmp_path):
     assert sorted(map(tuple, rows.collect())) == sorted(known)
 
 
+def test_altered_grants(spark, tmp_path):
+    """Every word of a grant but its key phrases' changed, left out or followed by another, and key phrases that lack a word."""
+    made: list[tuple[str, str]] = []
+    for label, keys, whole in licenses._granted(licenses.GRANTS):
+        fixed = {at + k for key, at in keys for k in range(len(key))}
+        free = [k for k in range(len(whole)) if k not in fixed]
+        for k in free:
+            for instead in (["altered"], [], [whole[k], "added"]):
+                made.append((label, " ".join(["before", "it", *whole[:k], *instead, *whole[k + 1 :], "after", "it"])))
+        for key, at in keys:
+            made.append(("", " ".join([*whole[:at], "lost", *whole[at + len(key) :]])))
+        made.append((label, " ".join(whole[int(0 in free) :])))  # the head cut off, where no key phrase is
+        made.append(("", " ".join(whole[::-1])))
+        made.append(("", " ".join(" ".join(key) for key, _ in keys)))  # key phrases alone
+    mit = licenses.GRANTS[4][2]
+    made += [("mit", mit.replace("free of charge", "at no charge")), ("mit", mit.replace("hereby ", "")), ("", ""), ("", None), ("mit", f"{mit}\n" * 300)]
+    docs = docs_of(spark, [(k, text) for k, (_, text) in enumerate(made)] + [(None, mit), (0, made[0][1])])
+    rows = licenses.scan_licenses(docs, templates=()).collect()
+    found = {r.doc_id: r.labels for r in rows}
+    assert len(rows) == len(made) + 2 and found[None] == "mit"
+    assert {k: found[k] for k in range(len(made))} == {k: label for k, (label, _) in enumerate(made)}
+    longest = next(r for r in rows if r.doc_id == len(made) - 1)
+    assert len({s.start for s in longest.spans}) == 300 and all(s.share == 1 for s in longest.spans)
+    assert all(r.labels == "" for r in licenses.scan_licenses(docs.where("doc_id < 20"), grants=(), templates=()).collect())
+    docs.where("doc_id is not null").dropDuplicates(["doc_id"]).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    wanted = queries.op9_licenses(spark, str(tmp_path))
+    known = con.execute(f"SELECT {', '.join(wanted.columns)} FROM ({entry.oracle_sql()['op9_licenses']})").fetchall()
+    assert sorted(map(tuple, wanted.collect())) == sorted(known)
+
+
 def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
