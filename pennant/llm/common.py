@@ -60,25 +60,25 @@ def _delete_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
-_lock, _writers, _before = threading.Lock(), 0, "false"
-
-
 @contextmanager
 def _cleaned(spark: SparkSession) -> Iterator[None]:
-    """The setting on while any thread is in here; the last one to leave puts back what was set before the first came."""
-    global _writers, _before
-    with _lock:
-        if not _writers:
-            _before = spark.conf.get(_CLEANUP)
+    """The setting on while any thread of the session is in here; the last one to leave puts back what was set before.
+
+    The lock lies with the session: a module's globals travel with functions that run in tasks, and locks cannot.
+    """
+    state = spark.__dict__.setdefault("_pennant_writers", {"lock": threading.Lock(), "writers": 0, "before": "false"})
+    with state["lock"]:
+        if not state["writers"]:
+            state["before"] = spark.conf.get(_CLEANUP)
             spark.conf.set(_CLEANUP, "true")
-        _writers += 1
+        state["writers"] += 1
     try:
         yield
     finally:
-        with _lock:
-            _writers -= 1
-            if not _writers:
-                spark.conf.set(_CLEANUP, _before)
+        with state["lock"]:
+            state["writers"] -= 1
+            if not state["writers"]:
+                spark.conf.set(_CLEANUP, state["before"])
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
