@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,26 +14,58 @@ from pennant.operators.store import settled
 
 # Rounds of the iteration, share of the rating that a loser gets, size of the field.
 ROUNDS, LOSER_SHARE, FIELD, AUTOMATIC, BYES = 15, 0.15, 12, 5, 4
-#: Distinct pairings of a season (about 50 bytes each) that a task holds at most.
-IN_TASK = 2_000_000
+#: Distinct pairings of a season (about 30 bytes each while it is rated) that a task holds at most.
+IN_TASK = 10_000_000
+#: Pairings that a round works on at once.
+CHUNK = 1 << 20
+
+
+def _places(ids: np.ndarray, chunks: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """The places in ids of the team_ids in chunks, in arrays of CHUNK; the chunks go on the way."""
+    chunks.reverse()
+    while chunks:
+        taken, n = [], 0
+        while chunks and n < CHUNK:
+            taken.append(np.searchsorted(ids, chunks.pop()).astype(np.int32))
+            n += len(taken[-1])
+        yield np.concatenate(taken)
 
 
 def _rate(rounds: int, loser_share: float):
-    def run(season: pd.DataFrame) -> pd.DataFrame:
-        ids, place = np.unique(season[["home_team_id", "away_team_id"]].to_numpy().ravel(), return_inverse=True)
-        home, away = place.reshape(-1, 2).T
-        decided = (season["home_score"].notna() & season["away_score"].notna() & (season["home_score"] != season["away_score"])).to_numpy()
-        home_won = (season["home_score"] > season["away_score"]).to_numpy()[decided]
-        winner = np.where(home_won, home[decided], away[decided])
-        loser = np.where(home_won, away[decided], home[decided])
-        weight = season["weight"].to_numpy()[decided]
-        rating = np.ones(len(ids))
+    """Rates a season from its pairings, batch by batch; 24 bytes a decided one are held, 16 once all teams are known."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, fresh, waiting = np.empty(0, np.int64), [], 0
+        winners, losers, weights = [], [], []
+        for batch in batches:
+            year = batch.column("season_year")[0].as_py()
+            home, away, sign, weight = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("home_team_id", "away_team_id", "sign", "weight"))
+            fresh.append(np.unique(np.concatenate([home, away])))
+            waiting += len(fresh[-1])
+            if waiting > max(CHUNK, len(ids)):
+                ids, fresh, waiting = np.unique(np.concatenate([ids, *fresh])), [], 0
+            home_won, decided = sign > 0, (sign > 0) | (sign < 0)
+            winners.append(np.where(home_won, home, away)[decided])
+            losers.append(np.where(home_won, away, home)[decided])
+            weights.append(weight[decided])
+        ids, fresh = np.unique(np.concatenate([ids, *fresh])), []
+        n = len(ids)
+        won, lost = list(_places(ids, winners)), list(_places(ids, losers))
+        weights, ends = np.concatenate(weights), np.cumsum([len(w) for w in won])[:-1]
+        links = list(zip(won, lost, np.split(weights, ends), strict=True))
+        rating = np.ones(n)
         for _ in range(rounds):
-            gained = np.bincount(winner, rating[loser] * weight, len(ids)) + np.bincount(loser, rating[winner] * weight * loser_share, len(ids))
-            if gained.sum() <= 0:
+            gained = np.zeros(n)
+            for winner, loser, weight in links:
+                gained += np.bincount(winner, rating[loser] * weight, n)
+                gained += np.bincount(loser, rating[winner] * weight * loser_share, n)
+            total = gained.sum()
+            if total <= 0:
                 break
-            rating = gained * (len(ids) / gained.sum())
-        return pd.DataFrame({"season_year": season["season_year"].iloc[0], "team_id": ids, "rating": rating})
+            rating = gained * (n / total)
+        for start in range(0, n, CHUNK):
+            part = slice(start, start + CHUNK)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids[part]), year, np.int32)), pa.array(ids[part]), pa.array(rating[part])], ["season_year", "team_id", "rating"])
 
     return run
 
@@ -42,14 +76,15 @@ def iterative_ratings(games: DataFrame, rounds: int = ROUNDS, loser_share: float
     Ratings of a season add up to its teams. A season's games are first added up for each winner and loser. Seasons of at
     most `in_task` such pairings run beside each other, each in a task; larger ones round by round over all tasks, see
     spread_ratings(). Both give the same ratings but for rounding. Games without a season or a team count for nothing.
+    The ratings are a table, so what reads them several times does not rate again.
     """
     decided = F.col("home_score").isNotNull() & F.col("away_score").isNotNull()
     sign = F.when(decided, F.signum(F.col("home_score") - F.col("away_score")))
     sound = games.where("season_year is not null and home_team_id is not null and away_team_id is not null")
     pairs = settled(sound.groupBy("season_year", "home_team_id", "away_team_id", sign.alias("sign")).agg(F.sum(phase_weight(F.col("game_phase"))).alias("weight")))
     large = [r["season_year"] for r in pairs.groupBy("season_year").agg(F.count("*").alias("n")).where(F.col("n") > in_task).collect()]  # one row a season at most
-    rows = pairs.where(~F.col("season_year").isin(large)).select("season_year", "home_team_id", "away_team_id", F.col("sign").alias("home_score"), F.when(F.col("sign").isNotNull(), 0.0).alias("away_score"), "weight")
-    rated = rows.groupBy("season_year").applyInPandas(_rate(rounds, loser_share), "season_year int, team_id long, rating double")
+    rows = pairs.where(~F.col("season_year").isin(large)).select(F.col("season_year").cast("int").alias("season_year"), F.col("home_team_id").cast("long").alias("home_team_id"), F.col("away_team_id").cast("long").alias("away_team_id"), F.col("sign").cast("double").alias("sign"), F.col("weight").cast("double").alias("weight"))
+    rated = settled(rows.groupBy("season_year").applyInArrow(_rate(rounds, loser_share), "season_year int, team_id long, rating double"))
     return rated.unionByName(spread_ratings(pairs.where(F.col("season_year").isin(large)), rounds, loser_share)) if large else rated
 
 

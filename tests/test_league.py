@@ -1,8 +1,12 @@
 """Hand-computed cases and properties of the league's operators."""
 
 import random
+import tracemalloc
 
 import duckdb
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,6 +210,30 @@ def test_ratings_over_all_tasks_are_those_of_one(spark):
     assert some == pytest.approx({(r.season_year, r.team_id): r.rating for r in ratings.iterative_ratings(games_of, rounds=4).collect()}, abs=1e-9)
 
 
+def test_a_season_is_rated_in_little_memory(spark):
+    generator, teams, n = np.random.default_rng(3), 20_000, 600_000
+
+    def batches():
+        for _ in range(0, n, 10_000):
+            home = generator.integers(0, teams, 10_000)
+            yield pa.RecordBatch.from_pydict({
+                "season_year": np.full(10_000, 2014, np.int32), "home_team_id": home, "away_team_id": (home + generator.integers(1, teams, 10_000)) % teams,
+                "sign": generator.integers(-1, 2, 10_000).astype(float), "weight": generator.integers(1, 4, 10_000).astype(float),
+            })
+
+    tracemalloc.start()
+    rated = list(ratings._rate(15, 0.15)(batches()))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 60 * n  # 2/3 are decided, 24 bytes each, and the arrays of one round
+    assert sum(b.num_rows for b in rated) == teams and sum(pc.sum(b["rating"]).as_py() for b in rated) == pytest.approx(teams)
+
+
+def test_ratings_are_made_once(spark):
+    for name in ("al15_field_of_twelve", "al16_first_round", "ag12_pf36_decayed"):
+        assert "FlatMapGroups" not in league.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
+
+
 def test_seasons_that_do_not_fit(spark):
     field = spark.createDataFrame([(2014, k, 0 if k < 8 else 1 if k < 16 else 2) for k in range(24)], "season_year int, team_id long, pot int")
     assert postseason.complete(postseason.sized(field)).count() == 24 and postseason.at_least(field, 10, "tiers").count() == 24
