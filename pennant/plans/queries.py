@@ -279,7 +279,7 @@ query("sk7_alias_script", "SELECT 'INSERT OR IGNORE INTO team_aliases (alias, te
 query("al19_membership_backfill", "SELECT DISTINCT season_year, team_id, 'HISTORICAL' AS conference FROM side WHERE conference IS NULL")(lambda x: x.sides.where("conference is null").select("season_year", "team_id", F.lit("HISTORICAL").alias("conference")).distinct())
 # sources and parsing
 query("sc2_clean_ratings", "SELECT CAST(season_year AS INTEGER) AS season_year, team_name, CAST(max(rating) AS DOUBLE) AS rating FROM (SELECT season_year, team_name, conf_coe_rank + 0e0 AS rating FROM crank JOIN team ON team_id % 25 = conf_coe_rank - 1) GROUP BY ALL")(
-    lambda x: files.clean_ratings(x.conf_ranks.join(x.teams, F.col("team_id") % 25 == F.col("conf_coe_rank") - 1).select(F.col("season_year").cast("string").alias("Year"), F.concat(F.lit(" "), "team_name").alias("School"), F.col("conf_coe_rank").cast("string").alias("Score"), F.lit(1).alias("_order"))
+    lambda x: files.clean_ratings(x.teams.join(F.broadcast(x.conf_ranks.select("season_year", "conf_coe_rank")), F.col("team_id") % 25 == F.col("conf_coe_rank") - 1).select(F.col("season_year").cast("string").alias("Year"), F.concat(F.lit(" "), "team_name").alias("School"), F.col("conf_coe_rank").cast("string").alias("Score"), F.lit(1).alias("_order"))
         .unionByName(x.teams.select(F.lit("bad").alias("Year"), F.col("team_name").alias("School"), F.lit("1").alias("Score"), F.lit(2).alias("_order"))))
 )
 query("pf20_pf22_parsing", "SELECT game_id, went_ot AS api, CASE WHEN went_ot = 1 THEN 1 ELSE 0 END AS flag, CAST(game_date AS VARCHAR) AS day FROM game")(

@@ -47,7 +47,11 @@ def pick_column(columns: list[str], wanted: list[str], contains: bool = False) -
 
 
 def clean_ratings(rows: DataFrame) -> DataFrame:
-    """season_year, team_name, rating of rows under any spelling; malformed rows go, the last of a key stays."""
+    """season_year, team_name, rating of rows under any spelling; malformed rows go, the last of a key stays.
+
+    Rows are dealt by their key before they are sorted: most keys have one row, so sorting each task's own rows first
+    would hold them all and leave none out.
+    """
     names = {name: pick_column(rows.columns, spellings) for name, spellings in RATING_NAMES.items()}
     if None in names.values():
         raise ValueError(f"the ratings lack {', '.join(k for k, v in names.items() if v is None)}")
@@ -55,7 +59,7 @@ def clean_ratings(rows: DataFrame) -> DataFrame:
         F.col(names["season_year"]).try_cast("int").alias("season_year"), trimmed(F.col(names["team_name"])).alias("team_name"),
         F.col(names["rating"]).try_cast("double").alias("rating"), (F.col("_order") if "_order" in rows.columns else F.monotonically_increasing_id()).alias("k"),
     )
-    sound = typed.where("season_year is not null and team_name <> '' and rating is not null")
+    sound = typed.where("season_year is not null and team_name <> '' and rating is not null").repartition("season_year", "team_name")
     last = F.row_number().over(Window.partitionBy("season_year", "team_name").orderBy(F.desc("k")))
     return sound.withColumn("last", last).where("last = 1").select("season_year", "team_name", "rating")
 

@@ -1,6 +1,7 @@
 """Hand-computed cases and properties of the league's operators."""
 
 import random
+import re
 import tracemalloc
 
 import duckdb
@@ -234,6 +235,16 @@ def test_ratings_are_made_once(spark):
         assert "FlatMapGroups" not in league.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
 
 
+def test_rows_are_dealt_before_they_are_held(spark):
+    rows = spark.createDataFrame([("2014", "A", "1.5", 1), ("2014", "A ", "2.5", 2), ("x", "B", "1", 3)], "Year string, School string, Score string, _order int")
+    clean = files.clean_ratings(rows)
+    after, before = clean._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning", 1)
+    assert "WindowGroupLimit" in after and "WindowGroupLimit" not in before
+    assert [tuple(r) for r in clean.collect()] == [(2014, "A", 2.5)]
+    league_of = league.QUERIES["sc2_clean_ratings"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join Inner, .*conf_coe_rank.*rightHint=\(strategy=broadcast\)", league_of)  # the ranks are few, the teams are not
+
+
 def test_seasons_that_do_not_fit(spark):
     field = spark.createDataFrame([(2014, k, 0 if k < 8 else 1 if k < 16 else 2) for k in range(24)], "season_year int, team_id long, pot int")
     assert postseason.complete(postseason.sized(field)).count() == 24 and postseason.at_least(field, 10, "tiers").count() == 24
