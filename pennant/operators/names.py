@@ -51,10 +51,11 @@ def conference_map(members: DataFrame, alignment: DataFrame, seasons: DataFrame)
     until = F.lead("year").over(Window.partitionBy("team_id").orderBy("year")) - 1
     held = turns.withColumns({"from": F.greatest("year", F.lit(span["first"])), "to": F.least(until, F.lit(span["last"]))}).where(F.col("from") <= F.col("to"))
     dated = held.select(F.explode(F.sequence(F.col("from").cast("int"), F.col("to").cast("int"))).alias("season_year"), "team_id", "conference")
-    latest = dated.join(seasons.select("season_year").distinct(), "season_year", "left_semi")
+    latest = dated.join(F.broadcast(seasons.select("season_year").distinct()), "season_year", "left_semi")  # few; a shuffle would deal by season
     top = members.where("coalesce(is_fbs, 1) = 1") if "is_fbs" in members.columns else members
-    real = top.where("trim(conference) <> ''").select("season_year", "team_id", F.trim("conference").alias("conference")).distinct()
-    return real.unionByName(latest.join(real, ["season_year", "team_id"], "left_anti"))
+    # dealt by key first: members seldom repeat, so each task would hold all its rows to find that none is the same
+    dealt = top.where("trim(conference) <> ''").select("season_year", "team_id", F.trim("conference").alias("conference")).repartition("season_year", "team_id")
+    return dealt.distinct().unionByName(latest.join(dealt, ["season_year", "team_id"], "left_anti"))
 
 
 def unknown(names: DataFrame, teams: DataFrame, aliases: DataFrame) -> DataFrame:

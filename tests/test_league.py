@@ -245,6 +245,16 @@ def test_rows_are_dealt_before_they_are_held(spark):
     assert re.search(r"Join Inner, .*conf_coe_rank.*rightHint=\(strategy=broadcast\)", league_of)  # the ranks are few, the teams are not
 
 
+def test_members_are_dealt_before_they_are_told_apart(spark):
+    members = spark.createDataFrame([(1, 2014, "Old"), (1, 2014, "Old "), (2, 2014, "Low")], "team_id long, season_year int, conference string")
+    alignment = spark.createDataFrame([(1, "New", 2010), (3, "C", 2010)], "team_id long, conference_name string, effective_year_start int")
+    found = names.conference_map(members, alignment, spark.createDataFrame([(2014,)], "season_year int"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Exchange", 1)[0].count("HashAggregate(keys=[season_year") == 2  # both halves of it run after the exchange
+    assert not re.search(r"Exchange hashpartitioning\(season_year#\d+, \d+\), ENSURE_REQUIREMENTS.*\n.*Generate", plan)  # whole seasons to a task
+    assert sorted(tuple(r) for r in found.collect()) == [(2014, 1, "Old"), (2014, 2, "Low"), (2014, 3, "C")]
+
+
 def test_seasons_that_do_not_fit(spark):
     field = spark.createDataFrame([(2014, k, 0 if k < 8 else 1 if k < 16 else 2) for k in range(24)], "season_year int, team_id long, pot int")
     assert postseason.complete(postseason.sized(field)).count() == 24 and postseason.at_least(field, 10, "tiers").count() == 24
