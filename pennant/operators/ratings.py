@@ -14,7 +14,7 @@ from pennant.operators.store import settled
 
 # Rounds of the iteration, share of the rating that a loser gets, size of the field.
 ROUNDS, LOSER_SHARE, FIELD, AUTOMATIC, BYES = 15, 0.15, 12, 5, 4
-#: Distinct pairings of a season that a task holds at most (577 MB above an idle worker were measured at 8.2 million, team arrays included).
+#: Distinct pairings of a season that a task holds at most (a Python worker had 677 MB at 8.2 million, its arrays of teams included).
 IN_TASK = 10_000_000
 #: Pairings that a round works on at once.
 CHUNK = 1 << 20
