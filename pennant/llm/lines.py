@@ -30,14 +30,18 @@ NARROW_ROWS = 1_000_000
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, h (the text's hash), pos and line of each line, in lower case and with spaces for all blanks."""
+    """doc_id, h (the text's hash), pos and line of each line, in lower case and with spaces for all blanks.
+
+    The outer form of explode gives the same rows, as no text is without a line; before the plain one Spark puts a filter
+    on the list's size, for which each text would be lowered and split once more.
+    """
     read = docs.select(id_in(), F.coalesce("text", F.lit("")).alias("text"))
     read = read.select("doc_id", F.xxhash64("text").alias("h"), F.lower("text").alias("text"))
     other = F.lit(False)
     for blank in BLANKS:
         other = other | F.contains("text", F.lit(blank))
     plain = F.when(other, F.regexp_replace("text", r"[\t\x0B\f\r]", " ")).otherwise(F.col("text"))
-    return read.select("doc_id", "h", F.posexplode(F.split(plain, "\n", -1)).alias("pos", "line"))
+    return read.select("doc_id", "h", F.posexplode_outer(F.split(plain, "\n", -1)).alias("pos", "line"))
 
 
 def _tokens(each: DataFrame, names: list[str]) -> DataFrame:
@@ -126,7 +130,8 @@ def _settled(known: DataFrame, docs: DataFrame, percent: int) -> list[DataFrame]
     key = lambda s: F.shiftleft(F.get("tiers", _bucket(s)).cast("long"), 57).bitwiseOR(s.bitwiseAND(F.lit(mask)))
     n = F.size("t")
     ordered = sets.join(F.broadcast(tiers)).select("c", "f", F.sort_array(F.transform("tokens", key)).alias("t"))  # one row, of bounded size
-    posted = ordered.select("c", "f", n.alias("n"), F.posexplode(F.slice("t", F.lit(1), _prefix_size(n, percent))).alias("i", "token"))
+    # outer as in _lines(): no list is empty, and a filter on their size would sort each set once more
+    posted = ordered.select("c", "f", n.alias("n"), F.posexplode_outer(F.slice("t", F.lit(1), _prefix_size(n, percent))).alias("i", "token"))
     of_token = Window.partitionBy("token").orderBy("f")
     ranked = posted.select("*", F.row_number().over(of_token).alias("rank"), F.lead("c").over(of_token).alias("next"))
     postings = written(ranked.where("rank > 1 or next is not null").select("token", "c", "f", "n", "i", "rank"), "postings")
@@ -158,11 +163,11 @@ def later_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
     worded = placed.where("c is not null")
     firsts = written(worded.groupBy("c").agg(F.min(F.struct(*place)).alias("f"), F.count("*").alias("times"), F.max("n").alias("n")), "classes")
 
-    # classes with enough tokens in their prefixes that other classes have there too
-    posted = worded.where("prefix is not null").select("c", F.explode("prefix").alias("token"))
-    shared = written(posted.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token"), "shared")
-    alive = written(posted.join(shared.hint("shuffle_hash"), "token", "left_semi").groupBy("c").agg(F.count("*").alias("hits")), "alive")
-    drop(shared)
+    # classes with enough tokens in their prefixes that other classes have there too; both sides of the join read one
+    # shuffle, which Spark would not see if it were a semi-join, as it pushes that below the repartition
+    posted = worded.where("prefix is not null").select("c", F.explode("prefix").alias("token")).repartition("token")
+    shared = posted.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
+    alive = written(posted.join(shared.hint("shuffle_hash"), "token").groupBy("c").agg(F.count("*").alias("hits")), "alive")
     known = written(firsts.join(alive, "c").where(F.col("hits") >= _in_prefix(F.col("n"), percent) * F.col("times")).select("c", "f"), "known")
     drop(alive)
     found = _settled(known, docs, percent)

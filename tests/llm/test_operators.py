@@ -367,6 +367,21 @@ def test_repeat_words(spark):
     assert (row.n_words, row.n_repeat_words, row.base_failed) == (10, 6, True)
 
 
+def test_lines_reads_and_posts_once(spark, monkeypatch):
+    plans = {}
+
+    def kept(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    real = lines.written
+    monkeypatch.setattr(lines, "written", kept)
+    text = "one two three four five six seven eight nine ten"
+    assert {r.doc_id: r.removed for r in lines.dedup_lines(docs_of(spark, [(1, text), (2, text + "\n" + text + " eleven")])).collect()} == {1: [], 2: [0, 1]}
+    assert plans["lines"].count("lower(") == 1 and plans["postings"].count("sort_array(") == 1
+    assert "shared" not in plans and "REPARTITION_BY_COL" in plans["alive"] and "LeftSemi" not in plans["alive"]
+
+
 def test_lines(spark):
     first = "the quick brown fox jumps over the lazy dog and runs far away into the deep dark wood"
     near = first.replace("wood", "forest")
